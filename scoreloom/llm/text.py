@@ -1,6 +1,6 @@
 """Vectorised words and shingles over the UTF-8 buffers of Arrow string columns.
 
-A word is a maximal run of bytes outside ``\\x20`` and ``\\x09-\\x0D``; A-Z count as a-z. Words and shingles
+A word is a maximal run of bytes outside ``\\x20`` and ``\\x09-\\x0D``. Words and shingles
 are named by 64-bit fingerprints, computed with numpy for many documents at once.
 """
 
@@ -16,6 +16,10 @@ SLICE_BYTES = 1 << 19
 _PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_WORD = ~_SPACE
+#: A term: ASCII letters and digits, and all of UTF-8 beyond ASCII.
+_TERM = np.zeros(256, bool)
+_TERM[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,8 +41,9 @@ def _powers(base: int, n: int) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C15
 _FORWARD = _powers(_BASE, _PIECE + 1)
 _BACK = _powers(pow(_BASE, -1, 1 << 64), _PIECE + 1)
-_LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1]
+_EXACT = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_FOLDED = _EXACT.copy()
+_FOLDED[ord("A") : ord("Z") + 1] = _EXACT[ord("a") : ord("z") + 1]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,11 +70,15 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words; words end at document borders."""
+def is_space(data: np.ndarray) -> np.ndarray:
+    return _SPACE[data]
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, terms: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, or all terms; both end at document borders."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    solid = ~_SPACE[data]
+    solid = (_TERM if terms else _WORD)[data]
     before = np.empty_like(solid)
     before[0], before[1:] = False, solid[:-1]
     before[offsets[:-1][offsets[:-1] < len(data)]] = False
@@ -80,23 +89,25 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of all words of the documents, in order, and each document's first word index."""
-    starts, ends = word_bounds(data, offsets)
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True, terms: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all words (or terms) of the documents, in order, and each document's first word index.
+    ``fold``: A-Z count as a-z."""
+    starts, ends = word_bounds(data, offsets, terms)
+    letter = _FOLDED if fold else _EXACT
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         lo = starts[i]
         j = int(np.searchsorted(ends, lo + _PIECE, "right"))
         if j <= i:  # one word longer than a piece
-            raw = data[lo : ends[i]].tobytes().lower()
-            out[i] = xxhash.xxh3_64_intdigest(raw)
+            raw = data[lo : ends[i]].tobytes()
+            out[i] = xxhash.xxh3_64_intdigest(raw.lower() if fold else raw)
             i += 1
             continue
         piece = data[lo : ends[j - 1]]
         total = np.empty(len(piece) + 1, np.uint64)
         total[0] = 0
-        np.cumsum(_LETTER[piece] * _FORWARD[: len(piece)], out=total[1:])
+        np.cumsum(letter[piece] * _FORWARD[: len(piece)], out=total[1:])
         out[i:j] = mix((total[ends[i:j] - lo] - total[starts[i:j] - lo]) * _BACK[starts[i:j] - lo])
         i = j
     return out, np.searchsorted(starts, offsets)
