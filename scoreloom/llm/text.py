@@ -113,6 +113,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True, terms:
     return out, np.searchsorted(starts, offsets)
 
 
+def term_hashes(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all terms and of their first bytes, a row for each term, and each document's first
+    row. A term without more bytes than a prefix stands for itself there."""
+    starts, ends = word_bounds(data, offsets, terms=True)
+    whole, first = word_hashes(data, offsets, terms=True)
+    out = np.repeat(whole[:, None], 1 + len(prefixes), 1)
+    folded = _FOLDED[data]
+    for k, n in enumerate(prefixes):
+        at = np.flatnonzero(ends - starts > n)
+        head = np.full(len(at), n, np.uint64)
+        for j in range(n):
+            head = head * np.uint64(_BASE) + folded[starts[at] + j]
+        out[at, k + 1] = mix(head)
+    return out, first
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Fingerprints of all runs of ``k`` consecutive words."""
     n = len(words) - k + 1

@@ -1,9 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms are hashed into 2^18 cells, present or not. A cell has a linear weight and a short factor vector;
+A text's terms, and their first 4, 6 and 8 bytes for inflected and compound words, are hashed into 2^18 cells, present
+or not. A cell has a linear weight and a short factor vector;
 the score adds the products of the factors of all pairs of cells, so that a pair, such as an insult together with
 a group mention, can count for more or less than its members. The model is fitted on a bounded sample of the
-labelled rows (``max_positive`` and ``max_negative`` rows) and its output is calibrated on rows held back from it.
+labelled rows (``max_positive`` and ``max_negative`` rows) and its output is calibrated on rows held back from it, both labels weighing alike.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm import text as tx
-from scoreloom.llm.calibration import calibrate, sigmoid
+from scoreloom.llm.calibration import calibrate_at, sigmoid
 
 HASH_BITS = 18
+PREFIXES = (4, 6, 8)
 FACTORS = 4
-MAX_TERMS = 4096
+MAX_TERMS = 512
+#: Share of a row's cells that a training step sees, so that few of them must do.
+SEEN = 0.4
 THRESHOLD = 0.7
 MAX_POSITIVE, MAX_NEGATIVE = 4000, 8000
 _CELLS = np.uint64((1 << HASH_BITS) - 1)
@@ -32,19 +36,33 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
-def term_cells(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For ranges of rows: the first row, the hash cell of each term, and each row's first term."""
+def term_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For ranges of rows: the first row, a line of hashes for each term, and each row's first line."""
     data, offsets = tx.utf8(column)
     for i, j in tx.slices(offsets):
-        terms, first = tx.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], terms=True)
-        yield i, (terms & _CELLS).astype(np.int64), first
+        yield i, *tx.term_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], PREFIXES)
+
+
+def _twice(heads: np.ndarray) -> np.ndarray:
+    """Hashes that stand for two or more terms with one beginning."""
+    return tx.mix(heads + np.uint64(7))
+
+
+def document_cells(lines: np.ndarray) -> np.ndarray:
+    """Distinct cells of a document: its terms, their beginnings, and beginnings of several terms."""
+    lines = lines[np.unique(lines[:, 0], return_index=True)[1]]
+    parts = [lines.ravel()]
+    for k in range(1, lines.shape[1]):
+        head, n = np.unique(lines[:, k], return_counts=True)
+        parts.append(_twice(head[n > 1]))
+    return np.unique((np.concatenate(parts) & _CELLS).astype(np.int64))
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for _, cells, first in term_cells(batch.column("text")):
-            rows += [np.unique(cells[a:b]).astype(np.int32) for a, b in zip(first[:-1], first[1:], strict=True)]
+        for _, lines, first in term_hashes(batch.column("text")):
+            rows += [document_cells(lines[a:b]).astype(np.int32) for a, b in zip(first[:-1], first[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], names=["toxic", "cells"])
 
 
@@ -78,7 +96,7 @@ def _flat(cells: list[np.ndarray], slot: np.ndarray) -> tuple[np.ndarray, np.nda
     return slots[slots >= 0], row[slots >= 0]
 
 
-def fit(cells: list[np.ndarray], labels: np.ndarray, steps: int = 150, seed: int = 5) -> FactorizationMachine:
+def fit(cells: list[np.ndarray], labels: np.ndarray, steps: int = 250, seed: int = 5) -> FactorizationMachine:
     """Adam on the mean log loss with weight decay; one row in five is held back for calibration.
     Cells are chosen by how far their log odds are from the mean, in deviations."""
     n_cells = 1 << HASH_BITS
@@ -103,12 +121,14 @@ def fit(cells: list[np.ndarray], labels: np.ndarray, steps: int = 150, seed: int
     rng = np.random.Generator(np.random.PCG64(seed))
     size = max(1, len(chosen))
     model = FactorizationMachine(slot, np.zeros(size), rng.normal(0, 0.05, (size, FACTORS)), float(np.log(n_pos / n_neg)))
-    slots, row = _flat([cells[i] for i in train], slot)
+    all_slots, all_rows = _flat([cells[i] for i in train], slot)
     y, n = labels[train], len(train)
     weight = np.where(y > 0, 0.5 / n_pos, 0.5 / n_neg)
     state = [np.zeros_like(x) for x in (model.linear, model.linear, model.factors, model.factors)]
     bias_state = [0.0, 0.0]
     for t in range(1, steps + 1):
+        seen = rng.random(len(all_slots)) < SEEN
+        slots, row = all_slots[seen], all_rows[seen]
         v = model.factors[slots]
         sums = _sum_rows(v, row, n)
         slope = weight * (sigmoid(model.margins(slots, row, n)) - y)
@@ -124,7 +144,7 @@ def fit(cells: list[np.ndarray], labels: np.ndarray, steps: int = 150, seed: int
         bias_state = [bias_state[0] + 0.1 * (g - bias_state[0]), bias_state[1] + 0.01 * (g * g - bias_state[1])]
         model.bias -= 0.1 * (bias_state[0] / (1 - 0.9**t)) / (np.sqrt(bias_state[1] / (1 - 0.99**t)) + 1e-8)
     held = np.flatnonzero(back)
-    model.scale = calibrate(model.margins(*_flat([cells[i] for i in held], slot), len(held)), labels[held])
+    model.scale = calibrate_at(model.margins(*_flat([cells[i] for i in held], slot), len(held)), labels[held], THRESHOLD)
     return model
 
 
@@ -147,16 +167,16 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
 
 def _score(model: FactorizationMachine, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = len(model.linear)
         for batch in batches:
             parts = [np.zeros(0)]
-            for _, cells, first in term_cells(batch.column("text")):
+            for _, lines, first in term_hashes(batch.column("text")):
                 n = len(first) - 1
-                slots = model.slot[cells]
-                at = np.flatnonzero(slots >= 0)
-                row = np.searchsorted(first, at, "right") - 1
-                pairs = np.unique(row * width + slots[at])
-                parts.append(model.scores(pairs % width, pairs // width, n))
+                # Lines without a cell of the model can be left out: a beginning counts or not as a whole.
+                used = (model.slot[(lines & _CELLS).astype(np.int64)] >= 0).any(1) | (model.slot[(_twice(lines[:, 1:]) & _CELLS).astype(np.int64)] >= 0).any(1)
+                kept = np.flatnonzero(used)
+                ends = np.searchsorted(kept, first)
+                found = [document_cells(lines[kept[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                parts.append(model.scores(*_flat(found, model.slot), n))
             scores = np.concatenate(parts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
