@@ -13,17 +13,21 @@ its strings repeats.
 Length of a run (200 to 336). Marks that share their name are named again by the whole stretch their strings cover. Where
 all marks of a name agree in the stretch, every string of the run repeats, and the run is settled.
 
-Length 200. What is left is named string by string, and a string repeats if its (mark, string) pair of
-names is shared. Stretches with equal names are asked once, with their number as weight.
+Then runs are split into ever shorter ones, of at most 32, 8, 2 and 1 strings, at fixed distances from the mark. The
+bytes that all strings of a part have in common grow from 169 to 200 and are ranked by the pair of the
+mark's name and their own: a part whose common bytes are unique drops out, one whose whole stretch is shared is
+settled, and only what is neither goes on. Equal stretches are asked once, with their number as weight.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +39,8 @@ GRAM = 64
 WINDOW = LENGTH - GRAM + 1
 #: String starts that are named at a time; longer documents are cut into overlapping pieces.
 PIECE = 1 << 22
+#: Most strings of a part in each round of splitting.
+PARTS = (32, 8, 2, 1)
 _STEP = np.uint64(0xA24BAED4963EE407)
 _BYTE = tx.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -133,24 +139,55 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _MARKS = "row long, name long, stretch long, first long, more short, lead short"
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The 200-byte names of the strings of the asked runs: 128 bytes, and 128 bytes at offset 72."""
+def _run_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes that the strings of each asked run cover."""
     for batch in batches:
         data, offsets = tx.utf8(batch.column("text"))
-        rows, runs = batch.column("row").to_numpy(), batch.column("runs").to_pylist()
+        rows, runs = batch.column("row").to_pylist(), batch.column("runs").to_pylist()
         out = []
         for i, asked in enumerate(runs):
             raw = data[offsets[i] : offsets[i + 1]]
-            for run in asked:
-                lo, n = run["first"], run["more"] + 1
-                if lo + n + LENGTH - 1 > len(raw):  # another text of the same doc_id
+            out += [(rows[i], r["first"], raw[r["first"] : r["first"] + r["more"] + LENGTH].tobytes()) for r in asked]
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["row", "run", "raw"])
+
+
+def _name(*parts: int, raw: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(raw, seed=xxhash.xxh3_64_intdigest(repr(parts))) - (1 << 63)
+
+
+def _split(size: int):
+    """Parts of runs by the strings' distance to the mark, ``size`` at most, with the names of their common
+    bytes and of their stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, start, first, more, lead, name, weight, raw in zip(*(batch.column(c).to_pylist() for c in ("row", "run", "first", "more", "lead", "name", "weight", "raw")), strict=True):
+                if len(raw) < first - start + more + LENGTH:  # another text of the same doc_id
                     continue
-                _, longer = names_of(raw[lo : lo + n + LENGTH - 1])
-                found = _doubled(longer, LENGTH - 128)
-                out.append((np.full(n, rows[i]), np.full(n, run["name"]), found.view(np.int64), lo + np.arange(n), np.full(n, run["weight"])))
-            if len(out) > 500 or (out and i == len(runs) - 1):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["row", "name", "string", "at", "weight"])
-                out = []
+                mark = first - start + lead  # in raw
+                for block in range((lead - more) // size, lead // size + 1):
+                    low, high = block * size, block * size + size - 1
+                    near, far = max(low, lead - more), min(high, lead)
+                    common = raw[mark - low : mark - high + LENGTH]
+                    stretch = raw[mark - far : mark - near + LENGTH]
+                    out.append((row, start, first + lead - far, far - near, far, _name(name, block, raw=common), _name(near, far, raw=stretch), weight))
+                if len(out) >= 20000:
+                    yield _parts(out)
+                    out = []
+            yield _parts(out)
+
+    return run
+
+
+_PARTS = "row long, run long, first long, more short, lead short, name long, stretch long, weight long"
+
+
+def _parts(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.int64())
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _PARTS.split(", ")])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,25 +215,32 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _rank(rows: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Settled ``(row, first, more)``, and what has a shared name but neither repeats wholly nor not at all:
+    one row a stretch, with its weight."""
+    shared = rows.groupBy("name").agg(F.sum("weight").alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("n > 1")
+    shared = shared.select("name", (F.col("low") == F.col("high")).alias("alike"))
+    survivors = materialise(rows.join(shared, "name"), "shared")
+    mixed = survivors.where("not alike")
+    one = F.min(F.struct("row", "run", "first", "more", "lead")).alias("one")
+    stretches = materialise(mixed.groupBy("name", "stretch").agg(F.sum("weight").alias("weight"), one), "stretches")
+    twice = stretches.where("weight > 1").select("name", "stretch")
+    settled = [survivors.where("alike"), mixed.join(twice, ["name", "stretch"], "left_semi")]
+    return [s.select("row", "first", "more") for s in settled], stretches.select("one.*", "name", "weight")
+
+
 def repeated_runs(base: DataFrame) -> DataFrame:
     """``(row, first, more)``: runs of string starts, in bytes, whose ``LENGTH``-byte strings start elsewhere
     too, for ``base(row, text)``."""
     marks = materialise(base.where(F.octet_length("text") >= LENGTH).select("row", "text").mapInArrow(_marks, _MARKS), "marks")
-    shared = marks.groupBy("name").agg(F.count("*").alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("n > 1")
-    shared = shared.select("name", (F.col("low") == F.col("high")).alias("alike"))
-    survivors = materialise(marks.join(shared, "name"), "shared")
-    settled = survivors.where("alike").select("row", "first", "more")
-    mixed = survivors.where("not alike")
-    # Equal stretches: all of them repeat, and one of them speaks for all when strings are compared.
-    stretches = mixed.groupBy("name", "stretch").agg(F.count("*").alias("weight"), F.min(F.struct("row", "first", "more")).alias("one"))
-    stretches = materialise(stretches, "stretches")
-    twice = stretches.where("weight > 1").select("name", "stretch")
-    settled = settled.unionByName(mixed.join(twice, ["name", "stretch"], "left_semi").select("row", "first", "more"))
-    asked = stretches.select("one.row", F.struct("one.first", "one.more", "name", "weight").alias("run")).groupBy("row").agg(F.collect_list("run").alias("runs"))
-    strings = materialise(base.select("row", "text").join(asked, "row").mapInArrow(_strings, "row long, name long, string long, at long, weight long"), "strings")
-    counts = strings.groupBy("name", "string").agg(F.sum("weight").alias("n")).where("n > 1").select("name", "string")
-    single = strings.where("weight = 1").join(counts, ["name", "string"], "left_semi").select("row", F.col("at").alias("first"), F.lit(0).cast("short").alias("more"))
-    return settled.unionByName(single)
+    settled, open_ = _rank(marks.withColumn("run", F.col("first")).withColumn("weight", F.lit(1).cast("long")))
+    asked = open_.groupBy("row").agg(F.collect_list(F.struct("first", "more")).alias("runs"))  # one document's
+    raw = materialise(base.select("row", "text").join(asked, "row").mapInArrow(_run_bytes, "row long, run long, raw binary").dropDuplicates(["row", "run"]), "run-bytes")
+    for size in PARTS:
+        parts = materialise(open_.join(raw, ["row", "run"]).mapInArrow(_split(size), _PARTS), "parts")
+        more, open_ = _rank(parts)
+        settled += more
+    return reduce(DataFrame.unionByName, settled)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
