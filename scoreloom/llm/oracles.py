@@ -6,7 +6,7 @@ WITH d AS (
 ), w AS (
   SELECT row, doc_id, text,
          regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM d
 ), windows AS (
   SELECT row, i, array_to_string(words[i:i+7], ' ') AS key
@@ -19,15 +19,15 @@ WITH d AS (
 ), m AS (
   SELECT w.doc_id,
          CAST(len(words) AS BIGINT) AS n_words,
-         CAST(coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words,
          len(lines) AS n_lines,
-         len(list_filter(words, x -> regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter_words,
+         len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter_words,
          length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters,
          length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
-         len(list_filter(range(2, len(words) + 1), i -> words[i] = words[i - 1])) AS n_stutters
+         len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_stutters
   FROM w LEFT JOIN repeated USING (row)
 ), b AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
