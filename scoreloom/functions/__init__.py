@@ -1 +1,57 @@
+"""Column helpers shared by all operators."""
 
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+HAN = "[\\u4e00-\\u9fa5]"
+
+
+def strip(c: Column) -> Column:
+    """Without leading and trailing blanks of any script."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def null_if_blank(c: Column) -> Column:
+    return F.nullif(strip(c), F.lit(""))
+
+
+def try_double(c: Column) -> Column:
+    return c.try_cast("double")
+
+
+def contains_any(c: Column, words: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, [c.contains(w) for w in words])
+
+
+def first_match(c: Column, pattern: str, group: int = 0) -> Column:
+    """The first match, or null."""
+    found = F.regexp_extract(c, pattern, group)
+    return F.when(c.rlike(pattern), found)
+
+
+def find(c: Column, pattern: str) -> Column:
+    """0-based start of the first match, or null."""
+    return F.nullif(F.regexp_instr(c, F.lit(pattern)), F.lit(0)) - 1
+
+
+def ellipsis(c: Column, n: int) -> Column:
+    return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("..."))).otherwise(c)
+
+
+def last_index(c: Column, literal: str) -> Column:
+    """0-based start of the last occurrence of ``literal``, or -1."""
+    at = F.locate(literal[::-1], F.reverse(c))
+    return F.when(at > 0, F.length(c) - at - len(literal) + 1).otherwise(-1)
+
+
+def replace_all(c: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    """Regex rules one after another; classes are those of Unicode."""
+    return reduce(lambda x, rule: F.regexp_replace(x, "(?U)" + rule[0], rule[1]), rules, c)
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))

@@ -1 +1 @@
-
+"""DataFrame and Column operators over evaluation data."""

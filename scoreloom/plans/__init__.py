@@ -1,11 +1,16 @@
-"""The registered queries over the reference tables and the SQL they are compared with."""
+"""The registered queries over the given tables and the SQL they are compared with."""
 
 from __future__ import annotations
 
+from scoreloom.plans import analytics, scoring, tables
+from scoreloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["analytics", "oracle_sql", "queries", "scoring", "tables"]
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
