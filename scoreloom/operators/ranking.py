@@ -39,16 +39,20 @@ def sample_rows(df: DataFrame, n: int, *key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
 
 
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def progress(df: DataFrame, task: str, ts: str, key: str) -> DataFrame:
     """Done so far, of all, percent and seconds left at the pace until then, after each event of a task."""
     past = W.partitionBy(task).orderBy(ts, key).rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy(task)
     df = df.withColumns({"done": F.count("*").over(past), "all_n": F.count("*").over(whole), "began": F.min(ts).over(whole)})
-    elapsed = F.unix_micros(ts) - F.unix_micros("began")
+    elapsed = _micros(ts) - _micros("began")
     return df.withColumns({"pct": F.floor(F.col("done") * 100 / F.col("all_n")), "eta_s": F.floor(elapsed / F.col("done") * (F.col("all_n") - F.col("done")) / 1e6)}).drop("began")
 
 
 def look_back(df: DataFrame, key: str, ts: str, seconds: int, name: str) -> DataFrame:
     """Events of the same key in the ``seconds`` before and at each event."""
-    micros = F.unix_micros(ts)
+    micros = _micros(ts)
     return df.withColumn(name, F.count("*").over(W.partitionBy(key).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)))

@@ -1,0 +1,357 @@
+"""Queries of the reading, writing, filtering, joining and merging operators, and of the running counters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scoreloom import streaming
+from scoreloom.functions import contains_any, ellipsis, strip
+from scoreloom.operators import documents, merging, questions, ranking
+from scoreloom.plans.fixture import FX, SC, evaluations, models, scored
+from scoreloom.plans.registry import query, table
+from scoreloom.sources import readers, writers
+
+#: Cases: five documents each, the first one's text is the case's.
+_CASES = "WITH cases AS (SELECT doc_id // 5 AS case_id, 'case ' || (doc_id // 5) AS title, text AS case_text, source FROM documents WHERE doc_id % 5 = 0)"
+
+
+def _cases(spark, d):
+    docs = table(spark, d, "documents").where("doc_id % 5 = 0")
+    case = F.floor(F.col("doc_id") / 5).cast("long")
+    return docs.select(case.alias("case_id"), F.concat(F.lit("case "), case).alias("title"), F.col("text").alias("case_text"), "source")
+
+
+# Sources. Text that a file would hold is made from the tables, so that both engines read the same.
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS case_id, source AS title, left(text, 30) AS case_text, lang AS judge_decision FROM documents")
+def s01_case_store(spark, d):
+    record = F.struct(F.col("source").alias("title"), F.left("text", F.lit(30)).alias("case_text"), F.col("lang").alias("judge_decision"))
+    store = table(spark, d, "documents").select(F.to_json(F.create_map(F.col("doc_id").cast("string"), record)).alias("value"))
+    parsed = F.from_json("value", f"map<string,{readers.CASE}>", {"mode": "PERMISSIVE"})
+    return store.select(F.explode(parsed).alias("case_id", "r")).select("case_id", "r.title", "r.case_text", "r.judge_decision")
+
+
+@query(f"{_CASES} SELECT case_id, title FROM cases WHERE case_id = 7")
+def s02_get_case(spark, d):
+    return _cases(spark, d).where("case_id = 7").select("case_id", "title")
+
+
+@query("SELECT doc_id, trim(CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN '  ' ELSE ' ' || source || ' ' END) AS title, '' AS case_date FROM documents WHERE doc_id % 4 > 1")
+def s03_import_sheet(spark, d):
+    title = F.when(F.col("doc_id") % 4 == 1, "  ").when(F.col("doc_id") % 4 > 1, F.concat(F.lit(" "), "source", F.lit(" ")))
+    rows = table(spark, d, "documents").select("doc_id", title.alias("title"), F.lit("x").alias("case_text"))
+    return readers.import_sheet(rows).select("doc_id", "title", "case_date")
+
+
+@query(f"{FX} SELECT case_id, q_no, CASE mi WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS model FROM fx WHERE mi < 2")
+def s04_model_sheets(spark, d):
+    table_of = F.create_map(F.lit("m0"), F.lit("A"), F.lit("m1"), F.lit("B"))
+    rows = evaluations(spark, d).where(F.col("model").isin("m0", "m1"))
+    return rows.select("case_id", "q_no", F.try_element_at(table_of, F.col("model")).alias("model"))
+
+
+@query()
+def s05_latest_file(spark, d):
+    return readers.latest_file(spark, f"{d}/*.parquet").select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"))
+
+
+@query("SELECT max(source) AS path FROM documents WHERE contains(source, '1')")
+def s06_latest_dir(spark, d):
+    return readers.latest_dir(table(spark, d, "documents").select(F.col("source").alias("path")), must_contain="1")
+
+
+@query("SELECT page_id, CASE WHEN contains(lower(url), '1') THEN 'one' WHEN contains(lower(url), '2') THEN 'two' END AS model FROM pages")
+def s07_route_model(spark, d):
+    return table(spark, d, "pages").select("page_id", readers.route_model(F.col("url"), (("1", "one"), ("2", "two"))).alias("model"))
+
+
+@query(f"{FX} SELECT model, count(*) AS n FROM fx WHERE model <> 'm3' GROUP BY model")
+def s08_sheet_adapter(spark, d):
+    return evaluations(spark, d).where("model <> 'm3'").groupBy("model").agg(F.count("*").alias("n"))
+
+
+@query()
+def s09_s11_document_folder(spark, d):
+    return readers.document_folder(spark, f"{d}/region.parquet").select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), F.col("content").isNotNull().alias("read"))
+
+
+@query("SELECT doc_id, CAST(k AS INTEGER) AS q_no, source || k AS question FROM documents, range(1, 6) r(k) WHERE (doc_id + k) % 3 <> 0")
+def s12_melt_questions(spark, d):
+    wide = table(spark, d, "documents").select("doc_id", *[F.when((F.col("doc_id") + k) % 3 != 0, F.concat("source", F.lit(str(k)))).otherwise("nan" if k % 2 else " ").alias(f"问题{k}") for k in range(1, 6)])
+    return readers.melt_questions(wide, ["doc_id"], [f"问题{k}" for k in range(1, 6)])
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id < 10")
+def s13_pruned_scan(spark, d):
+    return table(spark, d, "documents").select("doc_id", "source").where("doc_id < 10")
+
+
+@query("SELECT doc_id, n_chars AS tokens_in, doc_id AS tokens_out, n_chars + doc_id AS tokens_total FROM documents WHERE doc_id % 3 <> 0")
+def s14_token_log(spark, d):
+    said = F.concat(F.lit("x [Token使用] 输入: "), "n_chars", F.lit(", 输出: "), "doc_id", F.lit(", 总计: "), F.col("n_chars") + F.col("doc_id"))
+    lines = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, said).otherwise(F.lit("other line")).alias("value"))
+    return readers.token_log(lines)
+
+
+@query("SELECT 'm' || doc_id AS model, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(n_chars AS DOUBLE) END AS avg_in, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(doc_id AS DOUBLE) END AS avg_out, CAST(3 AS DOUBLE) AS calls FROM documents")
+def s15_token_report(spark, d):
+    first = F.when(F.col("doc_id") % 4 == 0, F.lit("数据不可用  数据不可用  数据不可用")).otherwise(F.concat_ws("   ", F.col("n_chars").cast("string"), F.col("doc_id").cast("string"), F.lit("9")))
+    text = F.concat(F.lit("intro\n== tokens ==\n模型  输入  输出  总计  次数\n------\nm"), F.col("doc_id").cast("string"), F.lit("  "), first, F.lit("  3\n\nend"))
+    return readers.token_report(table(spark, d, "documents").select(text.alias("value")), "== tokens ==").select("model", "avg_in", "avg_out", "calls")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS case_id, source AS case_title, CAST(k AS INTEGER) AS q_no, lang || k AS question FROM documents, range(1, 4) r(k)")
+def s16_prepared_cases(spark, d):
+    record = F.struct(F.col("source").alias("case_title"), F.array(*[F.concat("lang", F.lit(str(k))) for k in (1, 2, 3)]).alias("questions"))
+    whole = table(spark, d, "documents").select(F.to_json(F.create_map(F.col("doc_id").cast("string"), record)).alias("value"))
+    parsed = F.from_json("value", f"map<string,{readers.PREPARED}>")
+    rows = whole.select(F.explode(parsed).alias("case_id", "r")).select("case_id", "r.case_title", F.posexplode("r.questions").alias("p", "question"))
+    return rows.select("case_id", "case_title", (F.col("p") + 1).alias("q_no"), "question")
+
+
+@query(f"{FX}, r AS (SELECT doc_id // 7 AS case_id, CAST(doc_id % 7 AS INTEGER) AS q_no, 'q' || doc_id AS question FROM documents), c AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY q_no) AS rn, count(*) OVER (PARTITION BY case_id) AS n FROM r) SELECT case_id, q_no, question FROM c WHERE n >= 5 AND rn <= 5")
+def s17_reuse_questions(spark, d):
+    docs = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 7).cast("long").alias("case_id"), (F.col("doc_id") % 7).cast("int").alias("q_no"), F.concat(F.lit("q"), "doc_id").alias("question"))
+    return merging.reuse_questions(docs.withColumn("model", F.lit("DeepSeek")).unionByName(docs.withColumn("model", F.lit("other"))), "DeepSeek")
+
+
+# Exports.
+
+
+@query(f"{_CASES} SELECT case_id, CASE WHEN length(case_text) > 500 THEN left(case_text, 500) || '...' ELSE case_text END AS case_text FROM cases")
+def k04_case_summary(spark, d):
+    return writers.case_summary(_cases(spark, d)).select("case_id", "case_text")
+
+
+@query("SELECT doc_id // 5 AS case_id, doc_id, CAST(row_number() OVER (PARTITION BY doc_id // 5 ORDER BY doc_id) AS INTEGER) AS idx FROM documents")
+def k04_question_list(spark, d):
+    rows = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 5).cast("long").alias("case_id"), "doc_id")
+    return writers.question_list(rows, ["case_id"], "doc_id")
+
+
+@query("SELECT * FROM (VALUES ('示例案例一', '案件事实。', '2024-01-01', '判决如下：支持。'), ('示例案例二', '案件事实。', '', '')) t(title, case_text, case_date, judge_decision)")
+def k05_import_template(spark, d):
+    return writers.import_template(spark)
+
+
+@query(f"{SC} SELECT model, q_no, count(*) AS n, CAST(sum(n_major) AS BIGINT) AS major FROM sc WHERE case_id < 3 GROUP BY model, q_no")
+def k06_session_export(spark, d):
+    return scored(spark, d).where("case_id < 3").groupBy("model", "q_no").agg(F.count("*").alias("n"), F.sum("n_major").alias("major"))
+
+
+@query("SELECT CAST(n_name AS VARCHAR) AS section, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+def k08_report_table(spark, d):
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy(F.col("n_name").alias("section")).agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def k09_latest_usage(spark, d):
+    return writers.latest_usage(table(spark, d, "events"), "ts", "event_id").select("event_id")
+
+
+@query(f"{SC} SELECT model, grade, count(*) AS n FROM sc GROUP BY model, grade")
+def k10_chart_frame(spark, d):
+    return scored(spark, d).groupBy("model", "grade").agg(F.count("*").alias("n"))
+
+
+# Filters.
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(source), lower('SRC1')) OR contains(lower(text), lower('Nest'))")
+def f01_keyword_search(spark, d):
+    found = F.contains(F.lower("source"), F.lower(F.lit("SRC1"))) | F.contains(F.lower("text"), F.lower(F.lit("Nest")))
+    return table(spark, d, "documents").where(found).select("doc_id")
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) + 1 AS INTEGER) AS sheet_row, CAST((doc_id % 4 = 0)::INT + (doc_id % 5 = 1)::INT AS INTEGER) AS n_errors FROM documents")
+def f02_validate_import(spark, d):
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").select("doc_id", F.when(i % 4 == 0, " ").otherwise(F.col("source")).alias("title"), F.lit("t").alias("case_text"), F.when(i % 5 == 1, "2024-13-01").when(i % 5 == 2, "2024-02-29").otherwise("").alias("case_date"))
+    return readers.validate_import(rows, "doc_id").select("doc_id", "sheet_row", F.size("errors").alias("n_errors"))
+
+
+@query("SELECT page_id, page_id % 3 < 2 AS allowed FROM pages")
+def f03_extensions(spark, d):
+    name = F.concat(F.lit("F"), "page_id", F.element_at(F.array(F.lit(".XLSX"), F.lit(".xls"), F.lit(".docx")), (F.col("page_id") % 3 + 1).cast("int")))
+    return table(spark, d, "pages").select("page_id", F.lower(name).rlike(r"\.xlsx?$").alias("allowed"))
+
+
+@query(f"{_CASES} SELECT case_id FROM cases ORDER BY case_id LIMIT 12")
+def f04_select_cases(spark, d):
+    return merging.select_cases(_cases(spark, d), first=12).select("case_id")
+
+
+@query("SELECT doc_id, '' AS note, CASE WHEN lang = 'en' THEN '' ELSE lang END AS lang FROM documents")
+def f11_scrub_columns(spark, d):
+    rows = table(spark, d, "documents").select(F.when(F.col("lang") == "en", "nan").otherwise(F.col("lang")).alias("lang"), F.lit("None").alias("note"), "doc_id")
+    return merging.union_coerced(rows.limit(0), rows, ["lang", "note"], []).select("doc_id", "note", "lang")
+
+
+@query("SELECT doc_id, coalesce(CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' END, lang) AS shown FROM documents")
+def f12_display_names(spark, d):
+    names = F.create_map(F.lit("en"), F.lit("English"), F.lit("fr"), F.lit("French"))
+    return table(spark, d, "documents").select("doc_id", F.coalesce(F.try_element_at(names, F.col("lang")), F.col("lang")).alias("shown"))
+
+
+@query(r"SELECT page_id, regexp_replace(left(html, 300) || chr(7), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g') AS cell FROM pages")
+def f13_clean_cell(spark, d):
+    return table(spark, d, "pages").select("page_id", documents.clean_cell(F.concat(F.left("html", F.lit(300)), F.lit("\x07"))).alias("cell"))
+
+
+@query("SELECT doc_id, CAST(NULL AS DOUBLE) AS total, CAST(0 AS BIGINT) AS counted FROM documents")
+def f14_missing_columns(spark, d):
+    rows = merging.ensure_columns(table(spark, d, "documents").select("doc_id"), {"total": "double"})
+    return rows.withColumn("counted", F.coalesce(F.col("total").cast("long"), F.lit(0).cast("long")))
+
+
+# Joins.
+
+
+@query(f"{_CASES} SELECT case_id, title, case_id % 3 = 0 AS ready FROM cases")
+def j01_prepared_cases(spark, d):
+    prepared = _cases(spark, d).where("case_id % 3 = 0").select("case_id", F.col("title").alias("masked_title"))
+    return merging.prepared_or(_cases(spark, d), prepared, ["masked_title"]).select("case_id", "title", "ready")
+
+
+@query(f"{_CASES} SELECT case_id, CASE WHEN case_id % 2 = 0 THEN 'old ' || case_id ELSE 'new ' || case_id END AS question FROM cases")
+def j02_existing_questions(spark, d):
+    old = _cases(spark, d).where("case_id % 2 = 0").select("case_id", F.concat(F.lit("old "), "case_id").alias("question"))
+    rows = merging.prepared_or(_cases(spark, d), old, ["question"])
+    return rows.select("case_id", F.coalesce("question", F.concat(F.lit("new "), "case_id")).alias("question"))
+
+
+@query(f"{_CASES}, ids AS (SELECT range * 7 AS case_id FROM range(60)) SELECT case_id, case_id NOT IN (SELECT case_id FROM cases) AS missing FROM ids")
+def j03_missing_ids(spark, d):
+    ids = spark.range(60).select((F.col("id") * 7).alias("case_id"))
+    found = merging.select_cases(_cases(spark, d), ids).select("case_id", F.lit(False).alias("missing"))
+    return found.unionByName(merging.missing_ids(_cases(spark, d), ids).withColumn("missing", F.lit(True)))
+
+
+@query("SELECT source || '/' || lang AS title, min(doc_id) AS doc_id FROM documents WHERE source || '/' || lang NOT IN (SELECT source || '/' || lang FROM documents WHERE doc_id < 20) GROUP BY 1")
+def j04_import_new(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("title"))
+    return merging.import_new(docs.where("doc_id < 20").select("title").distinct(), docs, "doc_id").select("title", "doc_id")
+
+
+@query(f"{FX} SELECT case_id, min(title) AS title FROM fx GROUP BY case_id")
+def j08_first_title(spark, d):
+    return evaluations(spark, d).groupBy("case_id").agg(F.min_by("title", F.struct("q_no", "model")).alias("title"))
+
+
+_ZIP = "s AS (SELECT conv_id, list(text ORDER BY turn) FILTER (WHERE role = 'user') AS q, list(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS a FROM conversations GROUP BY conv_id)"
+
+
+@query(f"WITH {_ZIP} SELECT conv_id, CAST(i AS INTEGER) AS idx, q[i] AS q, a[i] AS a FROM (SELECT *, unnest(range(1, least(len(q), len(a)) + 1)) AS i FROM s WHERE q IS NOT NULL AND a IS NOT NULL)")
+def j09_zip_by_index(spark, d):
+    turns = table(spark, d, "conversations")
+    # One conversation's turns of each role, in order.
+    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])
+    both = turns.groupBy("conv_id").agg(of("user").alias("q"), of("assistant").alias("a"))
+    return questions.pair_by_index(both, ["conv_id"], "q", "a")
+
+
+@query("SELECT provider, CAST(sum(event_id % 1000) AS BIGINT) * rate AS cost FROM events, (VALUES ('a', 2), ('b', 3)) p(provider, rate) GROUP BY provider, rate")
+def j11_tokens_prices(spark, d):
+    total = table(spark, d, "events").agg(F.sum(F.col("event_id") % 1000).alias("tokens"))
+    prices = spark.createDataFrame([("a", 2), ("b", 3)], "provider string, rate long")
+    return total.crossJoin(F.broadcast(prices)).select("provider", (F.col("tokens") * F.col("rate")).alias("cost"))  # two prices
+
+
+# Sets.
+
+
+@query("SELECT doc_id, source AS title, CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars AS DOUBLE) END AS total, CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END AS grade FROM documents")
+def u01_union_coerced(spark, d):
+    docs = table(spark, d, "documents")
+    old = docs.where("doc_id % 2 = 0").select("doc_id", F.col("source").alias("title"), F.col("n_chars").cast("string").alias("total"))
+    new = docs.where("doc_id % 2 = 1").select("doc_id", F.col("source").alias("title"), F.lit("none").alias("total"), F.col("lang").alias("grade"))
+    return merging.union_coerced(old, new, ["title", "grade"], ["total"])
+
+
+@query("SELECT count(*) FILTER (WHERE doc_id % 2 = 0) AS n_old, count(*) FILTER (WHERE doc_id % 2 = 1) AS n_new, count(*) AS n_all, true AS rows_ok, true AS answers_ok FROM documents")
+def u02_union_checks(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("answer"))
+    old, new = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    return merging.union_checks(old, new, old.unionByName(new)).select("n_old", "n_new", "n_all", "rows_ok", "answers_ok")
+
+
+@query("SELECT DISTINCT doc_id // 5 AS case_id FROM documents ORDER BY 1 LIMIT 20")
+def u03_distinct_ids(spark, d):
+    ids = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 5).cast("long").alias("case_id"))
+    return ranking.top(ids.union(ids).distinct(), 20, F.col("case_id"))
+
+
+@query("SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
+def u04_keep_first(spark, d):
+    return ranking.keep_first(table(spark, d, "documents").select("source", "doc_id"), ["source"], F.col("doc_id"))
+
+
+@query("SELECT d.doc_id, len(list_intersect(list_distinct(string_split(d.text, ' ')), list_distinct(string_split(b.text, ' ')))) AS common FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
+def u05_row_sets(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
+    both = docs.join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("b")), "item_id")
+    return both.select("doc_id", F.size(F.array_intersect(F.split("text", " "), F.split("b", " "))).cast("long").alias("common"))
+
+
+@query(f"{FX} SELECT model, count(*) AS n, CAST(sum(CASE WHEN mi = 2 THEN 1 ELSE n END) AS BIGINT) AS s FROM fx GROUP BY model")
+def u06_replace_part(spark, d):
+    old = evaluations(spark, d).select("model", "case_id", "q_no", "n")
+    new = old.where("model = 'm2'").withColumn("n", F.lit(1).cast("long"))
+    return merging.replace_part(old, new).groupBy("model").agg(F.count("*").alias("n"), F.sum("n").alias("s"))
+
+
+# Model stage with the stand-in client, and running counters on the batch table.
+
+
+@query("SELECT doc_id, left('问：' || left(text, 500), 200) AS reply FROM documents")
+def x01_model_stage(spark, d):
+    from scoreloom.sources.models import ask
+
+    asked = table(spark, d, "documents").select("doc_id", F.concat(F.lit("问："), F.left("text", F.lit(500))).alias("prompt"))
+    return ask(asked, "prompt").select("doc_id", "reply")
+
+
+@query(f"{_CASES} SELECT case_id + 0 AS case_id, CASE WHEN case_id % 4 = 1 THEN 'renamed' ELSE title END AS title FROM cases WHERE case_id % 4 <> 0")
+def x07_case_updates(spark, d):
+    cases = _cases(spark, d).select("case_id", "title")
+    gone, renamed = cases.where("case_id % 4 = 0").select("case_id"), cases.where("case_id % 4 = 1").select("case_id", F.lit("renamed").alias("new_title"))
+    return cases.join(gone, "case_id", "left_anti").join(renamed, "case_id", "left").select("case_id", F.coalesce("new_title", "title").alias("title"))
+
+
+@query("SELECT user_id, count(*) AS seen, count(*) FILTER (WHERE event_type = 'click') AS done FROM events GROUP BY user_id")
+def y01_task_progress(spark, d):
+    events = table(spark, d, "events").withColumn("is_done", F.col("event_type") == "click")
+    return streaming.task_progress(events, "user_id", "is_done")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS calls, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1")
+def y02_daily_totals(spark, d):
+    return streaming.daily_totals(table(spark, d, "events"), "ts", "event_id").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("""SELECT event_type, count(*) AS windows, CAST(sum(n) AS BIGINT) AS events FROM (
+  SELECT event_type, w, count(*) AS n FROM (SELECT event_type, unnest([epoch_us(ts) // 3600000000, epoch_us(ts) // 3600000000 - 1]) AS w FROM events) GROUP BY event_type, w) GROUP BY event_type""")
+def y03_sliding_counts(spark, d):
+    counts = streaming.sliding_counts(table(spark, d, "events"), "ts", "event_type", "2 hours", "1 hour")
+    return counts.groupBy("event_type").agg(F.count("*").alias("windows"), F.sum("n").alias("events"))
+
+
+# Scalars in use.
+
+
+@query("""SELECT doc_id, regexp_extract('r_20240102_030405_' || doc_id || '个案例.xlsx', '(\\d{8}_\\d{6})', 1) AS stamp, CAST(doc_id AS BIGINT) AS cases, left(md5(source), 8) AS tag,
+CASE WHEN length(text) > 30 THEN left(text, 30) || '...' ELSE text END AS short, strpos(text, 'e') > 0 AS has_e FROM documents""")
+def z14_scalars(spark, d):
+    name = F.concat(F.lit("r_20240102_030405_"), "doc_id", F.lit("个案例.xlsx"))
+    return table(spark, d, "documents").select(
+        "doc_id", F.regexp_extract(name, r"(\d{8}_\d{6})", 1).alias("stamp"), F.regexp_extract(name, r"(\d+)个案例", 1).cast("long").alias("cases"),
+        F.left(F.md5("source"), F.lit(8)).alias("tag"), ellipsis(F.col("text"), 30).alias("short"), contains_any(F.col("text"), ("e",)).alias("has_e"),
+    )
+
+
+@query(f"{FX} SELECT model, count(*) AS n FROM fx WHERE answer IS NOT NULL AND trim(answer) <> '' GROUP BY model")
+def z15_union_by_model(spark, d):
+    every = evaluations(spark, d).where(F.coalesce(strip(F.col("answer")), F.lit("")) != "")
+    return models(spark).join(every.groupBy("model").agg(F.count("*").alias("n")), "model").select("model", "n")
