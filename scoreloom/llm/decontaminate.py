@@ -2,7 +2,7 @@
 
 For an item of L words, every window of L words of a document is a possible copy. Windows and items
 are compared by weighted five-word shingles; a shingle's weight is how often it occurs. A window can only
-reach the threshold if shingles of some item make up at least that share of its weight, which one pass
+reach the threshold if shingles of items of L words make up at least that share of its weight, which one pass
 over the text decides exactly; the surviving windows get 64-bit SimHash fingerprints. Fingerprints are
 cut into RADIUS + 1 blocks: two within RADIUS bits agree in a block, so an equality join on
 (length, block number, block bits) finds all of them. Those within the radius are decided by
@@ -87,30 +87,22 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _printed(rows)
 
 
-def windows_of(hits: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(first word, words) of all windows in which item shingles have the needed share of the weight."""
+def windows_of(hits: np.ndarray, n: int) -> np.ndarray:
+    """First words of the windows of ``n`` words in which ``hits`` have the needed share of the weight."""
+    span = n - SHINGLE + 1
+    if span > len(hits):
+        return np.zeros(0, np.int64)
     total = np.concatenate(([0], np.cumsum(hits)))
-    for n in lengths:
-        span = n - SHINGLE + 1
-        if span <= len(hits):
-            share = total[span:] - total[:-span]
-            for at in np.flatnonzero(100 * share >= PERCENT * span):
-                yield int(at), int(n)
+    return np.flatnonzero(100 * (total[span:] - total[:-span]) >= PERCENT * span)
 
 
 def _windows(shingles: np.ndarray, lengths: np.ndarray):
+    """``shingles``, sorted, and the ``lengths`` of the items they come from; a shingle of items of several lengths is
+    there several times."""
     mask = np.uint64((1 << 22) - 1)
     table = np.zeros(1 << 22, bool)  # a first look; hits are confirmed in the sorted list
     table[(shingles & mask).astype(np.int64)] = True
 
-    def known(found: np.ndarray) -> np.ndarray:
-        maybe = table[(found & mask).astype(np.int64)]
-        at = np.flatnonzero(maybe)
-        if len(at):
-            near = np.minimum(np.searchsorted(shingles, found[at]), len(shingles) - 1)
-            maybe[at] = shingles[near] == found[at]
-        return maybe
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tx.utf8(batch.column("text"))
@@ -118,15 +110,24 @@ def _windows(shingles: np.ndarray, lengths: np.ndarray):
             for i, j in tx.slices(offsets):
                 words, first = tx.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 found = tx.shingle_hashes(words, SHINGLE)
-                hits = known(found) if len(found) else np.zeros(0, bool)
-                spots = np.flatnonzero(hits)
-                for d in np.unique(np.searchsorted(first, spots, "right") - 1):
+                spots = np.flatnonzero(table[(found & mask).astype(np.int64)])
+                low, high = np.searchsorted(shingles, found[spots], "left"), np.searchsorted(shingles, found[spots], "right")
+                known = high > low
+                spots, low, high = spots[known], low[known], high[known]
+                doc = np.searchsorted(first, spots, "right") - 1
+                for d in np.unique(doc):
                     lo, hi = first[d], first[d + 1] - SHINGLE + 1
-                    for at, n in windows_of(hits[lo:hi], lengths) if hi > lo else ():
-                        rows.append((ids[i + d], at, n, found[lo + at : lo + at + n - SHINGLE + 1]))
-                        if len(rows) >= 4096:
-                            yield _printed(rows)
-                            rows = []
+                    own = np.flatnonzero((doc == d) & (spots < hi))
+                    at = np.repeat(spots[own], high[own] - low[own]) - lo
+                    of = np.concatenate([np.zeros(0, np.int64), *(lengths[a:b] for a, b in zip(low[own], high[own], strict=True))])
+                    for n in np.unique(of):
+                        hits = np.zeros(max(0, hi - lo), bool)
+                        hits[at[of == n]] = True
+                        for start in windows_of(hits, int(n)):
+                            rows.append((ids[i + d], int(start), int(n), found[lo + start : lo + start + n - SHINGLE + 1]))
+                    if len(rows) >= 4096:
+                        yield _printed(rows)
+                        rows = []
             yield _printed(rows)
 
     return run
@@ -161,9 +162,9 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, items_per_pass:
         rows = part.select("n_words", "bag").collect()
         if not rows:
             continue
-        shingles = np.unique(np.concatenate([np.frombuffer(r["bag"], np.uint64) for r in rows]))
-        lengths = np.unique([r["n_words"] for r in rows])
-        windows = materialise(base.mapInArrow(_windows(shingles, lengths), _PRINTED), "windows")
+        bags = [np.unique(np.frombuffer(r["bag"], np.uint64)) for r in rows]
+        pairs = np.unique(np.stack([np.concatenate(bags), np.repeat([r["n_words"] for r in rows], [len(b) for b in bags]).astype(np.uint64)], 1), axis=0)
+        windows = materialise(base.mapInArrow(_windows(pairs[:, 0].copy(), pairs[:, 1].astype(np.int64)), _PRINTED), "windows")
         # Copies of a passage make the same windows in many documents: each content is compared once.
         name = ["n_words", "print", "content"]
         contents = windows.groupBy(*name).agg(F.first("bag").alias("bag"), F.first("parts").alias("parts"))
