@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm import text as tx
+from scoreloom.llm.keyfilter import drop_matching
 from scoreloom.llm.storage import materialise
 
 SHINGLE = 5
@@ -192,4 +193,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no copy of a benchmark item; null doc_ids stay."""
     bad = contaminated_windows(docs, benchmark).select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == F.col("bad"), "left_anti")
+    return drop_matching(docs, "doc_id", materialise(bad, "bad"), "bad")

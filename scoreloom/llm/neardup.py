@@ -7,9 +7,9 @@ register agreement, corrected for chance collisions, rejects hopeless ones; all
 the full shingle sets.
 
 No band bucket is expanded into pairs. Every member is tested against the bucket's smallest member, and the
-links found give components. Buckets that still span several components are then tested exactly: members
-outside the main component against all members, in blocks of about 128 rows, with only the pairs that pass
-the register estimate leaving a block.
+links found give components. Buckets that still span several components are then searched exactly: members
+outside the main component against all members, in blocks of about 512 rows. A block tests pairs in
+the first band they share only, and gives out confirmed links, at most one for each row and component.
 """
 
 from __future__ import annotations
@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm import text as tx
 from scoreloom.llm.components import connected_components
+from scoreloom.llm.keyfilter import drop_matching, keep_matching
 from scoreloom.llm.storage import materialise
 
 BUCKET_BITS = 7
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 BAND = 4
-BLOCK = 128
+BLOCK = 512
 #: Standard deviations by which an estimate may fall short of the threshold before a pair is rejected.
 SLACK = 6.0
 
@@ -123,7 +124,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 2000)
             keys = band_keys(densify(_matrix(part.column("registers"))))
             ids = np.repeat(part.column("rep").to_numpy(), per)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["band", "rep"])
+            places = np.tile(np.arange(per, dtype=np.int16), part.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(places), pa.array(ids)], names=["band", "place", "rep"])
 
 
 def _estimate(threshold: float):
@@ -152,20 +154,31 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _block_pairs(threshold: float):
+def _block_links(k: int, percent: int):
+    threshold = percent / 100
+
     def run(table: pa.Table) -> pa.Table:
-        role = np.asarray(table.column("query").to_pylist(), bool)
         ids, comps = table.column("rep").to_numpy(), table.column("comp").to_numpy()
-        regs = _matrix(table.column("registers").combine_chunks())
+        role, place = np.asarray(table.column("query").to_pylist(), bool), table.column("place")[0].as_py()
+        sets = [s for _, part in tx.shingle_sets(table.column("text").combine_chunks(), k) for s in part]
+        sizes = np.array([len(s) for s in sets])
+        regs = np.stack([registers_of(s) for s in sets])
+        before = band_keys(densify(regs))[:, :place]
         queries, others = np.flatnonzero(role), np.flatnonzero(~role)
-        found_a, found_b = [], []
+        found = []
         for q in queries:
-            against = others[comps[others] != comps[q]]
-            good = against[passes(regs[q][None, :], regs[against], threshold)] if len(against) else against
-            found_a.append(np.minimum(ids[q], ids[good]))
-            found_b.append(np.maximum(ids[q], ids[good]))
-        empty = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(found_a or empty), "b": np.concatenate(found_b or empty)})
+            near = others[(comps[others] != comps[q]) & (100 * np.minimum(sizes[others], sizes[q]) >= percent * np.maximum(sizes[others], sizes[q]))]
+            near = near[~(before[near] == before[q]).any(1)] if len(near) else near
+            near = near[passes(regs[q][None, :], regs[near], threshold)] if len(near) else near
+            if not len(near):
+                continue
+            flat = np.concatenate([sets[i] for i in near])
+            at = np.minimum(np.searchsorted(sets[q], flat), sizes[q] - 1)
+            common = np.add.reduceat((sets[q][at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(sizes[near])[:-1])))
+            linked = near[100 * common >= percent * (sizes[near] + sizes[q] - common)]
+            for i in linked[np.unique(comps[linked], return_index=True)[1]]:
+                found.append((min(ids[q], ids[i]), max(ids[q], ids[i])))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return run
 
@@ -206,20 +219,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .dropDuplicates(["rep"]),
         "reps",
     )
-    bands = reps.mapInArrow(_bands, "band long, rep long")
-    crowded = bands.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("members")).where("n > 1")
-    # Bands with the same members ask the same question: one of them stays.
-    crowded = crowded.groupBy("pivot", "n", "members").agg(F.min("band").alias("band"))
-    grouped = materialise(bands.join(crowded.select("band", "pivot", "n"), "band"), "buckets")
+    bands = reps.mapInArrow(_bands, "band long, place short, rep long")
+    crowded = bands.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n"), F.first("place").alias("place"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")).alias("y")).where("n > 1")
+    # Bands with the same members ask the same question: the first of them stays.
+    crowded = crowded.groupBy("pivot", "n", "x", "y").agg(F.min(F.struct("place", "band")).alias("first")).select(F.col("first.band").alias("band"), "pivot", "n")
+    crowded = materialise(crowded, "crowded")  # so that the join below can split a crowded band
+    grouped = materialise(bands.join(crowded, "band"), "buckets")
     stars = grouped.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     likely = materialise(_with_registers(stars, reps).mapInArrow(_estimate(threshold), "a long, b long"), "likely")
     texts = base.select(F.col("doc_id").alias("rep"), "text")
 
-    def wanted(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-        return texts.join(ids, "rep", "left_semi").dropDuplicates(["rep"])
-
-    links = materialise(_confirmed(likely, wanted(likely), k, percent), "confirmed")
+    ids = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = keep_matching(texts, "rep", ids).dropDuplicates(["rep"])
+    links = materialise(_confirmed(likely, wanted, k, percent), "confirmed")
     found = materialise(connected_components(links), "components")
 
     # Buckets that span several components: members outside the pivot's component against all members.
@@ -228,7 +240,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         grouped.where("n > 2")
         .join(named, "rep", "left")
         .withColumn("comp", F.coalesce("component", "rep"))
-        .select("band", "pivot", "rep", "comp")
+        .select("band", "place", "pivot", "rep", "comp")
     )
     mains = named.select(F.col("rep").alias("pivot"), F.col("component").alias("main"))
     open_buckets = open_buckets.join(mains, "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
@@ -240,19 +252,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .where("c > 1")
         .select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.col("m") / BLOCK).cast("int").alias("query_blocks"))
     )
-    placed = open_buckets.where("rep <> pivot").join(sizes, "band").withColumn("h", F.xxhash64("rep"))
+    placed = open_buckets.where("rep <> pivot").join(materialise(sizes, "sizes"), "band").withColumn("h", F.xxhash64("rep"))
     queries = placed.where("comp <> main").select(
-        "band", "rep", "comp", F.lit(True).alias("query"), F.pmod("h", "query_blocks").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("o")
+        "band", "place", "rep", "comp", F.lit(True).alias("query"), F.pmod("h", "query_blocks").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("o")
     )
     others = placed.select(
-        "band", "rep", "comp", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("q"), F.pmod("h", "all_blocks").cast("int").alias("o")
+        "band", "place", "rep", "comp", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("q"), F.pmod("h", "all_blocks").cast("int").alias("o")
     )
-    blocks = queries.unionByName(others).join(reps, "rep")
-    more = blocks.groupBy("band", "q", "o").applyInArrow(_block_pairs(threshold), "a long, b long").distinct()
-    more = materialise(more.join(likely, ["a", "b"], "left_anti"), "more")
+    blocks = materialise(queries.unionByName(others), "blocks")
+    wanted = materialise(keep_matching(texts, "rep", blocks.select("rep").distinct()).dropDuplicates(["rep"]), "block-texts")
+    more = blocks.join(wanted, "rep").groupBy("band", "q", "o").applyInArrow(_block_links(k, percent), "a long, b long").distinct()
+    more = materialise(more, "more")
     if not more.isEmpty():
-        links = links.unionByName(materialise(_confirmed(more, wanted(more), k, percent), "confirmed"))
-        found = materialise(connected_components(links), "components")
+        found = materialise(connected_components(links.unionByName(more)), "components")
 
     result = signed.select("doc_id", "n_shingles", "key_a", "key_b").join(classes, ["n_shingles", "key_a", "key_b"], "left")
     result = result.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
@@ -263,4 +275,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document stands for its group of near duplicates; null doc_ids stay."""
     gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone.distinct(), docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
+    return drop_matching(docs, "doc_id", materialise(gone.distinct(), "gone"), "gone")

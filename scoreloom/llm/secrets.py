@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm import text as tx
+from scoreloom.llm.keyfilter import key_bitmap, split
 from scoreloom.llm.spans import Span, code_points, redact, sha256_hex
 from scoreloom.llm.storage import materialise
 
@@ -157,7 +158,10 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     live = F.filter("judged", lambda s: s["live"])
     found = scanned.select("row", "doc_id").join(judged, "row").where(F.size(live) > 0)
     # Spans hold for a text, so repeated rows of one doc_id must have them of one row: the first.
-    chosen = found.groupBy(F.col("doc_id").alias("hit")).agg(F.min_by(live, "row").alias("live_spans"))
-    marked = docs.join(chosen, docs["doc_id"].cast("long") == F.col("hit"), "left").drop("hit")
-    out = marked.mapInArrow(_redacted, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns) if "n_chars" in columns else out
+    chosen = materialise(found.groupBy(F.col("doc_id").alias("hit")).agg(F.min_by(live, "row").alias("live_spans")).where("hit is not null"), "live")
+    maybe, rest = split(docs, "doc_id", key_bitmap(chosen, "hit"))
+    marked = maybe.join(chosen, maybe["doc_id"].cast("long") == F.col("hit"), "left").drop("hit")
+    clean = marked.mapInArrow(_redacted, docs.schema)
+    if "n_chars" in columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rest.select(*columns).unionByName(clean.select(*columns))

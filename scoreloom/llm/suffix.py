@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm import text as tx
+from scoreloom.llm.keyfilter import key_bitmap, split
 from scoreloom.llm.storage import materialise
 
 LENGTH = 200
@@ -219,7 +220,8 @@ def _rank(rows: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Settled ``(row, first, more)``, and what has a shared name but neither repeats wholly nor not at all:
     one row a stretch, with its weight."""
     shared = rows.groupBy("name").agg(F.sum("weight").alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("n > 1")
-    shared = shared.select("name", (F.col("low") == F.col("high")).alias("alike"))
+    # Written, so that the join below deals both sides anew and can split a name that many rows share.
+    shared = materialise(shared.select("name", (F.col("low") == F.col("high")).alias("alike")), "names")
     survivors = materialise(rows.join(shared, "name"), "shared")
     mixed = survivors.where("not alike")
     one = F.min(F.struct("row", "run", "first", "more", "lead")).alias("one")
@@ -235,7 +237,9 @@ def repeated_runs(base: DataFrame) -> DataFrame:
     marks = materialise(base.where(F.octet_length("text") >= LENGTH).select("row", "text").mapInArrow(_marks, _MARKS), "marks")
     settled, open_ = _rank(marks.withColumn("run", F.col("first")).withColumn("weight", F.lit(1).cast("long")))
     asked = open_.groupBy("row").agg(F.collect_list(F.struct("first", "more")).alias("runs"))  # one document's
-    raw = materialise(base.select("row", "text").join(asked, "row").mapInArrow(_run_bytes, "row long, run long, raw binary").dropDuplicates(["row", "run"]), "run-bytes")
+    asked = materialise(asked, "asked")
+    candidates, _ = split(base.select("row", "text"), "row", key_bitmap(asked, "row"))
+    raw = materialise(candidates.join(asked, "row").mapInArrow(_run_bytes, "row long, run long, raw binary").dropDuplicates(["row", "run"]), "run-bytes")
     for size in PARTS:
         parts = materialise(open_.join(raw, ["row", "run"]).mapInArrow(_split(size), _PARTS), "parts")
         more, open_ = _rank(parts)
@@ -252,5 +256,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
     runs = repeated_runs(base).groupBy("row").agg(F.collect_list(F.struct("first", "more")).alias("runs"))  # one document's
-    joined = base.join(materialise(runs, "runs"), "row", "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    runs = materialise(runs, "runs")
+    maybe, rest = split(base, "row", key_bitmap(runs, "row"))
+    whole = rest.select("doc_id", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
+    joined = maybe.join(runs, "row", "left").select("doc_id", "text", "runs")
+    return whole.unionByName(joined).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
