@@ -243,10 +243,11 @@ def a32_case_grade(spark, d):
     return rows.select("case_id", r6(F.col("m")).alias("mean"), grade.alias("grade"), "major")
 
 
-@query(f"{SC} SELECT model, case_id, count(*) AS n, {_avg('total')} AS mean, max(total) AS max, min(total) AS min FROM sc GROUP BY GROUPING SETS ((), (model), (model, case_id))")
+@query(f"{SC} SELECT model, CAST(case_id AS VARCHAR) AS case_id, count(*) AS n, {_avg('total')} AS mean, max(total) AS max, min(total) AS min FROM sc GROUP BY GROUPING SETS ((), (model), (model, case_id))")
 def a33_run_summary(spark, d):
     rows = scored(spark, d).groupingSets([[], [F.col("model")], [F.col("model"), F.col("case_id")]], "model", "case_id")
-    return rows.agg(F.count("*").alias("n"), r6(F.avg("total")).alias("mean"), F.max("total").alias("max"), F.min("total").alias("min"))
+    summary = rows.agg(F.count("*").alias("n"), r6(F.avg("total")).alias("mean"), F.max("total").alias("max"), F.min("total").alias("min"))
+    return summary.withColumn("case_id", F.col("case_id").cast("string"))
 
 
 @query(f"{SC}, e AS (SELECT min(total) AS lo, max(total) AS hi FROM sc) SELECT CAST(least(floor((total - lo) / ((hi - lo) / 30)) + 1, 30) AS INTEGER) AS bin, count(*) AS n FROM sc, e GROUP BY 1")

@@ -18,9 +18,14 @@ def duck():
     return con
 
 
+def show(v):
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
+        return "null"
+    return repr(round(float(v), 6)) if isinstance(v, float) else str(v)
+
+
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    show = lambda v: "null" if v is None or v is pd.NaT or v != v else repr(round(float(v), 6)) if isinstance(v, float) else str(v)
     return sorted(tuple(map(show, r)) for r in frame.itertuples(index=False))
 
 
