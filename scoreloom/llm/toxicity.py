@@ -5,6 +5,9 @@ or not. A cell has a linear weight and a short factor vector;
 the score adds the products of the factors of all pairs of cells, so that a pair, such as an insult together with
 a group mention, can count for more or less than its members. The model is fitted on a bounded sample of the
 labelled rows (``max_positive`` and ``max_negative`` rows) and its output is calibrated on rows held back from it, both labels weighing alike.
+
+Spark counts the sample's cells by label; the driver sees one count a cell, chooses ``MAX_TERMS`` of them, and
+fetches the sampled rows with those cells only.
 """
 
 from __future__ import annotations
@@ -19,11 +22,14 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm import text as tx
 from scoreloom.llm.calibration import calibrate_at, sigmoid
+from scoreloom.llm.storage import materialise
 
 HASH_BITS = 18
 PREFIXES = (4, 6, 8)
 FACTORS = 4
 MAX_TERMS = 512
+#: Rows that a cell must be in to be one of them.
+LEAST_ROWS = 5
 #: Share of a row's cells that a training step sees, so that few of them must do.
 SEEN = 0.4
 THRESHOLD = 0.7
@@ -63,7 +69,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for _, lines, first in term_hashes(batch.column("text")):
             rows += [document_cells(lines[a:b]).astype(np.int32) for a, b in zip(first[:-1], first[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], names=["toxic", "cells"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], names=["id", "toxic", "cells"])
 
 
 def _sum_rows(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -96,26 +102,36 @@ def _flat(cells: list[np.ndarray], slot: np.ndarray) -> tuple[np.ndarray, np.nda
     return slots[slots >= 0], row[slots >= 0]
 
 
-def fit(cells: list[np.ndarray], labels: np.ndarray, steps: int = 250, seed: int = 5) -> FactorizationMachine:
-    """Adam on the mean log loss with weight decay; one row in five is held back for calibration.
-    Cells are chosen by how far their log odds are from the mean, in deviations."""
+def strongest(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
+    """At most ``MAX_TERMS`` places in the counts, by how far their log odds are from the mean, in deviations."""
+    odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
+    error = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5) + 1 / (n_pos - pos + 0.5) + 1 / (n_neg - neg + 0.5))
+    strength = np.where(pos + neg >= LEAST_ROWS, np.abs(odds) / error, 0.0)
+    chosen = np.argsort(-strength, kind="stable")[:MAX_TERMS]
+    return chosen[strength[chosen] > 2.5]
+
+
+def _counted(cells: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The strongest cells of rows at hand."""
+    flat, row = np.concatenate([np.zeros(0, np.int64), *cells]), np.repeat(labels, [len(c) for c in cells])
+    return strongest(np.bincount(flat, row, 1 << HASH_BITS), np.bincount(flat, 1 - row, 1 << HASH_BITS), labels.sum(), (1 - labels).sum())
+
+
+def fit(cells: list[np.ndarray], labels: np.ndarray, steps: int = 250, seed: int = 5, back: np.ndarray | None = None, chosen: np.ndarray | None = None) -> FactorizationMachine:
+    """Adam on the mean log loss with weight decay. ``back`` marks the rows that are held back for calibration, one in
+    five unless given; ``chosen`` are the cells that the model has, by default the strongest of the other rows."""
     n_cells = 1 << HASH_BITS
     labels = labels.astype(float)
     if not len(labels) or labels.min() == labels.max():  # nothing to tell apart
         share = (labels.sum() + 0.5) / (len(labels) + 1.0)
         bias = float(np.log(share / (1 - share)))
         return FactorizationMachine(np.full(n_cells, -1, np.int32), np.zeros(1), np.zeros((1, FACTORS)), bias)
-    back = np.arange(len(labels)) % 5 == 0
+    if back is None or labels[~back].min(initial=1) == labels[~back].max(initial=0) or not back.any():
+        back = np.arange(len(labels)) % 5 == 0
     train = np.flatnonzero(~back)
-    pos, neg = np.zeros(n_cells), np.zeros(n_cells)
-    for i in train:
-        (pos if labels[i] else neg)[cells[i]] += 1
-    n_pos, n_neg = labels[train].sum(), (1 - labels[train]).sum()
-    odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
-    error = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5) + 1 / (n_pos - pos + 0.5) + 1 / (n_neg - neg + 0.5))
-    strength = np.where(pos + neg >= 5, np.abs(odds) / error, 0.0)
-    chosen = np.argsort(-strength, kind="stable")[:MAX_TERMS]
-    chosen = chosen[strength[chosen] > 2.5]
+    if chosen is None:
+        chosen = _counted([cells[i] for i in train], labels[train])
+    n_pos, n_neg = max(labels[train].sum(), 0.5), max((1 - labels[train]).sum(), 0.5)
     slot = np.full(n_cells, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -156,13 +172,17 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     chosen = usable.where("toxic = 1").orderBy(*order).limit(max_positive).unionByName(usable.where("toxic = 0").orderBy(*order).limit(max_negative))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     # At most max_positive + max_negative rows of two numbers.
-    sample = texts.join(F.broadcast(chosen), "id").select("id", "toxic", "text").select("toxic", "text")
-    rows = sample.mapInArrow(_cells, "toxic int, cells array<int>").toPandas()
-    rows["key"] = [(int(t), len(c), int(np.sum(c)) if len(c) else 0) for t, c in zip(rows["toxic"], rows["cells"], strict=True)]
-    rows = rows.sort_values("key", kind="stable")
-    picked = np.random.Generator(np.random.PCG64(1)).permutation(len(rows))
-    rows = rows.iloc[picked]
-    return fit([np.asarray(c, np.int64) for c in rows["cells"]], rows["toxic"].to_numpy())
+    sample = texts.join(F.broadcast(chosen), "id").select("id", "toxic", "text")
+    rows = materialise(sample.mapInArrow(_cells, "id long, toxic int, cells array<int>"), "toxicity-sample")
+    rows = rows.withColumn("back", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0)
+    counts = rows.where("not back").select("toxic", F.explode("cells").alias("cell")).groupBy("cell").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS)
+    total = rows.where("not back").agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos"), F.count("*").alias("n")).first()
+    seen = counts.orderBy("cell").toPandas()  # 2^HASH_BITS rows of three numbers at most
+    pos, n = seen["pos"].to_numpy(float), seen["n"].to_numpy(float)
+    cells = seen["cell"].to_numpy(np.int64)[strongest(pos, n - pos, total["pos"], total["n"] - total["pos"])]
+    wanted = F.array(*[F.lit(int(c)) for c in cells]).cast("array<int>")
+    fitted = rows.select("toxic", "back", F.array_intersect("cells", wanted).alias("cells")).orderBy(F.xxhash64("id"), "id", F.hash("cells")).toPandas()
+    return fit([np.asarray(c, np.int64) for c in fitted["cells"]], fitted["toxic"].to_numpy(), back=fitted["back"].to_numpy(bool), chosen=cells)
 
 
 def _score(model: FactorizationMachine, threshold: float):
