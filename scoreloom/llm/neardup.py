@@ -209,8 +209,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     threshold = percent / 100
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(base.mapInArrow(_sign(k), f"doc_id long, {_SIGNED}"), "signed")
-    # Equal sets are one class; its smallest doc_id stands for it.
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "key_a", "key_b").agg(F.min("doc_id").alias("rep"))
+    # Equal sets are one class; its smallest doc_id stands for it. Written, so that joins with it can split a large class.
+    classes = materialise(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "key_a", "key_b").agg(F.min("doc_id").alias("rep")), "classes")
     reps = materialise(
         signed.select("doc_id", "n_shingles", "key_a", "key_b", "registers")
         .join(classes, ["n_shingles", "key_a", "key_b"])
@@ -266,9 +266,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if not more.isEmpty():
         found = materialise(connected_components(links.unionByName(more)), "components")
 
+    classes = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    classes = materialise(classes.select("n_shingles", "key_a", "key_b", F.coalesce("component", "rep").alias("component")), "named-classes")
     result = signed.select("doc_id", "n_shingles", "key_a", "key_b").join(classes, ["n_shingles", "key_a", "key_b"], "left")
-    result = result.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
