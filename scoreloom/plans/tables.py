@@ -338,6 +338,13 @@ def y03_sliding_counts(spark, d):
     return counts.groupBy("event_type").agg(F.count("*").alias("windows"), F.sum("n").alias("events"))
 
 
+@query("""SELECT user_id, CAST(a + a * b + a * b * c + a * b * c * e AS INTEGER) AS step, a * b * c * e = 1 AS finished FROM (
+  SELECT user_id, max(CAST(event_type = 'signup' AS INTEGER)) AS a, max(CAST(event_type = 'view' AS INTEGER)) AS b,
+         max(CAST(event_type = 'click' AS INTEGER)) AS c, max(CAST(event_type = 'purchase' AS INTEGER)) AS e FROM events GROUP BY user_id)""")
+def y04_session_steps(spark, d):
+    return streaming.session_steps(table(spark, d, "events"), "user_id", "event_type", ("signup", "view", "click", "purchase"))
+
+
 # Scalars in use.
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,3 +23,12 @@ def sliding_counts(events: DataFrame, ts: str, key: str, length: str = "60 secon
     """Events of each key in overlapping windows."""
     w = F.window(ts, length, step)
     return events.withWatermark(ts, late).groupBy(w, key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("began"), key, "n")
+
+
+def session_steps(events: DataFrame, session: str, step: str, steps: tuple[str, ...]) -> DataFrame:
+    """How far each session has come: the last of ``steps`` (1 and up, in order) that it has reached with all those
+    before it, and whether that is the final one; use with update mode. Other steps and repeats change nothing."""
+    reached = [F.count_if(F.col(step) == name) > 0 for name in steps]
+    upto = [reduce(Column.__and__, reached[:k]).cast("int") for k in range(1, len(steps) + 1)]
+    done = reduce(Column.__add__, upto)
+    return events.groupBy(session).agg(done.cast("int").alias("step"), (done == len(steps)).alias("finished"))

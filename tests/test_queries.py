@@ -54,6 +54,19 @@ def test_streaming_counters(spark, tmp_path):
     assert spark.sql("select sum(seen) from progress").first()[0] == events.count()
 
 
+def test_session_steps_on_a_stream(spark, tmp_path):
+    from scoreloom import streaming
+
+    steps = ("upload", "mask", "ask", "score")
+    rows = [("a", s) for s in steps] + [("b", "upload"), ("b", "ask"), ("b", "upload"), ("c", "other"), ("d", "upload"), ("d", "mask")]
+    spark.createDataFrame(rows, "session string, step string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("session string, step string").parquet(str(tmp_path / "in"))
+    query = streaming.session_steps(stream, "session", "step", steps).writeStream.outputMode("complete").format("memory").queryName("steps").start()
+    query.processAllAvailable()
+    query.stop()
+    assert {tuple(r) for r in spark.table("steps").collect()} == {("a", 4, True), ("b", 1, False), ("c", 0, False), ("d", 2, False)}
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
