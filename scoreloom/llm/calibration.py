@@ -40,5 +40,7 @@ def calibrate_at(margins: np.ndarray, labels: np.ndarray, threshold: float, clea
     last = np.append(m[1:] < m[:-1], True)  # equal margins fall on one side
     gain[~last] = -np.inf
     k = int(np.argmax(gain))
+    if gain[k] <= 0:  # no cut is better than none: nothing seen here meets the threshold
+        return a, float(np.log(threshold / (1 - threshold)) - a * (m[0] + 1e-6))
     cut = (m[k] + m[k + 1]) / 2 if k + 1 < len(m) else m[k] - 1e-6
     return a, float(np.log(threshold / (1 - threshold)) - a * cut)
