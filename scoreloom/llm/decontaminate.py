@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-For an item of L words, every window of L words of a document is a possible copy. Windows and items
-are compared by weighted five-word shingles; a shingle's weight is how often it occurs. A window can only
+For an item of L words, every window of L words of a document is a possible copy; a document of fewer words
+is one window as a whole, kept under L but with its own shingles. Windows and items are compared by weighted five-word shingles; a shingle's weight is how often it occurs. A window can only
 reach the threshold if shingles of items of L words make up at least that share of its weight, which one pass
 over the text decides exactly; the surviving windows get 64-bit SimHash fingerprints. Fingerprints are
 cut into RADIUS + 1 blocks: two within RADIUS bits agree in a block, so an equality join on
@@ -97,6 +97,13 @@ def windows_of(hits: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(100 * (total[span:] - total[:-span]) >= PERCENT * span)
 
 
+def short_enough(hits: np.ndarray, n: int) -> bool:
+    """Whether a whole document of fewer than ``n`` words can reach the threshold against an item of ``n`` words, if
+    ``hits`` of its shingles are shared."""
+    span, common = n - SHINGLE + 1, int(hits.sum())
+    return len(hits) < span and 100 * common >= PERCENT * (len(hits) + span - common)
+
+
 def _windows(shingles: np.ndarray, lengths: np.ndarray):
     """``shingles``, sorted, and the ``lengths`` of the items they come from; a shingle of items of several lengths is
     there several times."""
@@ -124,6 +131,8 @@ def _windows(shingles: np.ndarray, lengths: np.ndarray):
                     for n in np.unique(of):
                         hits = np.zeros(max(0, hi - lo), bool)
                         hits[at[of == n]] = True
+                        if short_enough(hits, int(n)):
+                            rows.append((ids[i + d], 0, int(n), found[lo:hi]))
                         for start in windows_of(hits, int(n)):
                             rows.append((ids[i + d], int(start), int(n), found[lo + start : lo + start + n - SHINGLE + 1]))
                     if len(rows) >= 4096:
@@ -146,9 +155,9 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contaminated_windows(docs: DataFrame, benchmark: DataFrame, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """``(doc_id, item_id, at, n_words, similarity)``: every window of a document, from word ``at`` (0-based),
-    that is a copy of a benchmark item.
+    that is a copy of a benchmark item. A document shorter than the item is a single window of all its words.
 
-    Null and short texts hold no window. Items of fewer than five words have no shingle and match nothing.
+    Null texts and those of fewer than five words hold no window. Items of fewer than five words have no shingle and match nothing.
     A null doc_id or item_id matches nothing. Repeated rows and items give the same windows once. Empty
     tables give an empty result. Other columns are ignored.
     """
@@ -175,8 +184,9 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, items_per_pass:
         # A pair may agree in several blocks and counts once.
         pairs = close.groupBy(*name, "item_id").agg(F.first("bag").alias("bag"), F.first("item_bag").alias("item_bag"))
         similar = pairs.mapInArrow(_similar, "n_words long, print long, content long, item_id long, similarity double")
-        places = windows.select(F.col("id").alias("doc_id"), "at", *name).distinct()
-        matches = places.join(similar, name).select("doc_id", "item_id", "at", "n_words", "similarity")
+        own = (F.octet_length("bag") / 8 + SHINGLE - 1).cast("long").alias("own")  # a bag has 8 bytes a shingle
+        places = windows.select(F.col("id").alias("doc_id"), "at", *name, own).distinct()
+        matches = places.join(similar, name).select("doc_id", "item_id", "at", F.col("own").alias("n_words"), "similarity")
         found = matches if found is None else found.unionByName(matches)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, at long, n_words long, similarity double")

@@ -201,6 +201,25 @@ def test_decontamination_against_all_windows(spark):
     assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, benchmark).collect()} == set(range(len(texts))) - {6, 7, 8, 9}
 
 
+def test_documents_shorter_than_an_item_are_compared_whole(spark):
+    rng = random.Random(21)
+    items = [words(rng, n, 5000) for n in (20, 44, 44)]
+    w = [t.split() for t in items]
+    texts = [" ".join(x) for x in (w[0][:19], w[0][1:], w[0][:17], w[0][:16], w[1][:36], w[1][5:40], w[2][2:42], w[1][:20] + w[2][20:40], w[0][:4])]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = docs_of(spark, texts)
+    wanted = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            x, y = shingles(text, 5), shingles(item, 5)
+            if len(text.split()) >= 5 and 100 * len(x & y) >= 80 * len(x | y):
+                wanted[d, i, 0, len(text.split())] = len(x & y) / len(x | y)
+    got = decontaminate.contaminated_windows(docs, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"], r["at"], r["n_words"]): r["similarity"] for r in got} == wanted
+    assert {d for d, *_ in wanted} == {0, 1, 2, 4, 6}
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, benchmark).collect()} == {3, 5, 7, 8}
+
+
 def test_blocks_meet_within_the_radius():
     rng = np.random.Generator(np.random.PCG64(2))
     for _ in range(200):
