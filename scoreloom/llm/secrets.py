@@ -36,6 +36,8 @@ _HEX = re.compile(rb"[0-9a-f]{16,}")
 _MIXED = re.compile(rb"[A-Za-z0-9+/_-]{20,}={0,2}")
 
 _FOUND = "doc_id long, spans array<struct<kind:int,start:int,end:int,value:long>>"
+#: Columns of the text's digest, and of a long made of it, while texts are redacted.
+_KEY, _PLACE = "__key", "__place"
 
 
 def _entropy(value: bytes) -> float:
@@ -96,16 +98,18 @@ def value_frequency(scanned: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repositories"), F.sum("n").alias("n_spans"))
 
 
-def judged_spans(docs: DataFrame, repository: Column, owner: Column) -> tuple[DataFrame, DataFrame]:
-    """The scan, a row for each document, and ``(row, judged)``: each document's spans with their owners."""
+def judged_spans(docs: DataFrame, repository: Column, owner: Column, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The scan, a row for each document, and ``(row, judged)``: each document's spans with their owners. A string
+    ``key``, if given, takes the place of doc_id in the scan."""
     base = docs.select(
         F.monotonically_increasing_id().alias("row"),
-        F.col("doc_id").cast("long").alias("doc_id"),
+        (F.col("doc_id").cast("long") if key is None else key).alias("doc_id"),
         repository.cast("string").alias("repository"),
         owner.cast("string").alias("owner"),
         F.col("text").cast("string").alias("text"),
     )
-    scanned = materialise(base.mapInArrow(_scan, _SCANNED), "scanned")
+    schema = _SCANNED if key is None else _SCANNED.replace("doc_id long", "doc_id string")
+    scanned = materialise(base.mapInArrow(_scan, schema), "scanned")
     wide = value_frequency(scanned).where(F.col("n_owners") >= WIDE).select("value", "n_owners", "n_repositories")
     spans = scanned.select("row", F.inline("spans"))
     judged = spans.join(wide, "value", "left").groupBy("row").agg(
@@ -152,15 +156,18 @@ def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every live-looking secret in ``text`` replaced by its kind, and ``n_chars`` to match; widely
-    copied examples stay, and so do all rows. Rows of one doc_id are taken together."""
+    copied examples stay, and so do all rows. A null or repeated doc_id makes no difference."""
     columns = docs.columns
-    scanned, judged = judged_spans(docs, *_where(docs))
+    # A span's place follows from the text and whether it is live from the whole corpus, so rows are joined by their
+    # texts: a doc_id may be null, or shared by several texts.
+    key = F.sha2(F.col("text").cast("string").cast("binary"), 256)
+    scanned, judged = judged_spans(docs, *_where(docs), key=key)
     live = F.filter("judged", lambda s: s["live"])
-    found = scanned.select("row", "doc_id").join(judged, "row").where(F.size(live) > 0)
-    # Spans hold for a text, so repeated rows of one doc_id must have them of one row: the first.
-    chosen = materialise(found.groupBy(F.col("doc_id").alias("hit")).agg(F.min_by(live, "row").alias("live_spans")).where("hit is not null"), "live")
-    maybe, rest = split(docs, "doc_id", key_bitmap(chosen, "hit"))
-    marked = maybe.join(chosen, maybe["doc_id"].cast("long") == F.col("hit"), "left").drop("hit")
+    found = scanned.select("row", F.col("doc_id").alias("hit")).join(judged, "row").where(F.size(live) > 0)
+    chosen = materialise(found.groupBy("hit").agg(F.first(live).alias("live_spans")).withColumn("place", F.xxhash64("hit")), "live")
+    named = docs.withColumn(_KEY, key).withColumn(_PLACE, F.xxhash64(_KEY))
+    maybe, rest = split(named, _PLACE, key_bitmap(chosen, "place"))
+    marked = maybe.join(chosen.drop("place"), maybe[_KEY] == F.col("hit"), "left").drop("hit", _KEY, _PLACE)
     clean = marked.mapInArrow(_redacted, docs.schema)
     if "n_chars" in columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -292,6 +292,19 @@ def test_secrets_base_spans_and_ownership(spark, texts):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_go_from_rows_without_or_with_a_shared_doc_id(spark):
+    own = [f"Zq8Xv2LmP0aRt5KsW9y{c}" for c in "ABCDEF"]
+    example = "ExAmPle0KeY1ThAtAllCopy2"
+    texts = [f"key {own[0]} here", f"{own[1]} first, then some words", f"a longer beginning and then {own[2]}", f"token={own[3]}", "clean words of the same row number seven", f"é {own[4]}", f"see {example}", f"see {example}", f"see {example}", f"twice {own[5]}", f"twice {own[5]}", None]
+    ids = [None, None, 7, 7, 7, 7, None, 8, 9, 10, 10, None]
+    rows = [(d, t, "en", f"s{k % 5}", None if t is None else len(t), "x", "y", f"n{k}") for k, (d, t) in enumerate(zip(ids, texts, strict=True))]
+    clean = {r["name"]: r for r in secrets.redact_secrets(spark.createDataFrame(rows, DOCS)).collect()}
+    wanted = ["key [TOKEN] here", "[TOKEN] first, then some words", "a longer beginning and then [TOKEN]", "[ASSIGN]", texts[4], "é [TOKEN]", *texts[6:9], "twice [TOKEN]", "twice [TOKEN]", None]
+    assert [clean[f"n{k}"]["text"] for k in range(len(rows))] == wanted and len(clean) == len(rows)
+    assert [clean[f"n{k}"]["n_chars"] for k in range(len(rows))] == [None if t is None else len(t) for t in wanted]
+    assert [clean[f"n{k}"]["doc_id"] for k in range(len(rows))] == ids
+
+
 # 6 toxicity
 
 
