@@ -4,10 +4,10 @@ Every assistant turn becomes an example of its own: all turns before it are the
 trainable. A turn is written as ``<|im_start|>role\\ntext<|im_end|>\\n``; inside roles and texts a backslash is
 doubled and ``<|`` becomes ``<\\|``, so no text can open or close a turn, and both are undone on reading.
 
-Conversations are streamed in turn order and never gathered. As long as an example's whole text
-fits ``max_inline_chars`` it is written out literally. Beyond that a row has ``continues = true`` and only what
-follows the row before it; reading rows in order gives the whole again, and the output stays
-proportional to the conversation. Turns after the last reply are in a last row without a loss span.
+Conversations are streamed in turn order. Every example's whole text is written out literally, however long, so the
+output grows with the square of a conversation's length. Only a caller that gives ``max_inline_chars`` gets
+rows with ``continues = true`` beyond it, which hold what follows the row before; reading rows in order gives
+the whole again. Turns after the last reply are in a last such row without a loss span.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _expand(max_inline_chars: int):
+def _expand(max_inline_chars: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         waiting = 0
@@ -74,7 +74,7 @@ def _expand(max_inline_chars: int):
                 break
             head, body = OPEN + escape_role(role) + "\n", escape(text)
             turn = head + body + CLOSE
-            inline = inline and length + len(turn) <= max_inline_chars
+            inline = inline and (max_inline_chars is None or length + len(turn) <= max_inline_chars)
             if inline:
                 context.append(turn)
             else:
@@ -96,13 +96,14 @@ def _expand(max_inline_chars: int):
     return run
 
 
-def prefix_target_examples(conversations: DataFrame, max_inline_chars: int = 1 << 20) -> DataFrame:
+def prefix_target_examples(conversations: DataFrame, max_inline_chars: int | None = None) -> DataFrame:
     """``(conv_id, example, continues, text, loss_start, loss_end)`` of ``conversations(conv_id, turn, role, text)``.
 
     Turns go by ``turn`` (null last), then role, then text; repeated rows are repeated turns. Null roles and
     texts are empty. Null conv_ids form one conversation. Other columns are ignored. ``loss_start`` and
     ``loss_end`` are code points in ``text``; a row without a reply has null ones. One conversation's turns are
-    read by one task, as a stream: what it holds is at most ``max_inline_chars`` and the turns since the last reply.
+    read by one task, which holds the text so far; a text of 2^31 bytes does not fit a row and fails. With
+    ``max_inline_chars`` it holds at most that much and the turns since the last reply.
     """
     base = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),

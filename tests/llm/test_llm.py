@@ -449,6 +449,20 @@ def test_chat_round_trip(spark, limit):
     assert chat.digest_examples(chat.prefix_target_examples(frame.limit(0))).count() == 0
 
 
+def test_chat_examples_keep_their_prefix_at_any_length(spark):
+    turns = [("assistant" if i % 2 else "user", f"turn {i} " * 15000) for i in range(24)]
+    rows = [(c, i, role, text) for c in (1, None) for i, (role, text) in enumerate(turns)]
+    examples = chat.prefix_target_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = examples.where("conv_id = 1").orderBy("example").collect()
+    assert len(found) == 12 and len(found[-1]["text"]) > 1 << 20 and not any(r["continues"] for r in found)
+    for k, r in enumerate(found):
+        assert chat.parse(r["text"]) == turns[: 2 * k + 2]
+        assert r["text"][r["loss_start"] : r["loss_end"]] == turns[2 * k + 1][1]
+    for r in chat.digest_examples(examples).collect():
+        assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == brute_chat(turns)
+        assert r["formatted_chars"] == sum(len(x["text"]) for x in found)
+
+
 # 10 repeats
 
 
