@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.llm.storage import map_batches
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 TARGET = "assistant"
 EXAMPLES = "conv_id long, example long, continues boolean, text string, loss_start long, loss_end long"
@@ -112,7 +114,7 @@ def prefix_target_examples(conversations: DataFrame, max_inline_chars: int | Non
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     ordered = base.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(_expand(max_inline_chars), EXAMPLES)
+    return map_batches(ordered.select("conv_id", "role", "text"), _expand(max_inline_chars), EXAMPLES)
 
 
 class _Reader:
@@ -162,8 +164,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(out, _DIGEST)
 
 
-def digest_examples(examples: DataFrame) -> DataFrame:
-    """Read examples back: per conversation its turns, their digest, and the digest of all text under the loss
-    mask. ``formatted_chars`` counts the characters of the rows as written."""
-    ordered = examples.repartition("conv_id").sortWithinPartitions("conv_id", "example")
-    return ordered.select("conv_id", "example", "continues", "text", "loss_start", "loss_end").mapInArrow(_read, _DIGEST)
+def digest_examples(examples: DataFrame, in_order: bool = False) -> DataFrame:
+    """Read examples back: ``(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)``, per conversation its
+    turns, their digest, and the digest of all text under the loss mask. ``formatted_chars`` counts the characters of the
+    rows as written.
+
+    ``in_order``: each conversation's rows come one after another in one partition, as ``prefix_target_examples`` makes them, and
+    are read where they are; else they are dealt out and sorted first. A null conv_id is a conversation; empty texts count
+    for nothing; very long ones are held one at a time; rows that repeat an example are read again; an empty table gives
+    an empty result; other columns are ignored.
+    """
+    columns = ["conv_id", "example", "continues", "text", "loss_start", "loss_end"]
+    ordered = examples.select(*columns)
+    if not in_order:
+        ordered = ordered.repartition("conv_id").sortWithinPartitions("conv_id", "example")
+    return map_batches(ordered, _read, _DIGEST)

@@ -6,10 +6,13 @@ Bands of four registers (empty ones filled from others, by a fixed probing order
 register agreement, corrected for chance collisions, rejects hopeless ones; all others are decided on
 the full shingle sets.
 
-No band bucket is expanded into pairs. Every member is tested against the bucket's smallest member, and the
-links found give components. Buckets that still span several components are then searched exactly: members
-outside the main component against all members, in blocks of about 512 rows. A block tests pairs in
-the first band they share only, and gives out confirmed links, at most one for each row and component.
+No band bucket is expanded into pairs. Every member is tested against the bucket's first member, and the links found
+give components. Buckets that still span several components are then searched exactly: members outside the main
+component against all members whose sets are near enough in size, in blocks. A block sees registers first; only rows
+with a pair that may be similar, is not linked yet, and shares no earlier band, bring their texts to it. It
+gives out confirmed links, at most one for each row and component.
+
+Rows with equal sets are one class, and all work is done on classes. Classes of one doc_id are linked, whatever their texts.
 """
 
 from __future__ import annotations
@@ -23,18 +26,21 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm import text as tx
 from scoreloom.llm.components import connected_components
-from scoreloom.llm.keyfilter import drop_matching, keep_matching
-from scoreloom.llm.storage import materialise
+from scoreloom.llm.keyfilter import drop_matching, fresh, key_bitmap, split
+from scoreloom.llm.storage import map_batches, materialise
 
 BUCKET_BITS = 7
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 BAND = 4
-BLOCK = 512
+#: Rows, and about how many shingles, of each side of a block.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Standard deviations by which an estimate may fall short of the threshold before a pair is rejected.
 SLACK = 6.0
 
-_SIGNED = "n_shingles long, key_a long, key_b long, registers binary"
+#: What names a set.
+KEY = ["n_shingles", "key_a", "key_b"]
+_SIGNED = "row long, doc_id long, n_shingles long, key_a long, key_b long, registers binary"
 
 
 def compress(values: np.ndarray) -> np.ndarray:
@@ -95,24 +101,45 @@ def passes(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
     return estimate >= threshold - SLACK * np.sqrt(threshold * (1 - threshold) / used) - 2.0 / used
 
 
+def set_name(shingles: np.ndarray) -> tuple[int, int]:
+    """Two sums over a shingle set, which name it together with its size."""
+    if not len(shingles):
+        return 0, 0
+    return int(np.bitwise_xor.reduce(tx.mix(shingles))), int(np.add.reduce(tx.mix(~shingles)))
+
+
+def _name_columns(names: list[tuple[int, int]]) -> list[pa.Array]:
+    pair = np.array(names, np.uint64).reshape(-1, 2).view(np.int64)
+    return [pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))]
+
+
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, regs = [], [], []
+            sizes, names, regs = [], [], []
             for _, sets in tx.shingle_sets(batch.column("text"), k):
-                for s in sets:
-                    sizes.append(len(s))
-                    keys.append((int(np.bitwise_xor.reduce(tx.mix(s))), int(np.add.reduce(tx.mix(~s)))) if len(s) else (0, 0))
-                    regs.append(registers_of(s).tobytes())
-            pair = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
+                sizes += map(len, sets)
+                names += map(set_name, sets)
+                regs += (registers_of(s).tobytes() for s in sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(regs, pa.binary())],
-                names=["doc_id", "n_shingles", "key_a", "key_b", "registers"],
+                [batch.column("row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), *_name_columns(names), pa.array(regs, pa.binary())],
+                names=[x.split()[0] for x in _SIGNED.split(", ")],
             )
 
     return run
 
 
+def _named(k: int):
+    """Adds the names of the texts' sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s for _, part in tx.shingle_sets(batch.column("text"), k) for s in part]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), *_name_columns([set_name(s) for s in sets])], names=[*batch.schema.names, *KEY])
+
+    return run
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), BUCKETS)
 
@@ -123,9 +150,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             keys = band_keys(densify(_matrix(part.column("registers"))))
-            ids = np.repeat(part.column("rep").to_numpy(), per)
+            ids, sizes = (np.repeat(part.column(c).to_numpy(), per) for c in ("rep", "n_shingles"))
             places = np.tile(np.arange(per, dtype=np.int16), part.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(places), pa.array(ids)], names=["band", "place", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(places), pa.array(ids), pa.array(sizes)], names=["band", "place", "rep", "n_shingles"])
 
 
 def _estimate(threshold: float):
@@ -133,7 +160,7 @@ def _estimate(threshold: float):
         for batch in batches:
             if batch.num_rows:
                 ok = passes(_matrix(batch.column("ra")), _matrix(batch.column("rb")), threshold)
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
+                yield batch.select(["a", "b", "n"]).filter(pa.array(ok))
 
     return run
 
@@ -154,24 +181,46 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _block_links(k: int, percent: int):
-    threshold = percent / 100
+def _open_pairs(regs: np.ndarray, sizes: np.ndarray, comps: np.ndarray, role: np.ndarray, place: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each query row of a block, the other rows that may be similar, are not linked with it yet, and are not in an
+    earlier band together with it."""
+    before = band_keys(densify(regs))[:, :place]
+    others = np.flatnonzero(~role)
+    for q in np.flatnonzero(role):
+        near = others[(comps[others] != comps[q]) & (100 * np.minimum(sizes[others], sizes[q]) >= percent * np.maximum(sizes[others], sizes[q]))]
+        near = near[~(before[near] == before[q]).any(1)] if len(near) else near
+        near = near[passes(regs[q][None, :], regs[near], percent / 100)] if len(near) else near
+        if len(near):
+            yield q, near
+
+
+_BLOCK = ["band", "about", "q", "o"]
+_WANTED = "band long, about int, q int, o int, place short, rep long, comp long, query boolean"
+
+
+def _block_rows(percent: int):
+    """The rows of a block that have such a pair."""
 
+    def run(table: pa.Table) -> pa.Table:
+        regs = _matrix(table.column("registers").combine_chunks())
+        role = np.asarray(table.column("query").to_pylist(), bool)
+        wanted = np.zeros(len(role), bool)
+        for q, near in _open_pairs(regs, table.column("n_shingles").to_numpy(), table.column("comp").to_numpy(), role, table.column("place")[0].as_py(), percent):
+            wanted[q] = True
+            wanted[near] = True
+        return table.select([x.split()[0] for x in _WANTED.split(", ")]).filter(pa.array(wanted))
+
+    return run
+
+
+def _block_links(k: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         ids, comps = table.column("rep").to_numpy(), table.column("comp").to_numpy()
-        role, place = np.asarray(table.column("query").to_pylist(), bool), table.column("place")[0].as_py()
+        role = np.asarray(table.column("query").to_pylist(), bool)
         sets = [s for _, part in tx.shingle_sets(table.column("text").combine_chunks(), k) for s in part]
         sizes = np.array([len(s) for s in sets])
-        regs = np.stack([registers_of(s) for s in sets])
-        before = band_keys(densify(regs))[:, :place]
-        queries, others = np.flatnonzero(role), np.flatnonzero(~role)
         found = []
-        for q in queries:
-            near = others[(comps[others] != comps[q]) & (100 * np.minimum(sizes[others], sizes[q]) >= percent * np.maximum(sizes[others], sizes[q]))]
-            near = near[~(before[near] == before[q]).any(1)] if len(near) else near
-            near = near[passes(regs[q][None, :], regs[near], threshold)] if len(near) else near
-            if not len(near):
-                continue
+        for q, near in _open_pairs(np.stack([registers_of(s) for s in sets]), sizes, comps, role, table.column("place")[0].as_py(), percent):
             flat = np.concatenate([sets[i] for i in near])
             at = np.minimum(np.searchsorted(sets[q], flat), sizes[q] - 1)
             common = np.add.reduceat((sets[q][at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(sizes[near])[:-1])))
@@ -183,17 +232,74 @@ def _block_links(k: int, percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_verify(k, percent), "a long, b long")
+def _beside(pairs: DataFrame, table: DataFrame, value: str, left: str, right: str) -> DataFrame:
+    """``pairs(a, b, n)`` with both ends' ``value``. An ``a`` with ``n`` partners is dealt to a task for each ``BLOCK`` of them."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    ends = table.select(F.col("rep").alias("a"), F.col(value).alias(left))
+    heads = pairs.select("a", "n").distinct().join(ends, "a").select("a", "n", left, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int"))
+    return dealt.join(table.select(F.col("rep").alias("b"), F.col(value).alias(right)), "b").join(heads, ["a", "n", "part"]).select("a", "b", "n", left, right)
+
+
+def _texts(base: DataFrame, classes: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """``(rep, text)`` of the classes in ``reps(rep)``: a text of the class's smallest doc_id that has the class's set."""
+    wanted = materialise(classes.select(*KEY, "rep", "owner").join(reps, "rep", "left_semi"), "wanted")
+    maybe, _ = split(base, "doc_id", key_bitmap(wanted, "owner"))
+    one = map_batches(maybe, _named(k), "doc_id long, text string, n_shingles long, key_a long, key_b long").groupBy("doc_id", *KEY).agg(F.min("text").alias("text"))
+    return materialise(one.withColumnRenamed("doc_id", "owner").join(wanted, ["owner", *KEY]).select("rep", "text"), "texts")
+
+
+def _shared_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of each doc_id that has several."""
+    name = F.struct(*KEY)
+    several = signed.groupBy("doc_id").agg(F.min(name).alias("low"), F.max(name).alias("high")).where("low <> high").select("doc_id")
+    several = materialise(several, "several")
+    members = signed.select("doc_id", *KEY).join(several, "doc_id").distinct().join(classes.select(*KEY, "rep"), KEY)
+    members = materialise(members.select("doc_id", "rep"), "members")
+    least = members.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return members.join(least, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
+
+
+def _crowded(reps: DataFrame) -> DataFrame:
+    """``(band, place, pivot, n, rep, n_shingles)``: members of the bands that several classes share. Bands with the same members ask
+    the same question: the first of them stays."""
+    bands = map_batches(reps, _bands, "band long, place short, rep long, n_shingles long")
+    hashes = F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")).alias("y")
+    crowded = bands.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n"), F.first("place").alias("place"), *hashes).where("n > 1")
+    crowded = crowded.groupBy("pivot", "n", "x", "y").agg(F.min(F.struct("place", "band")).alias("first")).select(F.col("first.band").alias("band"), "pivot", "n")
+    return materialise(bands.join(materialise(crowded, "crowded"), "band"), "buckets")  # written, so that the join can split a crowded band
 
 
-def _with_registers(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    left = reps.select(F.col("rep").alias("a"), F.col("registers").alias("ra"))
-    right = reps.select(F.col("rep").alias("b"), F.col("registers").alias("rb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb")
+def _blocks(members: DataFrame, named: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Rows that need their texts, by block: in each bucket that spans several components, the members outside its pivot's
+    component, as queries, against all members of like size. ``about`` counts sizes in steps that no link leaps."""
+    mains = named.select(F.col("rep").alias("pivot"), F.col("component").alias("main"))
+    step = max(float(np.log(100.0 / percent)) * (1 + 1e-9), 1e-3)
+    placed = (
+        members.where("n > 2").join(named, "rep", "left").join(mains, "pivot", "left")
+        .select("band", "place", "pivot", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"), F.coalesce("main", "pivot").alias("main"))
+        .withColumns({"about": F.floor(F.log("n_shingles") / F.lit(step)).cast("int"), "outside": F.col("comp") != F.col("main")})
+    )
+    placed = materialise(placed, "open")
+    spans = placed.groupBy("band").agg(F.count("*").alias("n"), F.count_if("outside").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    spans = materialise(spans.where("(m > 1 or (m = 1 and n > 2)) and low <> high").select("band"), "spans")
+    placed = placed.where("rep <> pivot").join(spans, "band")
+    near = F.explode(F.sequence(F.col("about") - 1, F.col("about") + 1)).alias("near")
+    counts = placed.groupBy("band", "about").agg(F.count("*").alias("n"), F.count_if("outside").alias("m"), F.max("n_shingles").alias("most"))
+    counts = materialise(counts, "counts")
+    around = counts.select("band", near, "n", "most").groupBy("band", F.col("near").alias("about")).agg(F.sum("n").alias("n"), F.max("most").alias("most"))
+    side = F.greatest(F.lit(8), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_SHINGLES) / F.col("most"))))
+    grid = counts.where("m > 0").select("band", "about", "m").join(around, ["band", "about"])
+    grid = materialise(grid.select("band", "about", F.ceil(F.col("n") / side).cast("int").alias("all_blocks"), F.ceil(F.col("m") / side).cast("int").alias("query_blocks")), "grid")
+    placed = placed.join(reps.select("rep", "registers"), "rep").withColumn("h", F.xxhash64("rep"))
+    row = ["place", "rep", "comp", "n_shingles", "registers"]
+    queries = placed.where("outside").join(grid, ["band", "about"]).select(
+        "band", "about", F.pmod("h", "query_blocks").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("o"), *row, F.lit(True).alias("query")
+    )
+    others = placed.select("band", near, "h", *row).withColumnRenamed("near", "about").join(grid, ["band", "about"]).select(
+        "band", "about", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("q"), F.pmod("h", "all_blocks").cast("int").alias("o"), *row, F.lit(False).alias("query")
+    )
+    return materialise(queries.unionByName(others).groupBy(*_BLOCK).applyInArrow(_block_rows(percent), _WANTED), "block-rows")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -202,78 +308,55 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Two documents are linked when ``100 * intersection >= percent * union`` of their distinct ``k``-word
     shingles. ``component_id`` is the smallest doc_id reachable over links.
 
-    Null and blank texts have the empty set and link with nothing. Texts under ``k`` words are one shingle.
-    Rows that repeat a doc_id are one document and share a verdict. A null doc_id links with nothing and
-    is kept, with a null component. Other columns are ignored, whatever their names.
+    Null and blank texts have the empty set and link with nothing. Texts under ``k`` words are one shingle. Very long
+    texts are read whole. Rows that repeat a doc_id are linked, whatever their texts, unless blank. A null doc_id links with
+    nothing and is kept, with a null component. Ties: none, the smallest doc_id stands. An empty table gives an empty
+    result. Other columns are ignored, whatever their names.
     """
-    threshold = percent / 100
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialise(base.mapInArrow(_sign(k), f"doc_id long, {_SIGNED}"), "signed")
-    # Equal sets are one class; its smallest doc_id stands for it. Written, so that joins with it can split a large class.
-    classes = materialise(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "key_a", "key_b").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = materialise(
-        signed.select("doc_id", "n_shingles", "key_a", "key_b", "registers")
-        .join(classes, ["n_shingles", "key_a", "key_b"])
-        .where("doc_id = rep")
-        .select("rep", "registers")
-        .dropDuplicates(["rep"]),
-        "reps",
-    )
-    bands = reps.mapInArrow(_bands, "band long, place short, rep long")
-    crowded = bands.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n"), F.first("place").alias("place"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")).alias("y")).where("n > 1")
-    # Bands with the same members ask the same question: the first of them stays.
-    crowded = crowded.groupBy("pivot", "n", "x", "y").agg(F.min(F.struct("place", "band")).alias("first")).select(F.col("first.band").alias("band"), "pivot", "n")
-    crowded = materialise(crowded, "crowded")  # so that the join below can split a crowded band
-    grouped = materialise(bands.join(crowded, "band"), "buckets")
-    stars = grouped.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    likely = materialise(_with_registers(stars, reps).mapInArrow(_estimate(threshold), "a long, b long"), "likely")
-    texts = base.select(F.col("doc_id").alias("rep"), "text")
-
-    ids = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    wanted = keep_matching(texts, "rep", ids).dropDuplicates(["rep"])
-    links = materialise(_confirmed(likely, wanted, k, percent), "confirmed")
+    signed = materialise(map_batches(base.withColumn("row", F.monotonically_increasing_id()), _sign(k), _SIGNED), "signed")
+    filled = signed.where("n_shingles > 0 and doc_id is not null")
+    # Equal sets are one class, named by its first row. Written, so that joins with it can split a large class.
+    classes = filled.groupBy(*KEY).agg(F.min("row").alias("rep"), F.min("doc_id").alias("owner"), F.first("registers").alias("registers"))
+    classes = materialise(classes, "classes")
+    reps = classes.select("rep", "n_shingles", "registers")
+    members = _crowded(reps)
+    stars = materialise(members.where("rep <> pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.max("n").alias("n")), "stars")
+    estimated = map_batches(_beside(stars, reps, "registers", "ra", "rb"), _estimate(percent / 100), "a long, b long, n long")
+    likely = materialise(estimated, "likely")
+    texts = _texts(base, classes, likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), k)
+    links = map_batches(_beside(likely, texts, "text", "ta", "tb"), _verify(k, percent), "a long, b long")
+    links = materialise(links.unionByName(_shared_ids(filled, classes)), "confirmed")
     found = materialise(connected_components(links), "components")
 
-    # Buckets that span several components: members outside the pivot's component against all members.
-    named = found.select(F.col("id").alias("rep"), F.col("component"))
-    open_buckets = (
-        grouped.where("n > 2")
-        .join(named, "rep", "left")
-        .withColumn("comp", F.coalesce("component", "rep"))
-        .select("band", "place", "pivot", "rep", "comp")
-    )
-    mains = named.select(F.col("rep").alias("pivot"), F.col("component").alias("main"))
-    open_buckets = open_buckets.join(mains, "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
-    open_buckets = materialise(open_buckets, "open")
-    sizes = (
-        open_buckets.groupBy("band")
-        .agg(F.count("*").alias("n"), F.count_if(F.expr("comp <> main")).alias("m"), F.count_distinct("comp").alias("c"))
-        .where("m > 1 or (m = 1 and n > 2)")
-        .where("c > 1")
-        .select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.col("m") / BLOCK).cast("int").alias("query_blocks"))
-    )
-    placed = open_buckets.where("rep <> pivot").join(materialise(sizes, "sizes"), "band").withColumn("h", F.xxhash64("rep"))
-    queries = placed.where("comp <> main").select(
-        "band", "place", "rep", "comp", F.lit(True).alias("query"), F.pmod("h", "query_blocks").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("o")
-    )
-    others = placed.select(
-        "band", "place", "rep", "comp", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("q"), F.pmod("h", "all_blocks").cast("int").alias("o")
-    )
-    blocks = materialise(queries.unionByName(others), "blocks")
-    wanted = materialise(keep_matching(texts, "rep", blocks.select("rep").distinct()).dropDuplicates(["rep"]), "block-texts")
-    more = blocks.join(wanted, "rep").groupBy("band", "q", "o").applyInArrow(_block_links(k, percent), "a long, b long").distinct()
-    more = materialise(more, "more")
+    blocks = _blocks(members, found.select(F.col("id").alias("rep"), "component"), reps, percent)
+    texts = _texts(base, classes, blocks.select("rep").distinct(), k)
+    more = materialise(blocks.join(texts, "rep").groupBy(*_BLOCK).applyInArrow(_block_links(k, percent), "a long, b long").distinct(), "more")
     if not more.isEmpty():
         found = materialise(connected_components(links.unionByName(more)), "components")
 
-    classes = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    classes = materialise(classes.select("n_shingles", "key_a", "key_b", F.coalesce("component", "rep").alias("component")), "named-classes")
-    result = signed.select("doc_id", "n_shingles", "key_a", "key_b").join(classes, ["n_shingles", "key_a", "key_b"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    labelled = classes.select(*KEY, "rep", "owner").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
+    least = labelled.groupBy("component").agg(F.min("owner").alias("component_id"))
+    labelled = materialise(labelled.join(least, "component").select(*KEY, "component_id"), "named-classes")
+    result = signed.select("doc_id", *KEY).join(labelled, KEY, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group of near duplicates; null doc_ids stay."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("gone"))
-    return drop_matching(docs, "doc_id", materialise(gone.distinct(), "gone"), "gone")
+    """The rows of ``docs`` whose document stands for its group of near duplicates, with all their columns.
+
+    Null doc_ids stay. Of rows that repeat a doc_id which stays one is left, the first by a hash of the whole row. Blank texts
+    are near nothing and stay; very long ones are read whole. An empty table gives an empty result. Other columns may
+    have any names.
+    """
+    verdicts = materialise(near_duplicates(docs, k, percent).select("doc_id", "kept"), "verdicts")
+    ids = verdicts.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept"))
+    ids = materialise(ids.where("n > 1 or not kept"), "not-once")
+    left = drop_matching(docs, "doc_id", ids.where("not kept").select("doc_id"), "doc_id")
+    maybe, once = split(left, "doc_id", key_bitmap(ids.where("kept"), "doc_id"))
+    key, row = fresh(docs, "key", "row")
+    whole = F.struct(*docs.columns)
+    one = maybe.groupBy(F.col("doc_id").alias(key)).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(row)).select(f"{row}.*")
+    return once.unionByName(one)

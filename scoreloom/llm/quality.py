@@ -11,7 +11,6 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm import text as tx
+from scoreloom.llm.storage import map_batches
 
 WINDOW = 8
-#: Rows that each task looks at before the order of the rules is set.
-SAMPLE_ROWS = 100
+#: Rows that are looked at before the order of the rules is set. The order never changes a verdict.
+SAMPLE_ROWS = 4000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _BYTE = np.arange(256)
@@ -127,27 +127,24 @@ def _documents(column: pa.Array) -> Iterator[Document]:
         yield Document(data[offsets[i] : offsets[i + 1]])
 
 
-def _trial(sample_rows: int):
-    """Every rule alone on a task's first rows: seconds and rejections. The rest of the task's rows is not read."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, rejected = [0.0] * len(RULES), [0] * len(RULES)
-        texts = (d.raw for batch in batches for d in _documents(batch.column("text")))
-        for raw in islice(texts, sample_rows):
+def _trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every rule alone on each row: seconds and rejections."""
+    spent, rejected = [0.0] * len(RULES), [0] * len(RULES)
+    for batch in batches:
+        for document in _documents(batch.column("text")):
             for k, rule in enumerate(RULES):
                 began = time.perf_counter()
-                rejected[k] += rule.rejects(Document(raw))
+                rejected[k] += rule.rejects(Document(document.raw))
                 spent[k] += time.perf_counter() - began
-        yield pa.RecordBatch.from_pydict({"rule": [r.name for r in RULES], "seconds": spent, "rejected": rejected})
-
-    return run
+    yield pa.RecordBatch.from_pydict({"rule": [r.name for r in RULES], "seconds": spent, "rejected": rejected})
 
 
 def plan_cascade(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by descending rejections per second on a sample: the first ``sample_rows`` rows of each task, so that
-    no text is moved. Ties, and tables without rows, keep the order of ``RULES``."""
-    sample = docs.select(F.col("text").cast("string").alias("text"))
-    trial = sample.mapInArrow(_trial(sample_rows), "rule string, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected"))
+    """Rule names by descending rejections per second on about ``sample_rows`` rows, drawn at random over the whole table.
+    Ties, and tables without rows, keep the order of ``RULES``."""
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    sample = texts.sample(min(1.0, sample_rows / max(1, docs.count())), seed=7)
+    trial = map_batches(sample, _trial, "rule string, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected"))
     rate = {r["rule"]: r["rejected"] / max(r["seconds"], 1e-9) for r in trial.collect()}  # a row for each rule
     return sorted((r.name for r in RULES), key=lambda name: -rate.get(name, 0.0))
 
@@ -187,17 +184,21 @@ def _verdicts(order: list[str]):
 
 def quality_filter(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns; measures are computed only as far
-    as the cascade goes. A null text is empty, and so rejected as having few words."""
-    return docs.mapInArrow(_verdicts(order or plan_cascade(docs)), docs.schema)
+    as the cascade goes. A null or empty text is rejected as having few words, a very long one is read whole; a null or
+    repeated doc_id makes no difference, repeated rows fare alike, columns may have any names, and an empty table stays
+    empty."""
+    return map_batches(docs, _verdicts(order or plan_cascade(docs)), docs.schema)
 
 
 def quality_report(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` of every row.
 
-    Null texts count as empty: all zeros, base_failed, not kept. Repeated rows are measured alike; a null
-    doc_id is passed through; an empty table gives an empty result; other columns are ignored."""
+    Null texts count as empty: all zeros, base_failed, not kept; very long ones are read whole. Repeated rows are measured
+    alike; a null doc_id is passed through; a measure that ties with its limit is not rejected; an empty table gives an
+    empty result; other columns are ignored."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(
+    return map_batches(
+        base,
         _apply(order or plan_cascade(docs)),
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean",
     )

@@ -58,7 +58,7 @@ def op9_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(CONTROL_TEXT).alias("text"),
     )
-    return chat.digest_examples(chat.prefix_target_examples(turns.unionByName(extra)))
+    return chat.digest_examples(chat.prefix_target_examples(turns.unionByName(extra)), in_order=True)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership frequency.
 
 One pass over the texts finds candidates: the base patterns, and long mixed tokens. The hashes of their secret
-values are counted over the whole corpus by distinct repositories and owners. A value that ``WIDE`` or
-more owners hold is a copied example; one that fewer hold looks live. Base spans stay in any case; mixed tokens
-become spans only if they look live.
+values are counted over the whole corpus by distinct repositories and owners. A value that ``WIDE`` or more owners hold
+is a copied example, and so is one that several owners hold in ``WIDE_REPOSITORIES`` or more; any other looks live, in
+however many repositories its one owner keeps it. Base spans stay in any case; mixed tokens become spans only if they
+look live.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm import text as tx
-from scoreloom.llm.keyfilter import key_bitmap, split
+from scoreloom.llm.keyfilter import by_text, fresh, text_key
 from scoreloom.llm.spans import Span, code_points, redact, sha256_hex
-from scoreloom.llm.storage import materialise
+from scoreloom.llm.storage import map_batches, materialise
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "token")
-#: Owners from which on a value counts as a widely copied example.
-WIDE = 3
+#: Owners, and repositories of two owners or more, from which on a value counts as a widely copied example.
+WIDE, WIDE_REPOSITORIES = 3, 8
 #: Shannon entropy, in bits a character, that a mixed token needs.
 ENTROPY = 3.5
 
@@ -36,8 +37,6 @@ _HEX = re.compile(rb"[0-9a-f]{16,}")
 _MIXED = re.compile(rb"[A-Za-z0-9+/_-]{20,}={0,2}")
 
 _FOUND = "doc_id long, spans array<struct<kind:int,start:int,end:int,value:long>>"
-#: Columns of the text's digest, and of a long made of it, while texts are redacted.
-_KEY, _PLACE = "__key", "__place"
 
 
 def _entropy(value: bytes) -> float:
@@ -109,8 +108,9 @@ def judged_spans(docs: DataFrame, repository: Column, owner: Column, key: Column
         F.col("text").cast("string").alias("text"),
     )
     schema = _SCANNED if key is None else _SCANNED.replace("doc_id long", "doc_id string")
-    scanned = materialise(base.mapInArrow(_scan, schema), "scanned")
-    wide = value_frequency(scanned).where(F.col("n_owners") >= WIDE).select("value", "n_owners", "n_repositories")
+    scanned = materialise(map_batches(base, _scan, schema), "scanned")
+    widely = (F.col("n_owners") >= WIDE) | ((F.col("n_owners") > 1) & (F.col("n_repositories") >= WIDE_REPOSITORIES))
+    wide = value_frequency(scanned).where(widely).select("value", "n_owners")
     spans = scanned.select("row", F.inline("spans"))
     judged = spans.join(wide, "value", "left").groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end", F.col("n_owners").isNull().alias("live")))).alias("judged")
@@ -128,8 +128,9 @@ def find_secrets(docs: DataFrame, repository: Column | None = None, owner: Colum
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example)`` of every row of
     ``docs(doc_id, text, ...)``; ``repository`` and ``owner`` default to source/lang and source.
 
-    Null and empty texts have no spans. Null owners count as one owner. Repeated rows are searched
-    alike; a null doc_id is passed through; an empty table gives an empty result. Other columns are ignored.
+    Null and empty texts have no spans; very long ones are read whole. Null owners count as one owner. Repeated rows are
+    searched alike, and count once for their owner; a null doc_id is passed through; spans that begin together go by kind; an
+    empty table gives an empty result. Other columns are ignored.
     """
     places = _where(docs)
     scanned, judged = judged_spans(docs, places[0] if repository is None else repository, places[1] if owner is None else owner)
@@ -145,30 +146,34 @@ def find_secrets(docs: DataFrame, repository: Column | None = None, owner: Colum
     )
 
 
-def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("live_spans").to_pylist(), strict=True):
-            texts.append(redact(text, [(KINDS[s["kind"]], s["start"], s["end"]) for s in spans]) if text and spans else text)
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).drop_columns(["live_spans"])
+def _redacted(spans: str):
+    """Texts with the ``spans`` column's spans replaced, without that column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, found in zip(batch.column("text").to_pylist(), batch.column(spans).to_pylist(), strict=True):
+                texts.append(redact(text, [(KINDS[s["kind"]], s["start"], s["end"]) for s in found]) if text and found else text)
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).drop_columns([spans])
+
+    return run
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every live-looking secret in ``text`` replaced by its kind, and ``n_chars`` to match; widely
-    copied examples stay, and so do all rows. A null or repeated doc_id makes no difference."""
-    columns = docs.columns
+    copied examples stay, and so do all rows. A null or repeated doc_id makes no difference, nor do the names of other
+    columns; null and empty texts stay as they are, very long ones are searched whole; of spans that overlap the first, then
+    the longest, is replaced; repeated rows fare alike; an empty table stays empty."""
     # A span's place follows from the text and whether it is live from the whole corpus, so rows are joined by their
     # texts: a doc_id may be null, or shared by several texts.
-    key = F.sha2(F.col("text").cast("string").cast("binary"), 256)
-    scanned, judged = judged_spans(docs, *_where(docs), key=key)
+    scanned, judged = judged_spans(docs, *_where(docs), key=text_key(F.col("text")))
     live = F.filter("judged", lambda s: s["live"])
+    (spans,) = fresh(docs, "live_spans")
     found = scanned.select("row", F.col("doc_id").alias("hit")).join(judged, "row").where(F.size(live) > 0)
-    chosen = materialise(found.groupBy("hit").agg(F.first(live).alias("live_spans")).withColumn("place", F.xxhash64("hit")), "live")
-    named = docs.withColumn(_KEY, key).withColumn(_PLACE, F.xxhash64(_KEY))
-    maybe, rest = split(named, _PLACE, key_bitmap(chosen, "place"))
-    marked = maybe.join(chosen.drop("place"), maybe[_KEY] == F.col("hit"), "left").drop("hit", _KEY, _PLACE)
-    clean = marked.mapInArrow(_redacted, docs.schema)
-    if "n_chars" in columns:
+    found = materialise(found.groupBy("hit").agg(F.first(live).alias(spans)), "live")
+    marked, rest = by_text(docs, found, "hit", "left")
+    clean = map_batches(marked, _redacted(spans), docs.schema)
+    if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rest.select(*columns).unionByName(clean.select(*columns))
+    return rest.unionByName(clean)

@@ -1,7 +1,9 @@
-"""Where intermediate tables live: the shared folder that the cluster names in ``spark.checkpoint.dir``."""
+"""Where intermediate tables live: the shared folder that the cluster names in ``spark.checkpoint.dir``; and how much of
+a table a task holds at once."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -10,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that are sent to Python at once, in place of Spark's 64 MB: buffers double as they grow, on both sides.
+MAX_BATCH = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,3 +55,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     with _conf(spark, SHUFFLE_CLEANUP, "true"):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` over batches of about ``MAX_BATCH`` bytes, so that a task's memory does not grow with the texts.
+    A session that asks for less, or doesn't say it in bytes, keeps its own limit."""
+    conf = df.sparkSession.conf
+    limit = re.fullmatch(r"(\d+)b?", conf.get(BATCH_BYTES))
+    if limit and int(limit[1]) > MAX_BATCH:
+        conf.set(BATCH_BYTES, str(MAX_BATCH))
+    return df.mapInArrow(function, schema)

@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-SLICE_BYTES = 1 << 19
-_PIECE = 1 << 20
+SLICE_BYTES = 1 << 18
+_PIECE = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _WORD = ~_SPACE
@@ -113,6 +113,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True, terms:
     return out, np.searchsorted(starts, offsets)
 
 
+def fold_latin(data: np.ndarray) -> np.ndarray:
+    """The bytes with UTF-8's capital letters from U+00C0 to U+00DE as small ones."""
+    at = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)) + 1
+    if not len(at):
+        return data
+    out = data.copy()
+    out[at] += 0x20
+    return out
+
+
 def term_hashes(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of all terms and of their first bytes, a row for each term, and each document's first
     row. A term without more bytes than a prefix stands for itself there."""

@@ -21,7 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.storage import materialise, new_path
+from scoreloom.llm.keyfilter import key_bitmap, split
+from scoreloom.llm.storage import map_batches, materialise, new_path
 
 MIN_REVISIT_BYTES = 100
 #: Uncompressed bytes after which a task begins another archive.
@@ -231,25 +232,29 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     ).withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
-    large = F.octet_length("html") >= min_bytes
-    again = base.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    marked = base.join(again, "digest", "left")
+    # Digests alone are shuffled to find the repeated ones; then only the pages that may have one of those.
+    large = base.where(F.octet_length("html") >= min_bytes).select("page_id", "digest")
+    again = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    again = materialise(again.withColumn("place", F.xxhash64("digest")), "repeated")
+    maybe, rest = split(base.withColumn("place", F.xxhash64("digest")), "place", key_bitmap(again, "place"))
+    marked = maybe.drop("place").join(again.drop("place"), "digest", "left").withColumn("first", F.when(F.octet_length("html") >= min_bytes, F.col("first")))
+    marked = rest.select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("first")).unionByName(marked)
     return marked.select("page_id", "url", "html", "digest", "first", (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
 
 
 def write_monolithic(pages: DataFrame, base: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Archives of the pages as whole-file gzip streams; returns the manifest ``(path, records)``."""
-    return materialise(with_revisits(pages).mapInArrow(_write(base, roll_bytes), "path string, records long"), "warc-raw")
+    return materialise(map_batches(with_revisits(pages), _write(base, roll_bytes), "path string, records long"), "warc-raw")
 
 
 def normalise(manifest: DataFrame, base: str) -> DataFrame:
     """Each archive again with a gzip member for every record and ``.idx`` beside it; returns its manifest."""
-    return materialise(_spread(manifest).mapInArrow(_normalise(base), "path string, records long"), "warc-members")
+    return materialise(map_batches(_spread(manifest), _normalise(base), "path string, records long"), "warc-members")
 
 
 def read_archives(manifest: DataFrame, base: str) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of every record, by offset."""
-    return _spread(manifest).mapInArrow(_read(base), _PAGES)
+    return map_batches(_spread(manifest), _read(base), _PAGES)
 
 
 def _spread(manifest: DataFrame) -> DataFrame:
@@ -260,8 +265,9 @@ def _spread(manifest: DataFrame) -> DataFrame:
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages(page_id, url, html, ...)`` as archives in the shared folder, normalise them, read them back.
 
-    A null html is an empty payload; null urls are left out; a null page_id comes back null. Repeated rows
-    are records of their own. An empty table writes no archive. Other columns are ignored.
+    A null or empty html is an empty payload, a very long one a record of its length, which a task holds; null urls are left
+    out; a null page_id comes back null and is never referred to. Repeated rows are records of their own, and rows that tie
+    for the smallest page_id are all responses. An empty table writes no archive. Other columns are ignored.
     """
     base = new_path(pages.sparkSession, "warc")
     return read_archives(normalise(write_monolithic(pages, base), base), base)
