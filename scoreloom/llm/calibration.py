@@ -28,7 +28,7 @@ def calibrate(margins: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple
     return max(float(a), 0.05), float(b)
 
 
-def calibrate_at(margins: np.ndarray, labels: np.ndarray, threshold: float, clean_weight: float = 4.0) -> tuple[float, float]:
+def calibrate_at(margins: np.ndarray, labels: np.ndarray, threshold: float, clean_weight: float = 3.0) -> tuple[float, float]:
     """As ``calibrate``, shifted so that ``threshold`` is met at the best cut: the one with the greatest true positive
     rate less ``clean_weight`` times the false positive rate, in the middle between the margins beside it."""
     a, b = calibrate(margins, labels)

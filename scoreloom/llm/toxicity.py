@@ -1,13 +1,15 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's terms, and their first 4, 6 and 8 bytes for inflected and compound words, are hashed into 2^18 cells, present
-or not. A cell has a linear weight and a short factor vector;
-the score adds the products of the factors of all pairs of cells, so that a pair, such as an insult together with
-a group mention, can count for more or less than its members. The model is fitted on a bounded sample of the
-labelled rows (``max_positive`` and ``max_negative`` rows) and its output is calibrated on rows held back from it, both labels weighing alike.
-
-Spark counts the sample's cells by label; the driver sees one count a cell, chooses ``MAX_TERMS`` of them, and
-fetches the sampled rows with those cells only.
+or not; further cells tell that a term occurs often, that several terms share a beginning, and how long the text is. A
+cell has a linear weight and a short factor vector; the score adds the products of the factors of all pairs of cells,
+so that a pair, such as an insult together with a group mention, can count for more or less than its members. The
+model is fitted on a bounded sample of the labelled rows (``max_positive`` and ``max_negative`` rows) and its output is
+calibrated on rows held back from it, both labels weighing alike.
+
+Spark counts the sample's cells by label. The driver sees one count a cell and chooses the ``MAX_TERMS`` that tell most
+by themselves and the ``MAX_COMMON`` that most rows have. Among the latter it looks for pairs that tell more together
+than apart, whatever each tells by itself, and the members of the ``MAX_PAIRS`` strongest ones join the model.
 """
 
 from __future__ import annotations
@@ -22,16 +24,20 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm import text as tx
 from scoreloom.llm.calibration import calibrate_at, sigmoid
-from scoreloom.llm.storage import materialise
+from scoreloom.llm.storage import map_batches, materialise
 
 HASH_BITS = 18
 PREFIXES = (4, 6, 8)
 FACTORS = 4
 MAX_TERMS = 512
+#: Cells whose pairs are looked at, the pairs that may be chosen, and the deviations from their members that they need.
+MAX_COMMON, MAX_PAIRS, LEAST_DEVIATION = 512, 64, 6.0
+#: Times from which on a term is frequent in its text.
+OFTEN = 3
 #: Rows that a cell must be in to be one of them.
 LEAST_ROWS = 5
 #: Share of a row's cells that a training step sees, so that few of them must do.
-SEEN = 0.4
+SEEN = 0.6
 THRESHOLD = 0.7
 MAX_POSITIVE, MAX_NEGATIVE = 4000, 8000
 _CELLS = np.uint64((1 << HASH_BITS) - 1)
@@ -43,37 +49,56 @@ def held_out(doc_id) -> F.Column:
 
 
 def term_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For ranges of rows: the first row, a line of hashes for each term, and each row's first line."""
+    """For ranges of rows: the first row, a line of hashes for each term, and each row's first line. Case is folded in
+    ASCII and Latin-1 letters."""
     data, offsets = tx.utf8(column)
+    data = tx.fold_latin(data)
     for i, j in tx.slices(offsets):
         yield i, *tx.term_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], PREFIXES)
 
 
-def _twice(heads: np.ndarray) -> np.ndarray:
-    """Hashes that stand for two or more terms with one beginning."""
-    return tx.mix(heads + np.uint64(7))
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & _CELLS).astype(np.int64)
+
+
+def _twice(cells: np.ndarray) -> np.ndarray:
+    """Cells that stand for two or more terms with one beginning."""
+    return (cells * 0x2C1B3C6D + 7) & int(_CELLS)
+
 
+def _often(cells: np.ndarray) -> np.ndarray:
+    """Cells that stand for a term, or a beginning, which occurs ``OFTEN`` times."""
+    return (cells * 0x297A2D39 + 11) & int(_CELLS)
 
-def document_cells(lines: np.ndarray) -> np.ndarray:
-    """Distinct cells of a document: its terms, their beginnings, and beginnings of several terms."""
-    lines = lines[np.unique(lines[:, 0], return_index=True)[1]]
-    parts = [lines.ravel()]
+
+#: Cells of texts by the bits of their number of terms.
+_LENGTHS = _cell(tx.mix(np.arange(1, 33, dtype=np.uint64) << np.uint64(40)))
+
+
+def document_cells(lines: np.ndarray, n_terms: int) -> np.ndarray:
+    """Distinct cells of a document of ``n_terms`` terms: its terms, their beginnings, those of several terms or that
+    occur often, and its length."""
+    _, at, n = np.unique(lines[:, 0], return_index=True, return_counts=True)
+    cells = _cell(lines)
+    parts = [cells[at].ravel(), _often(cells[at[n >= OFTEN], 0]), _LENGTHS[min(31, int(n_terms).bit_length())][None]]
     for k in range(1, lines.shape[1]):
-        head, n = np.unique(lines[:, k], return_counts=True)
+        head, n = np.unique(cells[:, k], return_counts=True)
+        parts.append(_often(head[n >= OFTEN]))
+        head, n = np.unique(cells[at, k], return_counts=True)
         parts.append(_twice(head[n > 1]))
-    return np.unique((np.concatenate(parts) & _CELLS).astype(np.int64))
+    return np.unique(np.concatenate(parts))
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for _, lines, first in term_hashes(batch.column("text")):
-            rows += [document_cells(lines[a:b]).astype(np.int32) for a, b in zip(first[:-1], first[1:], strict=True)]
+            rows += [document_cells(lines[a:b], b - a).astype(np.int32) for a, b in zip(first[:-1], first[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], names=["id", "toxic", "cells"])
 
 
 def _sum_rows(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(row, values[:, f], n) for f in range(values.shape[1])], 1)
+    return np.stack([np.bincount(row, values[:, f], n).astype(values.dtype) for f in range(values.shape[1])], 1)
 
 
 @dataclass
@@ -111,15 +136,47 @@ def strongest(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> n
     return chosen[strength[chosen] > 2.5]
 
 
-def _counted(cells: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The strongest cells of rows at hand."""
+def common(pos: np.ndarray, neg: np.ndarray, n_rows: float) -> np.ndarray:
+    """Places of the ``MAX_COMMON`` cells that most rows have, of those that one row in ten lacks."""
+    n = pos + neg
+    places = np.flatnonzero((n >= LEAST_ROWS) & (10 * n <= 9 * n_rows))
+    return places[np.argsort(-n[places], kind="stable")[:MAX_COMMON]]
+
+
+def telling_pairs(cells: list[np.ndarray], labels: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Members of the ``MAX_PAIRS`` pairs of cells ``among`` which are toxic more or less often than their members'
+    odds, added, would have it."""
+    slot = np.full(1 << HASH_BITS, -1, np.int32)
+    slot[among] = np.arange(len(among))
+    both, toxic = np.zeros((2, len(among), len(among)), np.float32)
+    for i in range(0, len(cells), 1024):
+        slots, row = _flat(cells[i : i + 1024], slot)
+        has = np.zeros((len(cells[i : i + 1024]), len(among)), np.float32)
+        has[row, slots] = 1
+        both += has.T @ has
+        toxic += (has * labels[i : i + 1024, None].astype(np.float32)).T @ has
+    logit = lambda p, n: np.log((p + 0.5) / (n - p + 0.5))
+    base = logit(labels.sum(), len(labels))
+    own = logit(np.diag(toxic), np.diag(both)) - base
+    share = sigmoid(base + own[:, None] + own[None, :])
+    off = np.abs(toxic - both * share) / np.sqrt(np.maximum(both * share * (1 - share), 0.5))
+    off[(both < 4 * LEAST_ROWS) | np.tri(len(among), dtype=bool)] = 0
+    best = np.argsort(-off, axis=None, kind="stable")[:MAX_PAIRS]
+    best = best[off.ravel()[best] >= LEAST_DEVIATION]
+    return among[np.unique(np.concatenate(np.unravel_index(best, off.shape)))] if len(best) else among[:0]
+
+
+def choose(cells: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The cells for a model of rows at hand."""
     flat, row = np.concatenate([np.zeros(0, np.int64), *cells]), np.repeat(labels, [len(c) for c in cells])
-    return strongest(np.bincount(flat, row, 1 << HASH_BITS), np.bincount(flat, 1 - row, 1 << HASH_BITS), labels.sum(), (1 - labels).sum())
+    pos, neg = np.bincount(flat, row, 1 << HASH_BITS), np.bincount(flat, 1 - row, 1 << HASH_BITS)
+    single = strongest(pos, neg, labels.sum(), (1 - labels).sum())
+    return np.unique(np.concatenate([single, _LENGTHS, telling_pairs(cells, labels, common(pos, neg, len(labels)))]))
 
 
 def fit(cells: list[np.ndarray], labels: np.ndarray, steps: int = 250, seed: int = 5, back: np.ndarray | None = None, chosen: np.ndarray | None = None) -> FactorizationMachine:
     """Adam on the mean log loss with weight decay. ``back`` marks the rows that are held back for calibration, one in
-    five unless given; ``chosen`` are the cells that the model has, by default the strongest of the other rows."""
+    five unless given; ``chosen`` are the cells that the model has, by default those that ``choose`` takes from the other rows."""
     n_cells = 1 << HASH_BITS
     labels = labels.astype(float)
     if not len(labels) or labels.min() == labels.max():  # nothing to tell apart
@@ -130,13 +187,13 @@ def fit(cells: list[np.ndarray], labels: np.ndarray, steps: int = 250, seed: int
         back = np.arange(len(labels)) % 5 == 0
     train = np.flatnonzero(~back)
     if chosen is None:
-        chosen = _counted([cells[i] for i in train], labels[train])
+        chosen = choose([cells[i] for i in train], labels[train])
     n_pos, n_neg = max(labels[train].sum(), 0.5), max((1 - labels[train]).sum(), 0.5)
     slot = np.full(n_cells, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
     rng = np.random.Generator(np.random.PCG64(seed))
     size = max(1, len(chosen))
-    model = FactorizationMachine(slot, np.zeros(size), rng.normal(0, 0.05, (size, FACTORS)), float(np.log(n_pos / n_neg)))
+    model = FactorizationMachine(slot, np.zeros(size), rng.normal(0, 0.05, (size, FACTORS)).astype(np.float32), float(np.log(n_pos / n_neg)))
     all_slots, all_rows = _flat([cells[i] for i in train], slot)
     y, n = labels[train], len(train)
     weight = np.where(y > 0, 0.5 / n_pos, 0.5 / n_neg)
@@ -148,9 +205,11 @@ def fit(cells: list[np.ndarray], labels: np.ndarray, steps: int = 250, seed: int
         v = model.factors[slots]
         sums = _sum_rows(v, row, n)
         slope = weight * (sigmoid(model.margins(slots, row, n)) - y)
-        at = slope[row]
+        at = slope[row].astype(np.float32)
         g_linear = np.bincount(slots, at, size) + 1e-5 * model.linear
-        g_factors = _sum_rows(at[:, None] * (sums[row] - v), slots, size) + 1e-4 * model.factors
+        np.subtract(sums[row], v, out=v)
+        v *= at[:, None]
+        g_factors = _sum_rows(v, slots, size) + np.float32(1e-4) * model.factors
         for k, (value, grad) in enumerate(((model.linear, g_linear), (model.factors, g_factors))):
             m, s = state[2 * k], state[2 * k + 1]
             m += 0.1 * (grad - m)
@@ -166,36 +225,45 @@ def fit(cells: list[np.ndarray], labels: np.ndarray, steps: int = 250, seed: int
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> FactorizationMachine:
     """Fit on at most ``max_positive`` toxic and ``max_negative`` other labelled rows that are not held out,
-    chosen by a hash of their doc_id."""
-    usable = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
+    chosen by a hash of their doc_id. A doc_id with several labels is toxic if one of them says so; of several rows of a
+    doc_id one is used. Labels without a document, and null ids and labels, are left out."""
+    usable = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
+    usable = usable.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = [F.xxhash64("id"), "id"]
     chosen = usable.where("toxic = 1").orderBy(*order).limit(max_positive).unionByName(usable.where("toxic = 0").orderBy(*order).limit(max_negative))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     # At most max_positive + max_negative rows of two numbers.
     sample = texts.join(F.broadcast(chosen), "id").select("id", "toxic", "text")
-    rows = materialise(sample.mapInArrow(_cells, "id long, toxic int, cells array<int>"), "toxicity-sample")
-    rows = rows.withColumn("back", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0)
+    rows = map_batches(sample, _cells, "id long, toxic int, cells array<int>").groupBy("id", "toxic").agg(F.min("cells").alias("cells"))
+    rows = materialise(rows.withColumn("back", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0), "toxicity-sample")
     counts = rows.where("not back").select("toxic", F.explode("cells").alias("cell")).groupBy("cell").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS)
     total = rows.where("not back").agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos"), F.count("*").alias("n")).first()
     seen = counts.orderBy("cell").toPandas()  # 2^HASH_BITS rows of three numbers at most
-    pos, n = seen["pos"].to_numpy(float), seen["n"].to_numpy(float)
-    cells = seen["cell"].to_numpy(np.int64)[strongest(pos, n - pos, total["pos"], total["n"] - total["pos"])]
-    wanted = F.array(*[F.lit(int(c)) for c in cells]).cast("array<int>")
-    fitted = rows.select("toxic", "back", F.array_intersect("cells", wanted).alias("cells")).orderBy(F.xxhash64("id"), "id", F.hash("cells")).toPandas()
-    return fit([np.asarray(c, np.int64) for c in fitted["cells"]], fitted["toxic"].to_numpy(), back=fitted["back"].to_numpy(bool), chosen=cells)
+    pos, n, cells = seen["pos"].to_numpy(float), seen["n"].to_numpy(float), seen["cell"].to_numpy(np.int64)
+    single = cells[strongest(pos, n - pos, total["pos"], total["n"] - total["pos"])]
+    frequent = cells[common(pos, n - pos, total["n"])]
+    wanted = np.unique(np.concatenate([single, frequent, _LENGTHS]))
+    listed = F.split(F.lit(",".join(map(str, wanted))), ",").cast("array<int>")
+    # The sampled rows, with MAX_TERMS + MAX_COMMON cells at most.
+    found = rows.select("toxic", "back", F.array_intersect("cells", listed).alias("cells")).orderBy(F.xxhash64("id"), "id").toPandas()
+    own, toxic, back = [np.asarray(c, np.int64) for c in found["cells"]], found["toxic"].to_numpy(), found["back"].to_numpy(bool)
+    pairs = telling_pairs([c for c, held in zip(own, back, strict=True) if not held], toxic[~back], frequent) if len(frequent) else frequent
+    return fit(own, toxic, back=back, chosen=np.unique(np.concatenate([single, pairs, _LENGTHS])))
 
 
 def _score(model: FactorizationMachine, threshold: float):
+    known, every = model.slot >= 0, np.arange(1 << HASH_BITS)
+    known = known | known[_twice(every)] | known[_often(every)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [np.zeros(0)]
             for _, lines, first in term_hashes(batch.column("text")):
                 n = len(first) - 1
-                # Lines without a cell of the model can be left out: a beginning counts or not as a whole.
-                used = (model.slot[(lines & _CELLS).astype(np.int64)] >= 0).any(1) | (model.slot[(_twice(lines[:, 1:]) & _CELLS).astype(np.int64)] >= 0).any(1)
-                kept = np.flatnonzero(used)
+                # Lines that lead to no cell of the model can be left out: a beginning counts or not as a whole.
+                kept = np.flatnonzero(known[_cell(lines)].any(1))
                 ends = np.searchsorted(kept, first)
-                found = [document_cells(lines[kept[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                found = [document_cells(lines[kept[a:b]], m) for a, b, m in zip(ends[:-1], ends[1:], np.diff(first), strict=True)]
                 parts.append(model.scores(*_flat(found, model.slot), n))
             scores = np.concatenate(parts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
@@ -206,11 +274,12 @@ def _score(model: FactorizationMachine, threshold: float):
 def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row of ``docs(doc_id, text, ...)``.
 
-    Null and empty texts get the score of a text without terms. Repeated rows score alike; a null doc_id is
-    passed through and counts as not held out. Other columns are ignored.
+    Null and empty texts get the score of a text without terms; very long ones are read whole. Repeated rows score alike; a
+    null doc_id is passed through and counts as not held out; an empty table gives an empty result. A score that ties with
+    the threshold is predicted toxic. Other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = base.mapInArrow(_score(model, threshold), "doc_id long, score double, predicted int")
+    scored = map_batches(base, _score(model, threshold), "doc_id long, score double, predicted int")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -225,5 +294,7 @@ def _keep(model: FactorizationMachine, threshold: float):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    return docs.mapInArrow(_keep(train(docs, labels), threshold), docs.schema)
+    """The rows of ``docs`` that score below ``threshold``, with all their columns, whatever their names. Null and empty
+    texts are scored as texts without terms, very long ones whole; a null or repeated doc_id makes no difference, repeated
+    rows fare alike, and an empty table stays empty."""
+    return map_batches(docs, _keep(train(docs, labels), threshold), docs.schema)
