@@ -1,22 +1,23 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
-
-Ranks are names: equal strings have equal names, and the name of a string is made from a pair of names, that of
-its first part and that of the part at a growing offset (1, 2, 4, ... bytes). Names are fingerprints of the bytes,
-so tasks name all positions alike without a shuffle; Spark sorts and counts names to see which are
-still shared, and only positions whose names are shared go on to the next length.
-
-Length 64. Of the 64-byte names in every ``LENGTH``-byte string the smallest one is its mark, so equal
-``LENGTH``-byte strings have equal marks at equal places and only marks, one position in about 69, need to be
-shuffled. Each mark stands for the run of string starts that chose it. A mark with a unique name drops out: none of
-its strings repeats.
-
-Length of a run (200 to 336). Marks that share their name are named again by the whole stretch their strings cover. Where
-all marks of a name agree in the stretch, every string of the run repeats, and the run is settled.
-
-Then runs are split into ever shorter ones, of at most 32, 8, 2 and 1 strings, at fixed distances from the mark. The
-bytes that all strings of a part have in common grow from 169 to 200 and are ranked by the pair of the
-mark's name and their own: a part whose common bytes are unique drops out, one whose whole stretch is shared is
-settled, and only what is neither goes on. Equal stretches are asked once, with their number as weight.
+"""Removal of repeated byte strings by prefix doubling over sampled positions.
+
+The strings that begin at a position are ranked by growing lengths. A rank stands for equal bytes: strings keep the rank
+that they share, and the next one is that of the pair of this rank and the bytes by which the strings grow. Spark sorts the
+pairs and numbers them; strings whose pair is unique drop out, those that have reached ``LENGTH`` bytes and still share
+a rank repeat, and only what is neither goes on.
+
+Ranking every position would move some twenty times the corpus a round, so positions are sampled by content. Up to 64
+bytes tasks name strings alike without a shuffle (names of 1, 2, 4 ... 32 bytes paired at that offset). Of the 64-byte
+names in every ``LENGTH``-byte string the smallest one is its mark, so equal ``LENGTH``-byte strings have equal marks at equal
+places, and only marks, one position in about 69, are ranked. A mark stands for the run of string starts that chose it.
+
+First rank: 64 bytes at the mark. Where all marks of a rank also agree in the whole stretch that the strings of their
+run cover, every string of the run repeats, and the run is settled. Then runs are split into parts of at most 32, 8, 2 and
+1 strings at fixed distances from the mark, whose common bytes grow from 169 to 193, 199 and 200; each time the pair
+of the last rank and the common bytes (their 128-bit digest) is ranked. Equal stretches are ranked once, with their number
+as weight.
+
+Rows are known by two 64-bit hashes of their texts, so that a doc_id may be null or shared; rows of one text are asked and
+answered together.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm import text as tx
 from scoreloom.llm.keyfilter import key_bitmap, split
-from scoreloom.llm.storage import materialise
+from scoreloom.llm.storage import map_batches, materialise
 
 LENGTH = 200
 GRAM = 64
@@ -42,6 +43,8 @@ WINDOW = LENGTH - GRAM + 1
 PIECE = 1 << 22
 #: Most strings of a part in each round of splitting.
 PARTS = (32, 8, 2, 1)
+#: A text's name in all tables.
+ROW = ["row", "alt"]
 _STEP = np.uint64(0xA24BAED4963EE407)
 _BYTE = tx.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -113,7 +116,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = tx.utf8(batch.column("text"))
-        ids = batch.column("row").to_numpy()
+        ids, alts = batch.column("row").to_numpy(), batch.column("alt").to_numpy()
         for part, rows, ends, shift in _pieces(data, offsets):
             if len(part) < LENGTH:
                 continue
@@ -127,68 +130,66 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[rows[doc]]),
+                    pa.array(alts[rows[doc]]),
                     pa.array(names[mark].view(np.int64)),
                     pa.array(stretch_names(longer, mark, first, last).view(np.int64)),
                     pa.array(first + move),
                     pa.array((last - first).astype(np.int16)),
                     pa.array((mark - first).astype(np.int16)),
                 ],
-                names=["row", "name", "stretch", "first", "more", "lead"],
+                names=[x.split()[0] for x in _MARKS.split(", ")],
             )
 
 
-_MARKS = "row long, name long, stretch long, first long, more short, lead short"
+_MARKS = "row long, alt long, name long, stretch long, first long, more short, lead short"
+
+
+_BYTES = "row long, alt long, run long, raw binary"
 
 
 def _run_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes that the strings of each asked run cover."""
     for batch in batches:
         data, offsets = tx.utf8(batch.column("text"))
-        rows, runs = batch.column("row").to_pylist(), batch.column("runs").to_pylist()
+        rows, alts, runs = (batch.column(c).to_pylist() for c in ("row", "alt", "runs"))
         out = []
         for i, asked in enumerate(runs):
             raw = data[offsets[i] : offsets[i + 1]]
-            out += [(rows[i], r["first"], raw[r["first"] : r["first"] + r["more"] + LENGTH].tobytes()) for r in asked]
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["row", "run", "raw"])
-
-
-def _name(*parts: int, raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw, seed=xxhash.xxh3_64_intdigest(repr(parts))) - (1 << 63)
+            out += [(rows[i], alts[i], r["first"], raw[r["first"] : r["first"] + r["more"] + LENGTH].tobytes()) for r in asked]
+        yield _batch(out, _BYTES)
 
 
 def _split(size: int):
-    """Parts of runs by the strings' distance to the mark, ``size`` at most, with the names of their common
-    bytes and of their stretches."""
+    """Parts of runs by the strings' distance to the mark, ``size`` at most, with their common bytes' digest and their
+    stretch's name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row, start, first, more, lead, name, weight, raw in zip(*(batch.column(c).to_pylist() for c in ("row", "run", "first", "more", "lead", "name", "weight", "raw")), strict=True):
-                if len(raw) < first - start + more + LENGTH:  # another text of the same doc_id
-                    continue
+            for row, alt, start, first, more, lead, rank, weight, raw in zip(*(batch.column(c).to_pylist() for c in (*ROW, "run", "first", "more", "lead", "rank", "weight", "raw")), strict=True):
                 mark = first - start + lead  # in raw
                 for block in range((lead - more) // size, lead // size + 1):
                     low, high = block * size, block * size + size - 1
                     near, far = max(low, lead - more), min(high, lead)
                     common = raw[mark - low : mark - high + LENGTH]
-                    stretch = raw[mark - far : mark - near + LENGTH]
-                    out.append((row, start, first + lead - far, far - near, far, _name(name, block, raw=common), _name(near, far, raw=stretch), weight))
+                    stretch = xxhash.xxh3_64_intdigest(raw[mark - far : mark - near + LENGTH], seed=far * 256 + near) - (1 << 63)
+                    out.append((row, alt, start, first + lead - far, far - near, far, rank, block, xxhash.xxh3_128_digest(common), stretch, weight))
                 if len(out) >= 20000:
-                    yield _parts(out)
+                    yield _batch(out, _PARTS)
                     out = []
-            yield _parts(out)
+            yield _batch(out, _PARTS)
 
     return run
 
 
-_PARTS = "row long, run long, first long, more short, lead short, name long, stretch long, weight long"
+_PARTS = "row long, alt long, run long, first long, more short, lead short, rank long, block int, common binary, stretch long, weight long"
+_KINDS = {"long": pa.int64(), "short": pa.int16(), "int": pa.int32(), "binary": pa.binary()}
 
 
-def _parts(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.int64())
-    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _PARTS.split(", ")])
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    fields = [x.split() for x in ddl.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,33 +217,39 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _rank(rows: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Settled ``(row, first, more)``, and what has a shared name but neither repeats wholly nor not at all:
-    one row a stretch, with its weight."""
-    shared = rows.groupBy("name").agg(F.sum("weight").alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("n > 1")
-    # Written, so that the join below deals both sides anew and can split a name that many rows share.
-    shared = materialise(shared.select("name", (F.col("low") == F.col("high")).alias("alike")), "names")
-    survivors = materialise(rows.join(shared, "name"), "shared")
+def _rank(rows: DataFrame, pair: list[str]) -> tuple[list[DataFrame], DataFrame]:
+    """Ranks the rows by ``pair``, the rank so far and what the strings grow by. Returns settled ``(row, alt, first, more)``, and
+    what shares a rank but neither repeats wholly nor not at all: one row a stretch, with its weight."""
+    shared = rows.groupBy(*pair).agg(F.sum("weight").alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("n > 1")
+    # Sorted and written: the place is the new rank, and the join below can deal both sides anew and split a rank that many rows share.
+    shared = shared.select(*pair, (F.col("low") == F.col("high")).alias("alike"))
+    ranks = materialise(shared.sort(*pair).withColumn("new", F.monotonically_increasing_id()), "ranks")
+    survivors = materialise(rows.join(ranks, pair).drop(*pair).withColumnRenamed("new", "rank"), "shared")
     mixed = survivors.where("not alike")
-    one = F.min(F.struct("row", "run", "first", "more", "lead")).alias("one")
-    stretches = materialise(mixed.groupBy("name", "stretch").agg(F.sum("weight").alias("weight"), one), "stretches")
-    twice = stretches.where("weight > 1").select("name", "stretch")
-    settled = [survivors.where("alike"), mixed.join(twice, ["name", "stretch"], "left_semi")]
-    return [s.select("row", "first", "more") for s in settled], stretches.select("one.*", "name", "weight")
+    one = F.min(F.struct(*ROW, "run", "first", "more", "lead")).alias("one")
+    stretches = materialise(mixed.groupBy("rank", "stretch").agg(F.sum("weight").alias("weight"), one), "stretches")
+    twice = stretches.where("weight > 1").select("rank", "stretch")
+    settled = [survivors.where("alike"), mixed.join(twice, ["rank", "stretch"], "left_semi")]
+    return [s.select(*ROW, "first", "more") for s in settled], stretches.select("one.*", "rank", "weight")
+
+
+def _runs_of(rows: DataFrame) -> DataFrame:
+    """``(row, alt, runs)``: each text's runs, once each."""
+    return rows.groupBy(*ROW).agg(F.collect_set(F.struct("first", "more")).alias("runs"))  # one text's
 
 
 def repeated_runs(base: DataFrame) -> DataFrame:
-    """``(row, first, more)``: runs of string starts, in bytes, whose ``LENGTH``-byte strings start elsewhere
-    too, for ``base(row, text)``."""
-    marks = materialise(base.where(F.octet_length("text") >= LENGTH).select("row", "text").mapInArrow(_marks, _MARKS), "marks")
-    settled, open_ = _rank(marks.withColumn("run", F.col("first")).withColumn("weight", F.lit(1).cast("long")))
-    asked = open_.groupBy("row").agg(F.collect_list(F.struct("first", "more")).alias("runs"))  # one document's
-    asked = materialise(asked, "asked")
-    candidates, _ = split(base.select("row", "text"), "row", key_bitmap(asked, "row"))
-    raw = materialise(candidates.join(asked, "row").mapInArrow(_run_bytes, "row long, run long, raw binary").dropDuplicates(["row", "run"]), "run-bytes")
+    """``(row, alt, first, more)``: runs of string starts, in bytes, whose ``LENGTH``-byte strings start elsewhere
+    too, for ``base(row, alt, text)``."""
+    marks = materialise(map_batches(base.where(F.octet_length("text") >= LENGTH).select(*ROW, "text"), _marks, _MARKS), "marks")
+    settled, open_ = _rank(marks.withColumn("run", F.col("first")).withColumn("weight", F.lit(1).cast("long")), ["name"])
+    asked = materialise(_runs_of(open_), "asked")
+    candidates, _ = split(base.select(*ROW, "text"), "row", key_bitmap(asked, "row"))
+    raw = map_batches(candidates.join(asked, ROW), _run_bytes, _BYTES).groupBy(*ROW, "run").agg(F.min("raw").alias("raw"))
+    raw = materialise(raw, "run-bytes")
     for size in PARTS:
-        parts = materialise(open_.join(raw, ["row", "run"]).mapInArrow(_split(size), _PARTS), "parts")
-        more, open_ = _rank(parts)
+        parts = materialise(map_batches(open_.join(raw, [*ROW, "run"]), _split(size), _PARTS), "parts")
+        more, open_ = _rank(parts, ["rank", "block", "common"])
         settled += more
     return reduce(DataFrame.unionByName, settled)
 
@@ -251,13 +258,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of every row of ``docs(doc_id, text, ...)``: each byte
     covered by a ``LENGTH``-byte string that also starts anywhere else, in any row, goes.
 
-    Null and empty texts have no bytes. Repeated rows are documents of their own, so all their strings repeat.
-    A null doc_id is passed through; the text stands in for it. Rows of one doc_id must have the same text. An empty table gives an empty result. Other columns are ignored.
+    Null and empty texts have no bytes; very long ones are read whole, a piece at a time. Repeated rows are documents of
+    their own, so all their strings repeat, and so do those of rows that share a text but not a doc_id. A null doc_id is
+    passed through; rows of one doc_id may have different texts. Strings that tie all go, none of them stays as the
+    first. An empty table gives an empty result. Other columns are ignored.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
-    runs = repeated_runs(base).groupBy("row").agg(F.collect_list(F.struct("first", "more")).alias("runs"))  # one document's
-    runs = materialise(runs, "runs")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"), F.xxhash64(F.lit(1), text, F.lit(2)).alias("alt"))
+    runs = materialise(_runs_of(repeated_runs(base)), "runs")
     maybe, rest = split(base, "row", key_bitmap(runs, "row"))
     whole = rest.select("doc_id", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
-    joined = maybe.join(runs, "row", "left").select("doc_id", "text", "runs")
-    return whole.unionByName(joined).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = maybe.join(runs, ROW, "left").select("doc_id", "text", "runs")
+    return map_batches(whole.unionByName(joined), _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
