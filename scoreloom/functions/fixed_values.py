@@ -68,13 +68,14 @@ NAME_RULES = (
     (r"[一-龥]某(?=[，。；：\s、与在和为是向等]|$)", "某"),
 )
 STANDALONE_NAME_PATTERN = r"[一-龥]{2,4}(?=[，。；：\s、与在和为是向等]|$)"
-LEGAL_TERMS = frozenset(
-    "原告 被告 上诉人 被上诉人 法院 本院 一审 二审 审理 提供 共同 一起 申请 裁定 判决 认为 经 的 和 与 在 为 是 有 不 也 都 就 还 "
-    "可以 能够 应该 需要 必须 可能 如果 因为 所以 但是 然而 因此 据此 依法 根据 按照 依照 依据 关于 对于 由于 鉴于 经过 通过 进行 完成 实现 "
-    "达到 取得 获得 得到 受到 遭受 汉族 朝鲜族 满族 回族 某省 某市 某县 某路 某号 某年 某月 某日 出生 民事 刑事 行政 纠纷 案件 诉讼 代理 委托 "
-    "法庭 审判 决定 执行".split()
-)
-ROLE_TERMS = frozenset("证人 证明人 审判长 审判员 书记员 法官助理".split())
+LEGAL_TERMS = (
+    "原告", "被告", "上诉人", "被上诉人", "法院", "本院", "一审", "二审", "审理", "提供", "共同", "一起", "申请", "裁定", "判决", "认为", "经", "的", "和",
+    "与", "在", "为", "是", "有", "不", "也", "都", "就", "还", "可以", "能够", "应该", "需要", "必须", "可能", "如果", "因为", "所以", "但是",
+    "然而", "因此", "据此", "依法", "根据", "按照", "依照", "依据", "关于", "对于", "由于", "鉴于", "经过", "通过", "进行", "完成", "实现", "达到", "取得",
+    "获得", "得到", "受到", "遭受", "汉族", "朝鲜族", "满族", "回族", "某省", "某市", "某县", "某路", "某号", "某年", "某月", "某日", "出生", "民事", "刑事",
+    "行政", "纠纷", "案件", "诉讼", "代理", "委托", "法庭", "审判", "决定", "执行",
+)
+ROLE_TERMS = ("证人", "证明人", "审判长", "审判员", "书记员", "法官助理")
 CORRECTIONS = (("原某", "原告"), ("被某", "被告"), ("上诉某", "上诉人"), ("被上诉某", "被上诉人"))
 
 # Document markers.
@@ -93,4 +94,9 @@ PRICES = (
     ("Gemini 2.5 Pro", 9.0, 72.0), ("Gemini 2.0 Flash", 0.72, 2.88), ("Qwen-Max", 0.86, 3.46),
 )
 FALLBACK_CASE_TOKENS = (25088, 17938)
+CHART_PRICES = (
+    ("Gemini 2.0 Flash", 0.72, 2.88), ("Qwen-Max", 0.86, 3.46), ("DeepSeek-V3", 2.0, 8.0), ("DeepSeek-R1", 4.0, 16.0),
+    ("Gemini 2.5 Pro", 9.0, 72.0), ("GPT-4o", 36.0, 108.0), ("GPT-4 Turbo", 72.0, 216.0),
+)
+CHART_CASE_TOKENS = (45698, 25251)
 RUNNING_PRICES = (2.0, 8.0)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions import fixed_values as V
 from scoreloom.functions import replace_all
 
-KEPT_TOKENS = V.LEGAL_TERMS | V.ROLE_TERMS
+KEPT_TOKENS = frozenset(V.LEGAL_TERMS + V.ROLE_TERMS)
 
 
 def mask_sensitive(c: Column) -> Column:

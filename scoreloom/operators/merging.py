@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoreloom.functions import strip, try_double
@@ -58,8 +59,8 @@ def prepared_or(cases: DataFrame, prepared: DataFrame, columns: list[str]) -> Da
 
 
 def evaluation_grid(questions: DataFrame, models: DataFrame) -> DataFrame:
-    """Every question for every model; ``models`` is a list of names."""
-    return questions.crossJoin(F.broadcast(models))
+    """Every question for every model. Spark sends the smaller side around if its size is known to allow it."""
+    return questions.crossJoin(models)
 
 
 def model_deltas(stats: DataFrame, value: str) -> DataFrame:
@@ -73,8 +74,9 @@ def reuse_questions(rows: DataFrame, preferred: str, n: int = 5) -> DataFrame:
     """The first ``n`` questions of each case that has as many, of the preferred model's rows if there are any."""
     has = rows.where(F.col("model") == preferred).limit(1).agg((F.count("*") > 0).alias("has"))
     chosen = rows.crossJoin(F.broadcast(has)).where(~F.col("has") | (F.col("model") == preferred)).drop("has")  # one row
-    listed = chosen.groupBy("case_id").agg(F.count("*").alias("n"), F.min_by("model", "model").alias("m"), F.slice(F.array_sort(F.collect_list(F.struct("q_no", "question"))), 1, n).alias("qs"))
-    return listed.where(F.col("n") >= n).select("case_id", F.inline("qs"))
+    window = W.partitionBy("case_id")
+    placed = chosen.withColumns({"rn": F.row_number().over(window.orderBy("q_no", "question")), "cnt": F.count("*").over(window)})
+    return placed.where((F.col("rn") <= n) & (F.col("cnt") >= n)).select("case_id", "q_no", "question")
 
 
 def first_usable(*columns: tuple[str, int]):

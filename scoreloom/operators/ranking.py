@@ -6,9 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scoreloom.scratch import materialise
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """1-based place in a table of any size: a range-partitioned sort, written, then each row's place in its partition plus
+    the sizes of the partitions before."""
+    placed = materialise(df.sort(*order).withColumn("__at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("__at", 33)
+    # One row a sorted partition, however many rows there are.
+    counts = {r["p"]: r["n"] for r in placed.groupBy(part.cast("long").alias("p")).agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for p in sorted(counts):
+        before.append((p, total))
+        total += counts[p]
+    parts = df.sparkSession.createDataFrame(before, "__p long, __before long")
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(parts), part == F.col("__p")).withColumn(name, place).drop("__at", "__p", "__before")
+
 
 def rank(df: DataFrame, *order: Column, within: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """1-based place by ``order``; without ``within`` meant for tables of a row a model or case."""
+    """1-based place by ``order``; without ``within`` meant for tables of a row a model, else see ``numbered``."""
     window = (W.partitionBy(*within) if within else W.partitionBy(F.lit(0))).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window))
 
@@ -53,6 +71,10 @@ def progress(df: DataFrame, task: str, ts: str, key: str) -> DataFrame:
 
 
 def look_back(df: DataFrame, key: str, ts: str, seconds: int, name: str) -> DataFrame:
-    """Events of the same key in the ``seconds`` before and at each event."""
-    micros = _micros(ts)
-    return df.withColumn(name, F.count("*").over(W.partitionBy(key).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)))
+    """Events of the same key in the ``seconds`` before and at each event. Time is cut into spans of that length and each
+    event counts in its own and the next one, so that a window holds two spans of a key and not the whole key."""
+    micros, span = _micros(ts), seconds * 1_000_000
+    own = F.floor(micros / span)
+    both = df.withColumn("__own", own).withColumn("__span", F.explode(F.array(own, own + 1)))
+    window = W.partitionBy(key, "__span").orderBy(micros).rangeBetween(-span, 0)
+    return both.withColumn(name, F.count("*").over(window)).where(F.col("__span") == F.col("__own")).drop("__own", "__span")

@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.functions import contains_any, strip
+from scoreloom.functions import contains_any, seal, strip
 from scoreloom.functions import fixed_values as V
 
 D = ("d1", "d2", "d3", "d4", "d5")
 
 
-def raw_score(text: Column, dimension: str, strict: bool = False) -> Column:
-    """The dimension's number, clamped to 0..4, or null. A section without one borrows that of the next section;
-    ``strict`` stops at the next bracket instead."""
+def raw_number(text: Column, dimension: str, strict: bool = False) -> Column:
+    """The dimension's number as text, or null. A section without one borrows that of the next section; ``strict`` stops
+    at the next bracket instead."""
     gap = "[^【]*?" if strict else ".*?"
     forms = (rf"【{dimension}】{gap}得分[：:]\s*(\d+)", rf"{dimension}{gap}得分[：:]\s*(\d+)", rf"【{dimension}】{gap}(\d+)\s*分", rf"{dimension}{gap}(\d+)\s*分")
-    found = F.coalesce(*[F.nullif(F.regexp_extract(text, "(?sU)" + p, 1), F.lit("")) for p in forms])
-    return F.when(found.isNotNull(), F.least(F.lit(4.0), F.greatest(F.lit(0.0), found.try_cast("double"))))
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, "(?sU)" + p, 1), F.lit("")) for p in forms])
 
 
 def dimension_scores(df: DataFrame, text: str = "judge_text", strict: bool = False) -> DataFrame:
-    """Adds d1..d5. Without any match d1 is the first digit 0-4 that stands alone, the others 0."""
+    """Adds d1..d5, clamped to 0..4. Without any match d1 is the first digit 0-4 that stands alone, the others 0. Numbers
+    are found in one projection and used in the next, so that no text is searched twice for one."""
     t = F.col(text)
-    lone = F.nullif(F.regexp_extract(t, r"(?U)\b([0-4])\b", 1), F.lit("")).try_cast("double")
-    scores = {d: F.coalesce(raw_score(t, name, strict), lone if d == "d1" else F.lit(None), F.lit(0.0)) for d, name in zip(D, V.DIMENSIONS, strict=True)}
-    return df.withColumns(scores)
+    found = df.withColumns({f"__{d}": raw_number(t, name, strict) for d, name in zip(D, V.DIMENSIONS, strict=True)})
+    lone = F.nullif(F.regexp_extract(t, r"(?U)\b([0-4])\b", 1), F.lit(""))
+    scores = {d: F.least(F.lit(4.0), F.greatest(F.lit(0.0), F.coalesce(F.col(f"__{d}"), lone if d == "d1" else F.lit("0"), F.lit("0")).try_cast("double"))) for d in D}
+    return found.withColumns(scores).drop(*[f"__{d}" for d in D])
 
 
 def threshold_caps(df: DataFrame) -> DataFrame:
@@ -58,10 +59,13 @@ def flag_items(part: Column, severity: str) -> Column:
     return F.when(part.isNull() | (part == "") | none(part), nothing).when(F.length(part) < 200, F.array(part)).otherwise(pieces)
 
 
+SEVERITIES = (("minor", V.MINOR), ("moderate", V.MODERATE), ("major", V.MAJOR))
+
+
 def error_flags(df: DataFrame, text: str = "judge_text") -> DataFrame:
-    """Adds the item arrays minor, moderate, major."""
-    section = flag_section(F.col(text))
-    return df.withColumns({name: flag_items(severity_text(section, s), s) for name, s in (("minor", V.MINOR), ("moderate", V.MODERATE), ("major", V.MAJOR))})
+    """Adds the item arrays minor, moderate, major: the section first, its parts next, their items last."""
+    parts = df.withColumn("__section", flag_section(F.col(text))).withColumns({f"__{n}": severity_text(F.col("__section"), s) for n, s in SEVERITIES})
+    return parts.withColumns({n: flag_items(F.col(f"__{n}"), s) for n, s in SEVERITIES}).drop("__section", *[f"__{n}" for n, _ in SEVERITIES])
 
 
 def kept_hundredths() -> Column:
@@ -102,7 +106,8 @@ def flag_summary() -> Column:
 
 def evaluate(df: DataFrame, text: str = "judge_text", strict: bool = False) -> DataFrame:
     """Judge text to the flat score row: d1..d5, total, pct, grade, item arrays and the flag summary."""
-    scored = totals(apply_penalties(error_flags(threshold_caps(dimension_scores(df, text, strict)), text)))
+    parsed = seal(error_flags(dimension_scores(df, text, strict), text), *D, "minor", "moderate", "major")
+    scored = totals(apply_penalties(threshold_caps(parsed)))
     return scored.withColumn("error_flag", F.nullif(flag_summary(), F.lit("")))
 
 

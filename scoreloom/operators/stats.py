@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoreloom.functions import contains_any, null_if_blank, strip
@@ -30,23 +31,31 @@ def mentions_stale_law(variant: int = 1) -> Column:
     return contains_any(F.lower(F.concat_ws(" ", *texts)), V.STALE_LAW_V2)
 
 
-def model_stats(df: DataFrame, by: str = "model") -> DataFrame:
+def model_stats(df: DataFrame, by: str = "model", score: str = "total") -> DataFrame:
     """One row a model: n of all rows; mean, p10 and CVaR of the scores there are; stale, error and refusal counts
-    with rates; mean answer length; dimension means. Two aggregations, joined on the (few) models."""
+    with rates; mean answer length; dimension means. Rows are read once and summed for each model and score first: scores
+    are whole hundredths of a point, so a model has some two thousand of them at most, and quantile and tail are exact."""
     flagged = df.withColumns({"stale": mentions_stale_law(1), "refused": is_refusal(F.col("answer"))})
-    main = flagged.groupBy(by).agg(
+    length = F.when(~F.col("refused"), F.length(strip(F.col("answer"))))
+    counted = flagged.groupBy(by, score).agg(
         F.count("*").alias("n"),
-        F.avg("total").alias("mean_score"),
-        F.percentile("total", F.lit(0.1)).alias("p10"),
         F.count_if("stale").alias("stale_count"),
         *[F.count(null_if_blank(F.col(c))).alias(f"{c}_count") for c in ("major", "moderate", "minor")],
         F.count_if("refused").alias("refusal_count"),
-        F.avg(F.when(~F.col("refused"), F.length(strip(F.col("answer"))))).alias("mean_length"),
-        *[F.avg(d).alias(f"{d}_mean") for d in D],
+        F.sum(length).alias("chars"),
+        F.count(length).alias("answers"),
+        *[f for d in D for f in (F.sum(d).alias(f"{d}_sum"), F.count(d).alias(f"{d}_n"))],
     )
-    main = main.withColumns({"stale_rate": F.col("stale_count") / F.col("n"), "refusal_rate": F.col("refusal_count") / F.col("n")})
-    tail = cvar(df, main.select(by, "p10"), by)
-    return main.join(tail, by, "left").withColumn("cvar10", F.coalesce("cvar10", "p10"))
+    counted = counted.withColumn("p10", F.percentile(score, F.lit(0.1), F.col("n")).over(W.partitionBy(by)))
+    there, tail = F.col(score).isNotNull(), F.col(score) <= F.col("p10")
+    mean = lambda when: F.try_divide(F.sum(F.when(when, F.col(score) * F.col("n"))), F.sum(F.when(when, F.col("n"))))
+    counts = ("stale_count", "major_count", "moderate_count", "minor_count", "refusal_count")
+    main = counted.groupBy(by).agg(
+        F.sum("n").alias("n"), mean(there).alias("mean_score"), F.first("p10").alias("p10"), *[F.sum(c).alias(c) for c in counts],
+        F.try_divide(F.sum("chars"), F.sum("answers")).alias("mean_length"), *[F.try_divide(F.sum(f"{d}_sum"), F.sum(f"{d}_n")).alias(f"{d}_mean") for d in D],
+        F.coalesce(mean(tail), F.first("p10")).alias("cvar10"),
+    )
+    return main.withColumns({"stale_rate": F.col("stale_count") / F.col("n"), "refusal_rate": F.col("refusal_count") / F.col("n")})
 
 
 def cvar(df: DataFrame, quantiles: DataFrame, by: str = "model", score: str = "total", q: str = "p10") -> DataFrame:
@@ -95,21 +104,20 @@ def trends(df: DataFrame) -> DataFrame:
     return lines.select(F.inline(rows))
 
 
-def bootstrap_means(df: DataFrame, resamples: int, by: str = "model", score: str = "total", key: list[str] | None = None) -> DataFrame:
-    """Percentile interval of each group's mean by the weights of a Poisson bootstrap: each row counts 0, 1, 2...
-    times in each resample, by a hash of its key and the resample. No group is gathered; rows are
-    aggregated to ``resamples`` sums before the shuffle."""
-    names = key or [by, "case_id", "q_no"]
-    u = (F.pmod(F.xxhash64(*names, F.col("b")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cut, mass, steps = 0.0, float(np.exp(-1.0)), []
-    for k in range(8):
-        cut += mass
-        steps.append(cut)
-        mass /= k + 1
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in steps), F.lit(0))
-    drawn = df.where(F.col(score).isNotNull()).select(*dict.fromkeys([by, score, *names]), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    sums = drawn.groupBy(by, "b").agg((F.sum(F.col(score) * weight) / F.nullif(F.sum(weight), F.lit(0))).alias("m"))
-    return sums.groupBy(by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.avg("m").alias("mean"), F.percentile("m", F.lit(0.975)).alias("high"))
+def bootstrap_means(df: DataFrame, resamples: int = 4000, by: str = "model", score: str = "total", seed: int = 42) -> DataFrame:
+    """Percentile interval of each group's mean under resampling with replacement. How often each score is drawn follows
+    from how often it occurs, so a group comes down to its distinct scores and their counts, and a resample is one draw
+    from the multinomial distribution over them. The same seed gives the same interval."""
+    counted = df.where(F.col(score).isNotNull()).groupBy(by, score).agg(F.count("*").alias("n"))
+
+    def interval(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(score)
+        x, n = frame[score].to_numpy(float), frame["n"].to_numpy()
+        rng = np.random.default_rng(seed)
+        means = np.concatenate([rng.multinomial(n.sum(), n / n.sum(), min(200, resamples - i)) @ x for i in range(0, resamples, 200)]) / n.sum()
+        return pd.DataFrame({by: frame[by].iloc[:1].to_numpy(), "low": [np.quantile(means, 0.025)], "mean": [(x * n).sum() / n.sum()], "high": [np.quantile(means, 0.975)]})
+
+    return counted.groupBy(by).applyInPandas(interval, f"{by} string, low double, mean double, high double")
 
 
 def bootstrap_exact(df: DataFrame, resamples: int = 5000, seed: int = 42, by: str = "model", score: str = "total") -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoreloom.functions import fixed_values as V
-from scoreloom.operators import costs, merging, ranking, stats
-from scoreloom.plans.fixture import FX, SC, evaluations, scored
+from scoreloom.operators import costs, merging, ranking, reporting, stats
+from scoreloom.plans.fixture import FX, PAIRS, SC, evaluations, pairs, scored
 from scoreloom.plans.registry import query, table
+from scoreloom.scratch import new_path
+from scoreloom.sources.writers import ERRORS, SCORES, cost_table, session_summary
 
 D = ["d1", "d2", "d3", "d4", "d5"]
 
@@ -77,7 +79,7 @@ def a05_cvar10(spark, d):
 
 @query()
 def a06_bootstrap_ci(spark, d):
-    return stats.bootstrap_means(scored(spark, d).select("model", "case_id", "q_no", "total"), 200)
+    return stats.bootstrap_means(scored(spark, d))
 
 
 @query(f"{_MS} SELECT model, major_count, moderate_count, minor_count FROM ms")
@@ -220,20 +222,19 @@ def a29_composite(spark, d):
     return rows.select("model", r6(F.col("composite")).alias("composite"), ((F.col("rank") == 1) & (F.col("composite") > -1)).alias("best"))
 
 
-@query(f"""{SC}, s AS (SELECT CAST(count(*) AS DOUBLE) AS questions, avg(total) AS mean_total, {', '.join(f'avg({x}) AS mean_{x}' for x in D)}, CAST(sum(n_minor) AS DOUBLE) AS n_minor, CAST(sum(n_moderate) AS DOUBLE) AS n_moderate, CAST(sum(n_major) AS DOUBLE) AS n_major FROM sc WHERE case_id = 1)
-""" + " UNION ALL ".join(f"SELECT '{c}' AS metric, round({c}, 6) AS value FROM s" for c in ["questions", "mean_total", *[f"mean_{x}" for x in D], "n_minor", "n_moderate", "n_major"]))
-def a30_session_summary(spark, d):
-    from scoreloom.sources.writers import session_summary
+_SUMMARY = ("questions", *[f"mean_{c}" for c in SCORES], *ERRORS)
+
 
-    return session_summary(scored(spark, d).where("case_id = 1")).withColumn("value", r6(F.col("value")))
+@query(f"""{SC}, s AS (SELECT case_id, CAST(count(*) AS DOUBLE) AS questions, {', '.join(f'round(avg({c}), 2) AS mean_{c}' for c in SCORES)}, {', '.join(f'CAST(sum({c}) AS DOUBLE) AS {c}' for c in ERRORS)} FROM sc GROUP BY case_id)
+""" + " UNION ALL ".join(f"SELECT case_id, '{c}' AS metric, {c} AS value FROM s" for c in _SUMMARY))
+def a30_session_summary(spark, d):
+    return session_summary(scored(spark, d), ["case_id"])
 
 
-@query("SELECT d.source, round(avg(0.6::DOUBLE * CAST(least(length(d.text), length(b.text)) AS DOUBLE) / greatest(length(d.text), length(b.text))), 6) AS mean_ratio, count(*) AS rows FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE d.doc_id % 9 <> 0 GROUP BY d.source")
+@query(f"{PAIRS} SELECT source, round(avg(0.6::DOUBLE * CAST(least(length(a), length(b)) AS DOUBLE) / greatest(length(a), length(b))), 6) AS mean_ratio, count(*) AS rows FROM p GROUP BY source")
 def a31_similarity_averages(spark, d):
-    docs = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % 40)
-    pairs = docs.join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("b")), "item_id").where("doc_id % 9 <> 0")
-    ratio = F.lit(0.6) * F.least(F.length("text"), F.length("b")) / F.greatest(F.length("text"), F.length("b"))
-    return pairs.groupBy("source").agg(r6(F.avg(ratio)).alias("mean_ratio"), F.count("*").alias("rows"))
+    ratio = F.lit(0.6) * F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b"))
+    return pairs(spark, d).groupBy("source").agg(r6(F.avg(ratio)).alias("mean_ratio"), F.count("*").alias("rows"))
 
 
 @query(f"{SC} SELECT case_id, {_avg('total')} AS mean, CASE WHEN avg(total) >= 16 THEN '{V.GRADES[0]}' WHEN avg(total) >= 11 THEN '{V.GRADES[1]}' WHEN avg(total) >= 6 THEN '{V.GRADES[2]}' ELSE '{V.GRADES[3]}' END AS grade, CAST(sum(n_major) AS BIGINT) AS major FROM sc GROUP BY case_id")
@@ -362,10 +363,10 @@ def o05_cost_order(spark, d):
     return ranking.rank(_costs(spark, d), F.col("cost"), F.col("provider")).select("provider", "cost", "rank")
 
 
-@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 4 <> 0 THEN doc_id END, 999) AS place, CAST(row_number() OVER (ORDER BY coalesce(CASE WHEN doc_id % 4 <> 0 THEN doc_id END, 999), doc_id) AS INTEGER) AS rank FROM documents")
+@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 4 <> 0 THEN doc_id END, 999) AS place, row_number() OVER (ORDER BY coalesce(CASE WHEN doc_id % 4 <> 0 THEN doc_id END, 999), doc_id) AS rank FROM documents")
 def o06_submit_order(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.coalesce(F.when(F.col("doc_id") % 4 != 0, F.col("doc_id")), F.lit(999)).alias("place"))
-    return ranking.rank(rows, F.col("place"), F.col("doc_id")).select("doc_id", "place", "rank")
+    return ranking.numbered(rows, F.col("place"), F.col("doc_id")).select("doc_id", "place", "rank")
 
 
 @query()
@@ -397,11 +398,64 @@ def c03_provider_filter(spark, d):
     return _costs(spark, d).where(F.col("provider").contains("GPT")).select("provider", "cost")
 
 
+_CHART_PRICES = ", ".join(f"({i}, '{p}', {a}::DOUBLE, {b}::DOUBLE)" for i, (p, a, b) in enumerate(V.CHART_PRICES))
+
+
+@query(f"""WITH p(provider_no, provider, price_in, price_out) AS (VALUES {_CHART_PRICES}), c AS (SELECT *, {V.CHART_CASE_TOKENS[0]}::BIGINT * 100 AS tokens_in, {V.CHART_CASE_TOKENS[1]}::BIGINT * 100 AS tokens_out FROM p)
+SELECT provider_no, provider, tokens_in, tokens_out, round(tokens_in / 1e6 * price_in, 2) AS cost_in, round(tokens_out / 1e6 * price_out, 2) AS cost_out, round(tokens_in / 1e6 * price_in + tokens_out / 1e6 * price_out, 2) AS cost FROM c""")
+def c04_chart_costs(spark, d):
+    nothing = table(spark, d, "documents").limit(0).agg(F.sum("n_chars").alias("tokens_in"), F.sum("n_chars").alias("tokens_out"))
+    rows = costs.projected_costs(nothing, costs.price_book(spark, V.CHART_PRICES), fallback=V.CHART_CASE_TOKENS)
+    return rows.select("provider_no", "provider", "tokens_in", "tokens_out", F.round("cost_in", 2).alias("cost_in"), F.round("cost_out", 2).alias("cost_out"), "cost")
+
+
+@query(f"{_COSTS} SELECT provider, tokens_in + tokens_out AS tokens_total, cost FROM c")
+def k07_cost_table(spark, d):
+    folder = new_path(spark, "cost-table")
+    cost_table(_costs(spark, d), folder)
+    rows = spark.read.option("header", "true").csv(folder)
+    return rows.select("provider", F.col("tokens_total").cast("long").alias("tokens_total"), F.col("cost").cast("double").alias("cost"))
+
+
 @query(f"{FX}, {_TOK} SELECT model, round(140 + least(greatest((avg_total - 1000) / 1000, 0), 1) * 280, 6) AS size FROM tk")
-def c04_marker_size(spark, d):
+def z14_marker_size(spark, d):
     return _tokens(spark, d).select("model", r6(costs.marker_size(F.col("avg_total"), 1000.0, 2000.0)).alias("size"))
 
 
+# Reports and charts.
+
+
+def _long_sql(parts: dict[str, dict[str, str]], where: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT '{s}' AS section, model, '{m}' AS metric, round(CAST({e} AS DOUBLE), 6) AS value FROM ms LEFT JOIN tk USING (model){where}" for s, values in parts.items() for m, e in values.items())
+
+
+_PCT = "CAST({0} AS DOUBLE) * 100 / n"
+_DIM = {x: f"{x}_mean" for x in D}
+_ERR = {e: f"{e}_count" for e in reporting.ERRORS}
+_REPORT = {
+    "scores": {"questions": "n", "mean": "mean_score", "percent": "mean_score * 5", "p10": "p10", "cvar10": "cvar10"}, "dimensions": _DIM,
+    "answers": {"mean_length": "mean_length", "empty": "refusal_count", "empty_percent": _PCT.format("refusal_count")},
+    "errors": {**_ERR, "errors_percent": _PCT.format("(major_count + moderate_count + minor_count)")}, "stale_law": {"questions": "stale_count", "percent": _PCT.format("stale_count")},
+    "tokens": {"in": "avg_in", "out": "avg_out", "total": "avg_total", "efficiency": "mean_score / avg_total * 1000"},
+}
+_CHARTS = {
+    "pareto": {"mean": "mean_score", "stale_rate": "stale_rate", "tokens": "avg_total"}, "tail_risk": {"mean": "mean_score", "p10": "p10", "cvar10": "cvar10"},
+    "gating": {"stale_rate": "stale_rate", "passes": "CAST(stale_rate <= 0.01 AS INTEGER)"}, "mean_score": {"mean": "mean_score"}, "stale_law": {"count": "stale_count"},
+    "dimension_heatmap": _DIM, "metric_heatmap": {m: e for m, e in _MATRIX}, "percentage": {"percent": "mean_score * 5"}, "errors": _ERR,
+}
+_TOKEN_CHARTS = {"efficiency": {"mean": "mean_score", "tokens": "avg_total"}, "token_usage": {"in": "avg_in", "out": "avg_out", "total": "avg_total"}}
+
+
+@query(f"{_MS}, {_TOK} {_long_sql(_REPORT)}")
+def k08_report_tables(spark, d):
+    return reporting.report_tables(_model_stats(spark, d), _tokens(spark, d)).withColumn("value", r6(F.col("value")))
+
+
+@query(f"{_MS}, {_TOK} {_long_sql(_CHARTS)} UNION ALL {_long_sql(_TOKEN_CHARTS, ' WHERE avg_total IS NOT NULL')}")
+def k10_chart_frames(spark, d):
+    return reporting.chart_frames(_model_stats(spark, d), _tokens(spark, d)).withColumn("value", r6(F.col("value")))
+
+
 # Reliability.
 
 

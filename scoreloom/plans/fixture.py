@@ -42,7 +42,7 @@ def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("doc_id") / 5).cast("long").alias("case_id"),
         (F.col("doc_id") % 5 + 1).cast("int").alias("q_no"),
         F.concat(F.lit("case "), F.floor(F.col("doc_id") / 5).cast("string")).alias("title"),
-        F.when(F.col("toxic") == 1, F.lit(None)).when(s % 17 == 0, " ").otherwise(F.left("text", F.lit(300))).alias("answer"),
+        F.when(F.col("toxic") == 1, F.lit(None)).when(s % 17 == 0, " ").otherwise(F.col("text")).alias("answer"),
         F.concat(*parts).alias("judge_text"),
         (1000 + n % 997 + 10 * mi).alias("tokens_in"), (500 + (n * 7 + mi) % 499).alias("tokens_out"),
     )
@@ -65,7 +65,7 @@ FX = f"""WITH models AS (SELECT CAST(range AS INTEGER) AS mi, 'm' || range AS mo
 fx AS (
   SELECT d.doc_id, d.n_chars AS n, m.mi, m.model, d.doc_id // 5 AS case_id, CAST(d.doc_id % 5 + 1 AS INTEGER) AS q_no,
          'case ' || (d.doc_id // 5) AS title,
-         CASE WHEN l.toxic = 1 THEN NULL WHEN {_S} % 17 = 0 THEN ' ' ELSE left(d.text, 300) END AS answer,
+         CASE WHEN l.toxic = 1 THEN NULL WHEN {_S} % 17 = 0 THEN ' ' ELSE d.text END AS answer,
          {_sql_scores()}
          || '【错误标记】（如有）：' || chr(10) || '- 微小错误：' || CASE WHEN {_S} % 3 = 0 THEN '{MINOR_TEXT}' ELSE '无' END
          || chr(10) || '- 明显错误：' || CASE WHEN {_S} % 5 = 0 THEN '{MODERATE_TEXT}' ELSE '无' END
@@ -111,3 +111,13 @@ SC = f"""{FX}, raw AS (
   FROM hundredths
 )"""
 KEYS = ["model", "case_id", "q_no"]
+
+
+#: Every document with one of all benchmark items, in turn.
+PAIRS = "WITH nb AS (SELECT count(*) AS items FROM benchmark), p AS (SELECT d.doc_id, d.source, d.text AS a, b.text AS b FROM documents d CROSS JOIN nb JOIN benchmark b ON b.item_id = d.doc_id % nb.items)"
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("b"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("a"), (F.col("doc_id") % items.count()).alias("item_id"))
+    return docs.join(items, "item_id").drop("item_id")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from scoreloom.functions import fixed_values as V
 from scoreloom.operators import documents, masking, questions, rubric, similarity
-from scoreloom.plans.fixture import FX, KEYS, SC, evaluations, models, scored
+from scoreloom.plans.fixture import FX, KEYS, PAIRS, SC, evaluations, models, pairs, scored
 from scoreloom.plans.registry import query, table
 
 D = ["d1", "d2", "d3", "d4", "d5"]
@@ -101,20 +103,14 @@ def e14_failure_rows(spark, d):
 # Similarity: documents against benchmark items, words for Han runs, English markers for legal ones.
 
 RUN = "[A-Za-zÀ-ÿ]+"
-_PAIRS = "WITH p AS (SELECT d.doc_id, d.text AS a, b.text AS b FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"
-_SETS = f"{_PAIRS}, s AS (SELECT doc_id, list_distinct(regexp_extract_all(a, '{RUN}')) AS x, list_distinct(regexp_extract_all(b, '{RUN}')) AS y FROM p), c AS (SELECT doc_id, len(x) AS nx, len(y) AS ny, len(list_intersect(x, y)) AS i FROM s)"
-
-
-def _pairs(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("a"), (F.col("doc_id") % 40).alias("item_id"))
-    return docs.join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("b")), "item_id")
+_SETS = f"{PAIRS}, s AS (SELECT doc_id, list_distinct(regexp_extract_all(a, '{RUN}')) AS x, list_distinct(regexp_extract_all(b, '{RUN}')) AS y FROM p), c AS (SELECT doc_id, len(x) AS nx, len(y) AS ny, len(list_intersect(x, y)) AS i FROM s)"
 
 
 @query(f"{_SETS} SELECT doc_id, CAST(i AS BIGINT) AS common, round(CASE WHEN nx = 0 OR ny = 0 THEN 0 ELSE CAST(i AS DOUBLE) / (nx + ny - i) END, 6) AS similarity FROM c")
 def v01_run_similarity(spark, d):
     a, b = F.col("a"), F.col("b")
     common = F.size(F.array_intersect(similarity.runs(a, RUN), similarity.runs(b, RUN))).cast("long")
-    return _pairs(spark, d).select("doc_id", common.alias("common"), R6(similarity.run_similarity(a, b, RUN)).alias("similarity"))
+    return pairs(spark, d).select("doc_id", common.alias("common"), R6(similarity.run_similarity(a, b, RUN)).alias("similarity"))
 
 
 _HAN_TEXT = "'本院认定事实清楚，' || CASE WHEN n % 2 = 0 THEN '判决驳回上诉，维持原判。' ELSE '支持原告请求，' END || CASE WHEN n % 3 = 0 THEN '依据《民法典》第' || (n % 40) || '条，' ELSE '' END || '法院确认责任。'"
@@ -160,15 +156,28 @@ _LINES = "len(list_filter(string_split({0}, chr(10)), lambda x: trim(x, ' ' || c
 _RATIO = "CAST(least({0}, {1}) AS DOUBLE) / greatest({0}, {1})"
 
 
-@query(f"{_PAIRS}, s AS (SELECT doc_id, length(a) AS n, length(b) AS m, {_LINES.format('a')} AS p, {_LINES.format('b')} AS q FROM p) SELECT doc_id, round(CASE WHEN n = 0 OR m = 0 THEN 0 ELSE 0.6::DOUBLE * {_RATIO.format('n', 'm')} + 0.4::DOUBLE * CASE WHEN p = 0 OR q = 0 THEN 0.5 ELSE {_RATIO.format('p', 'q')} END END, 6) AS similarity FROM s")
+@query(f"{PAIRS}, s AS (SELECT doc_id, length(a) AS n, length(b) AS m, {_LINES.format('a')} AS p, {_LINES.format('b')} AS q FROM p) SELECT doc_id, round(CASE WHEN n = 0 OR m = 0 THEN 0 ELSE 0.6::DOUBLE * {_RATIO.format('n', 'm')} + 0.4::DOUBLE * CASE WHEN p = 0 OR q = 0 THEN 0.5 ELSE {_RATIO.format('p', 'q')} END END, 6) AS similarity FROM s")
 def v06_structure(spark, d):
-    return _pairs(spark, d).select("doc_id", R6(similarity.structure_similarity(F.col("a"), F.col("b"))).alias("similarity"))
+    return pairs(spark, d).select("doc_id", R6(similarity.structure_similarity(F.col("a"), F.col("b"))).alias("similarity"))
 
 
-@query(f"{_HAN}, s AS (SELECT doc_id, {_PHRASES.format('a')} AS x, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE {_PHRASES.format('b')} END AS y FROM h) SELECT doc_id, y IS NOT NULL AS has_decision, CAST(CASE WHEN y IS NULL THEN 0 ELSE len(x) END AS BIGINT) AS ai_keywords, CAST(coalesce(len(y), 0) AS BIGINT) AS judge_keywords, CAST(coalesce(len(list_intersect(x, y)), 0) AS BIGINT) AS common_keywords FROM s")
+_SHARE = "CAST(len(list_intersect({0}, {1})) AS DOUBLE) / len(list_distinct(list_concat({0}, {1})))"
+_BUNDLE = f"""{_HAN}, s AS (SELECT doc_id, doc_id % 9 <> 0 AS has, length(a) AS n, length(b) AS m, {_LINES.format('a')} AS p, {_LINES.format('b')} AS q, {_PHRASES.format('a')} AS x, {_PHRASES.format('b')} AS y,
+  list_distinct(regexp_extract_all(a, '[一-龥]+')) AS ra, list_distinct(regexp_extract_all(b, '[一-龥]+')) AS rb, {_OUT.format('a')} AS oa, {_OUT.format('b')} AS ob, {_LAWS.format('a')} AS la, {_LAWS.format('b')} AS lb FROM h),
+v AS (SELECT *, CASE WHEN len(ra) = 0 OR len(rb) = 0 THEN 0 ELSE {_SHARE.format('ra', 'rb')} END AS overall, coalesce({_SHARE.format('x', 'y')}, 0) AS keyword,
+  CAST(CASE WHEN len(oa) = 0 OR len(ob) = 0 THEN 0.5 WHEN len(list_intersect(oa, ob)) > 0 THEN 0.8 ELSE 0.3 END AS DOUBLE) AS result,
+  CAST(CASE WHEN len(la) = 0 AND len(lb) = 0 THEN 0.5 WHEN len(la) = 0 OR len(lb) = 0 THEN 0.2 ELSE {_SHARE.format('la', 'lb')} END AS DOUBLE) AS basis,
+  0.6::DOUBLE * {_RATIO.format('n', 'm')} + 0.4::DOUBLE * CASE WHEN p = 0 OR q = 0 THEN 0.5 ELSE {_RATIO.format('p', 'q')} END AS reasoning FROM s)
+SELECT doc_id, has AS has_decision, CAST(CASE WHEN has THEN len(x) ELSE 0 END AS BIGINT) AS ai_keywords, CAST(CASE WHEN has THEN len(y) ELSE 0 END AS BIGINT) AS judge_keywords, CAST(CASE WHEN has THEN len(list_intersect(x, y)) ELSE 0 END AS BIGINT) AS common_keywords,
+  {', '.join(f"CASE WHEN has THEN round({c} * 100, 2) ELSE 0 END AS {name}" for c, name in (('overall', 'overall_similarity'), ('keyword', 'keyword_similarity'), ('result', 'result_consistency'), ('basis', 'legal_basis_similarity'), ('reasoning', 'reasoning_similarity')))} FROM v"""
+
+
+@query(_BUNDLE)
 def v07_metric_bundle(spark, d):
     rows = _han(spark, d).withColumn("b", F.when(F.col("doc_id") % 9 != 0, F.col("b")))
-    return similarity.similarity_metrics(rows, "a", "b").select("doc_id", "has_decision", "ai_keywords", "judge_keywords", "common_keywords")
+    shares = ("overall_similarity", "keyword_similarity", "result_consistency", "legal_basis_similarity", "reasoning_similarity")
+    found = similarity.similarity_metrics(rows, "a", "b")
+    return found.select("doc_id", "has_decision", "ai_keywords", "judge_keywords", "common_keywords", *[F.round(F.col(c) * 100, 2).alias(c) for c in shares])
 
 
 # Questions and replies.
@@ -182,18 +191,18 @@ def q01_parse_questions(spark, d):
     return questions.question_rows(rows, "lines", ["doc_id"])
 
 
-@query("SELECT d.doc_id, contains(d.text, left(b.text, 60)) AS verbatim FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
+@query(f"{PAIRS} SELECT doc_id, contains(a, b) AS verbatim FROM p")
 def q02_verbatim(spark, d):
-    return _pairs(spark, d).select("doc_id", questions.is_verbatim(F.left("b", F.lit(60)), F.col("a")).alias("verbatim"))
+    return pairs(spark, d).select("doc_id", questions.is_verbatim(F.col("b"), F.col("a")).alias("verbatim"))
 
 
-_Q3 = """WITH p AS (SELECT d.doc_id, b.text AS ai, d.text AS src FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
-k AS (SELECT doc_id, ai, src, regexp_extract_all(ai, '[A-Za-z]{2,}') AS keys FROM p),
+_Q3 = PAIRS + """,
+k AS (SELECT doc_id, b AS ai, a AS src, regexp_extract_all(b, '[A-Za-z]{2,}') AS keys FROM p),
 s AS (SELECT doc_id, ai, src, keys, i, trim(x, ' ' || chr(9) || chr(13)) AS sentence, len(list_filter(keys, lambda w: contains(x, w))) AS hits
       FROM (SELECT *, unnest(string_split_regex(src, '[.;\\n]')) AS x, generate_subscripts(string_split_regex(src, '[.;\\n]'), 1) AS i FROM k) WHERE length(trim(x, ' ' || chr(9) || chr(13))) >= 20),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, i) AS rn FROM s)
-SELECT k.doc_id, length(k.ai) >= 20 AND len(k.keys) > 0 AND coalesce(CAST(b.hits AS DOUBLE) / len(k.keys) > 0.3, false) AS found, CAST(coalesce(b.hits, 0) AS BIGINT) AS hits
-FROM k LEFT JOIN b ON b.doc_id = k.doc_id AND b.rn = 1"""
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, i) AS rn FROM s)
+SELECT k.doc_id, length(k.ai) >= 20 AND len(k.keys) > 0 AND coalesce(CAST(best.hits AS DOUBLE) / len(k.keys) > 0.3, false) AS found, CAST(coalesce(best.hits, 0) AS BIGINT) AS hits
+FROM k LEFT JOIN best ON best.doc_id = k.doc_id AND best.rn = 1"""
 
 
 @query(_Q3)
@@ -203,7 +212,7 @@ def q03_best_passage(spark, d):
     hits = F.coalesce(F.array_max(F.transform(sentences, lambda s: F.size(F.filter(keys, lambda w: F.contains(s, w))))), F.lit(0))
     passage = questions.best_passage(F.col("b"), F.col("a"), keyword="[A-Za-z]{2,}", stops="[.;\n]")
     found = (passage != F.col("b")) | F.contains(F.col("a"), F.col("b"))
-    return _pairs(spark, d).select("doc_id", ((F.try_divide(hits, F.size(keys)) > 0.3) & found).alias("found"), hits.cast("long").alias("hits"))
+    return pairs(spark, d).select("doc_id", ((F.try_divide(hits, F.size(keys)) > 0.3) & found).alias("found"), hits.cast("long").alias("hits"))
 
 
 @query("SELECT doc_id, left(text, CASE WHEN doc_id % 2 = 0 THEN 2000 ELSE 3000 END) AS context FROM documents")
@@ -211,14 +220,14 @@ def q04_context(spark, d):
     return table(spark, d, "documents").select("doc_id", questions.context(F.col("text"), F.col("doc_id") % 2 == 0).alias("context"))
 
 
-@query("SELECT doc_id, '案例：' || left(text, 50) || chr(10) || '问题：' || source AS prompt FROM documents")
+@query("SELECT doc_id, '案例：' || text || chr(10) || '问题：' || source AS prompt FROM documents")
 def q05_prompt(spark, d):
-    return table(spark, d, "documents").select("doc_id", questions.prompt("案例：{case}\n问题：{question}", case=F.left("text", F.lit(50)), question=F.col("source")).alias("prompt"))
+    return table(spark, d, "documents").select("doc_id", questions.prompt("案例：{case}\n问题：{question}", case=F.col("text"), question=F.col("source")).alias("prompt"))
 
 
-@query("SELECT doc_id, left(text, 40) AS answer, CASE doc_id % 3 WHEN 0 THEN 'r' || doc_id WHEN 1 THEN 't' || doc_id END AS thinking FROM documents")
+@query("SELECT doc_id, text AS answer, CASE doc_id % 3 WHEN 0 THEN 'r' || doc_id WHEN 1 THEN 't' || doc_id END AS thinking FROM documents")
 def q06_parse_reply(spark, d):
-    inner = F.struct(F.left("text", F.lit(40)).alias("content"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("r"), "doc_id")).alias("reasoning_content"), F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("t"), "doc_id")).alias("thinking"))
+    inner = F.struct(F.col("text").alias("content"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("r"), "doc_id")).alias("reasoning_content"), F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("t"), "doc_id")).alias("thinking"))
     reply = F.to_json(F.struct(F.array(F.struct(inner.alias("message"))).alias("choices")))
     answer, thinking = questions.parse_reply(F.col("reply"))
     return table(spark, d, "documents").select("doc_id", reply.alias("reply")).select("doc_id", answer.alias("answer"), thinking.alias("thinking"))
@@ -226,40 +235,84 @@ def q06_parse_reply(spark, d):
 
 # Masking.
 
-_NUM = "'案号（20' || (10 + n % 10) || '）京' || n || '号，电话1' || (3 + n % 7) || lpad(CAST(n AS STRING), 9, '0') || '，账号：' || lpad(CAST(n AS STRING), 12, '6') || '。'"
-_NUM_SQL = _NUM.replace("AS STRING", "AS VARCHAR")
+def _sql_rules(text: str, rules) -> str:
+    """The rules as nested SQL replacements. A look-ahead at the end becomes a group that is put back."""
+    for pattern, new in rules:
+        new = re.sub(r"\$(\d)", r"\\\1", new)
+        if "(?=" in pattern:
+            head, tail = pattern[: pattern.index("(?=")], pattern[pattern.index("(?=") + 3 : -1]
+            groups = len(re.findall(r"\((?!\?)", head))
+            pattern, new = f"{head}({tail})", f"{new}\\{groups + 1}"
+        text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+    return text
+
+
+def _texts(spark, d, made: str):
+    """Each document's text with ``made``, SQL over ``n``, below it."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.col("n_chars").alias("n"))
+    return docs.select("doc_id", F.concat("text", F.lit("\n"), F.expr(made)).alias("t"))
+
+
+def _made(made: str) -> str:
+    return f"(SELECT doc_id, text || chr(10) || {made.replace('AS STRING', 'AS VARCHAR')} AS t FROM (SELECT doc_id, text, n_chars AS n FROM documents))"
+
+
+_PADDED = "lpad(CAST(n AS STRING), {0}, '{1}')"
+#: Something for each of the eleven rules.
+_NUM = (
+    "'案号（20' || (10 + n % 10) || '）京行终' || n || '号，（2019）最高法民辖' || n || '刑初7号；海政复决字〔2023〕' || n || '号；公民身份号码：' || "
+    + _PADDED.format(18, 1) + " || '；身份证号' || " + _PADDED.format(15, 2) + " || '；身份证号码：' || " + _PADDED.format(17, 4) + " || 'X，电话1' || (3 + n % 7) || "
+    + _PADDED.format(9, 0) + " || '，座机0' || (10 + n % 80) || '-' || " + _PADDED.format(8, 6) + " || '；卡622' || (n % 10) || 'xxxx' || " + _PADDED.format(4, 3)
+    + " || '；账号：' || " + _PADDED.format(12, 6) + " || '；账户' || " + _PADDED.format(12, 7) + " || '。'"
+)
 
 
-@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[（(]\\d{{4}}[）)][一-龥]{{0,10}}\\d{{1,10}}[一-龥]{{0,5}}\\d{{0,10}}号', '（某年）某号', 'g'), '1[3-9]\\d{{9}}', 'XXX', 'g'), '账号[：:]?\\d{{10,}}', '账号XXX', 'g') AS masked FROM (SELECT doc_id, {_NUM_SQL} AS t FROM (SELECT doc_id, n_chars AS n FROM documents))")
+@query(f"SELECT doc_id, {_sql_rules('t', V.SENSITIVE_RULES)} AS masked FROM {_made(_NUM)}")
 def m01_sensitive(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("n")).selectExpr("doc_id", f"{_NUM} AS t")
-    return rows.select("doc_id", masking.mask_sensitive(F.col("t")).alias("masked"))
+    return _texts(spark, d, _NUM).select("doc_id", masking.mask_sensitive(F.col("t")).alias("masked"))
 
 
-_DATES = "'于20' || (10 + n % 10) || '年' || (1 + n % 12) || '月' || (1 + n % 28) || '日' || (n % 24) || '时' || (n % 60) || '分立案；2020-1-' || (1 + n % 9) || '，2019年止。'"
+#: Something for each of the nine rules, those for half-masked dates too.
+_DATES = (
+    "'于20' || (10 + n % 10) || '年' || (1 + n % 12) || '月' || (1 + n % 28) || '日' || (n % 24) || '时' || (n % 60) || '分立案；2020-1-' || (1 + n % 9) || '，2019年止。二〇二一年十月二十' || "
+    "CASE WHEN n % 2 = 0 THEN '三日' ELSE '四号' END || '；某年' || (1 + n % 12) || '月4日5时' || (n % 60) || '分；某年3月' || (1 + n % 28) || '日5时；某年3月' || (1 + n % 9) || '日；某年某月某日' || (n % 24) || '时8分，某年某月某日' || (n % 24) || '时。'"
+)
 
 
-@query(f"SELECT doc_id, '于某年某月某日某时某分立案；某年某月某日，某年止。' AS masked, length({_DATES}) > 0 AS any_text FROM (SELECT doc_id, n_chars AS n FROM documents)")
+@query(f"SELECT doc_id, {_sql_rules('t', V.DATE_RULES)} AS masked FROM {_made(_DATES)}")
 def m02_dates(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("n")).selectExpr("doc_id", f"{_DATES} AS t")
-    return rows.select("doc_id", masking.mask_dates(F.col("t")).alias("masked"), (F.length("t") > 0).alias("any_text"))
+    return _texts(spark, d, _DATES).select("doc_id", masking.mask_dates(F.col("t")).alias("masked"))
 
 
-_CASE_TEXT = "'原告张三' || (n % 3) || '，女，住北京市海淀区中关村路' || n || '号。证人：李四、王五某，审判长赵六。某某甲等认为' || n || '元应予支持。'"
+#: Addresses with digits end before a stop or give back their last digit before a unit of time, so that SQL can say it without
+#: looking ahead.
+_PLACES = "'住乐府江南' || n || '号楼' || (n % 9) || '单元306号，江南3-' || (n % 9) || '-306。在' || (100 + n % 800) || '日内，于' || (10 + n % 80) || '时；广东省，深圳市，海淀区，中关村路，第五单元。内蒙古自治区。'"
+_DIGITS_BEFORE_TIME = r"regexp_replace({0}, '[一-龥]+[\d\-]{{2,}}[\d号]*([\d号][月日时分])', '某地址\1', 'g')"
+_DIGITS_BEFORE_STOP = r"regexp_replace({0}, '[一-龥]+[\d\-]{{2,}}[\d号]*([^月日时分\d号\-]|$)', '某地址\1', 'g')"
 
 
-def _case_texts(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("n")).selectExpr("doc_id", f"{_CASE_TEXT} AS t")
+@query(f"SELECT doc_id, {_sql_rules(_DIGITS_BEFORE_STOP.format(_DIGITS_BEFORE_TIME.format(_sql_rules('t', V.LOCATION_RULES[:1]))), V.LOCATION_RULES[2:])} AS masked FROM {_made(_PLACES)}")
+def m03_locations(spark, d):
+    return _texts(spark, d, _PLACES).select("doc_id", masking.mask_locations(F.col("t")).alias("masked"))
 
 
-@query()
-def m03_locations(spark, d):
-    return _case_texts(spark, d).select("doc_id", masking.mask_locations(F.col("t")).alias("masked"))
+#: Names that a stop follows, so that what follows one rule's match begins no other match.
+_NAMES = (
+    "'张' || CASE WHEN n % 2 = 0 THEN '某女' ELSE '某男' END || '，原告：李四，被告王五某，证人：赵六，审判长孙七，委托代理人：周八' || (n % 9) || '，委托代理人吴九。钱某某，郑某甲，冯某。陈某某等人'"
+)
 
 
-@query()
+@query(f"SELECT doc_id, {_sql_rules('t', V.NAME_RULES)} AS masked FROM {_made(_NAMES)}")
 def m04_role_names(spark, d):
-    return _case_texts(spark, d).select("doc_id", masking.mask_role_names(F.col("t")).alias("masked"))
+    return _texts(spark, d, _NAMES).select("doc_id", masking.mask_role_names(F.col("t")).alias("masked"))
+
+
+#: For the rules that decide by a function of the match; tests compare them with plain Python.
+CASE_TEXT = "'原告张三' || (n % 3) || '，女，住北京市海淀区中关村路' || n || '号。证人：李四、王五某，审判长赵六。某某甲等认为' || n || '元应予支持。'"
+
+
+def _case_texts(spark, d):
+    return _texts(spark, d, CASE_TEXT)
 
 
 @query()
@@ -279,7 +332,7 @@ def m07_corrections(spark, d):
 
 @query()
 def m08_mask_case(spark, d):
-    rows = _case_texts(spark, d).select("doc_id", F.col("t").alias("case_text"), F.reverse("t").alias("judge_decision"))
+    rows = _case_texts(spark, d).select("doc_id", F.col("t").alias("case_text"), F.concat(F.lit("判决："), "t").alias("judge_decision"))
     return masking.mask_cases(rows).select("doc_id", "case_text_masked", "judge_decision_masked")
 
 
@@ -289,10 +342,10 @@ def m09_clean_reply(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_replace(masking.clean_reply(said), r"^\s+|\s+$", "").alias("cleaned"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'remote' ELSE left(text, 20) END AS masked FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'remote' ELSE text END AS masked FROM documents")
 def m10_mode_switch(spark, d):
     remote = F.when(F.col("doc_id") % 3 == 0, "remote").when(F.col("doc_id") % 3 == 1, " ")
-    return table(spark, d, "documents").select("doc_id", masking.choose_masked(remote, F.left("text", F.lit(20))).alias("masked"))
+    return table(spark, d, "documents").select("doc_id", masking.choose_masked(remote, F.col("text")).alias("masked"))
 
 
 # Documents.

@@ -2,34 +2,52 @@
 
 from __future__ import annotations
 
+import html
+import io
+import re
+import time
+import zipfile
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from scoreloom import streaming
 from scoreloom.functions import contains_any, ellipsis, strip
 from scoreloom.operators import documents, merging, questions, ranking
-from scoreloom.plans.fixture import FX, SC, evaluations, models, scored
+from scoreloom.plans.fixture import FX, PAIRS, SC, evaluations, models, pairs, scored
 from scoreloom.plans.registry import query, table
+from scoreloom.scratch import new_path
 from scoreloom.sources import readers, writers
 
-#: Cases: five documents each, the first one's text is the case's.
-_CASES = "WITH cases AS (SELECT doc_id // 5 AS case_id, 'case ' || (doc_id // 5) AS title, text AS case_text, source FROM documents WHERE doc_id % 5 = 0)"
+#: Cases: the texts of five documents each, one below the other.
+_CASES = "WITH cases AS (SELECT doc_id // 5 AS case_id, 'case ' || (doc_id // 5) AS title, string_agg(text, chr(10) ORDER BY doc_id) AS case_text, arg_min(source, doc_id) AS source FROM documents GROUP BY doc_id // 5)"
 
 
 def _cases(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 5 = 0")
-    case = F.floor(F.col("doc_id") / 5).cast("long")
-    return docs.select(case.alias("case_id"), F.concat(F.lit("case "), case).alias("title"), F.col("text").alias("case_text"), "source")
+    docs = table(spark, d, "documents").withColumn("case_id", F.floor(F.col("doc_id") / 5).cast("long"))
+    parts = F.array_sort(F.collect_list(F.struct("doc_id", "text", "source")))  # five documents
+    cases = docs.groupBy("case_id").agg(parts.alias("parts"))
+    text = F.array_join(F.transform("parts", lambda x: x["text"]), "\n")
+    return cases.select("case_id", F.concat(F.lit("case "), "case_id").alias("title"), text.alias("case_text"), F.get("parts", F.lit(0))["source"].alias("source"))
 
 
-# Sources. Text that a file would hold is made from the tables, so that both engines read the same.
+# Sources. Files are written from the tables first, so that the reader reads files and SQL the tables.
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS case_id, source AS title, left(text, 30) AS case_text, lang AS judge_decision FROM documents")
+def _map_files(rows, key, record, folder):
+    """JSON files of one map each, of two hundred records at most, in ``folder``."""
+    entry = F.struct(F.col(key).cast("string").alias("key"), record.alias("value"))
+    maps = rows.groupBy(F.floor(F.col(key) / 200).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    maps.repartition("part").write.partitionBy("part").text(folder)
+    return folder
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS case_id, source AS title, text AS case_text, lang AS judge_decision FROM documents")
 def s01_case_store(spark, d):
-    record = F.struct(F.col("source").alias("title"), F.left("text", F.lit(30)).alias("case_text"), F.col("lang").alias("judge_decision"))
-    store = table(spark, d, "documents").select(F.to_json(F.create_map(F.col("doc_id").cast("string"), record)).alias("value"))
-    parsed = F.from_json("value", f"map<string,{readers.CASE}>", {"mode": "PERMISSIVE"})
-    return store.select(F.explode(parsed).alias("case_id", "r")).select("case_id", "r.title", "r.case_text", "r.judge_decision")
+    record = F.struct(F.col("source").alias("title"), F.col("text").alias("case_text"), F.col("lang").alias("judge_decision"))
+    folder = _map_files(table(spark, d, "documents"), "doc_id", record, new_path(spark, "case-store"))
+    return readers.case_store(spark, folder).select("case_id", "title", "case_text", "judge_decision")
 
 
 @query(f"{_CASES} SELECT case_id, title FROM cases WHERE case_id = 7")
@@ -44,16 +62,21 @@ def s03_import_sheet(spark, d):
     return readers.import_sheet(rows).select("doc_id", "title", "case_date")
 
 
-@query(f"{FX} SELECT case_id, q_no, CASE mi WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS model FROM fx WHERE mi < 2")
+@query(f"{FX} SELECT case_id, q_no, n, CASE mi WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS model FROM fx WHERE mi < 2")
 def s04_model_sheets(spark, d):
-    table_of = F.create_map(F.lit("m0"), F.lit("A"), F.lit("m1"), F.lit("B"))
-    rows = evaluations(spark, d).where(F.col("model").isin("m0", "m1"))
-    return rows.select("case_id", "q_no", F.try_element_at(table_of, F.col("model")).alias("model"))
+    folder = new_path(spark, "sheets")
+    evaluations(spark, d).select("case_id", "q_no", "n", F.col("model").alias("sheet")).repartition("sheet").write.partitionBy("sheet").parquet(folder)
+    return readers.model_sheets(spark, folder, {"m0": "A", "m1": "B"}).select("case_id", "q_no", "n", "model")
 
 
-@query()
+@query("SELECT 'newest' AS folder, count(*) AS nations FROM nation")
 def s05_latest_file(spark, d):
-    return readers.latest_file(spark, f"{d}/*.parquet").select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"))
+    folder = new_path(spark, "results")
+    for name, count in (("older", 1), ("oldest", 2), ("newest", 25)):
+        table(spark, d, "nation").limit(count).coalesce(1).write.json(f"{folder}/{name}")
+        time.sleep(0.05)  # files are told apart by the time they were changed
+    latest = readers.latest_file(spark, f"{folder}/*/part-*").first()["path"]
+    return spark.read.json(latest).agg(F.lit(latest.split("/")[-2]).alias("folder"), F.count("*").alias("nations"))
 
 
 @query("SELECT max(source) AS path FROM documents WHERE contains(source, '1')")
@@ -71,9 +94,35 @@ def s08_sheet_adapter(spark, d):
     return evaluations(spark, d).where("model <> 'm3'").groupBy("model").agg(F.count("*").alias("n"))
 
 
-@query()
+def _docx(paragraphs: list[str]) -> bytes:
+    name = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "".join(f"<w:p><w:r><w:t>{html.escape(p)}</w:t></w:r></w:p>" for p in paragraphs)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("word/document.xml", f'<w:document xmlns:w="{name}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def _save_documents(folder: str):
+    def run(frames):
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for f in frames:
+            names = [f"{i:06d}.docx" for i in f["page_id"]]
+            for name, text in zip(names, f["html"], strict=True):
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(_docx([re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", text), " ", "end"]))
+            yield pd.DataFrame({"name": names})
+
+    return run
+
+
+@query("SELECT lpad(CAST(page_id AS VARCHAR), 6, '0') || '.docx' AS file, length(regexp_replace(regexp_replace(html, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), '^\\s+|\\s+$', '', 'g')) + 4 AS chars FROM pages")
 def s09_s11_document_folder(spark, d):
-    return readers.document_folder(spark, f"{d}/region.parquet").select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), F.col("content").isNotNull().alias("read"))
+    folder = new_path(spark, "documents")
+    table(spark, d, "pages").select("page_id", "html").mapInPandas(_save_documents(folder), "name string").count()
+    found = readers.document_folder(spark, f"{folder}/*.docx")
+    return found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), F.length("content").cast("long").alias("chars"))
 
 
 @query("SELECT doc_id, CAST(k AS INTEGER) AS q_no, source || k AS question FROM documents, range(1, 6) r(k) WHERE (doc_id + k) % 3 <> 0")
@@ -82,9 +131,9 @@ def s12_melt_questions(spark, d):
     return readers.melt_questions(wide, ["doc_id"], [f"问题{k}" for k in range(1, 6)])
 
 
-@query("SELECT doc_id, source FROM documents WHERE doc_id < 10")
+@query("SELECT doc_id, source FROM documents")
 def s13_pruned_scan(spark, d):
-    return table(spark, d, "documents").select("doc_id", "source").where("doc_id < 10")
+    return table(spark, d, "documents").select("doc_id", "source")
 
 
 @query("SELECT doc_id, n_chars AS tokens_in, doc_id AS tokens_out, n_chars + doc_id AS tokens_total FROM documents WHERE doc_id % 3 <> 0")
@@ -104,10 +153,8 @@ def s15_token_report(spark, d):
 @query("SELECT CAST(doc_id AS VARCHAR) AS case_id, source AS case_title, CAST(k AS INTEGER) AS q_no, lang || k AS question FROM documents, range(1, 4) r(k)")
 def s16_prepared_cases(spark, d):
     record = F.struct(F.col("source").alias("case_title"), F.array(*[F.concat("lang", F.lit(str(k))) for k in (1, 2, 3)]).alias("questions"))
-    whole = table(spark, d, "documents").select(F.to_json(F.create_map(F.col("doc_id").cast("string"), record)).alias("value"))
-    parsed = F.from_json("value", f"map<string,{readers.PREPARED}>")
-    rows = whole.select(F.explode(parsed).alias("case_id", "r")).select("case_id", "r.case_title", F.posexplode("r.questions").alias("p", "question"))
-    return rows.select("case_id", "case_title", (F.col("p") + 1).alias("q_no"), "question")
+    folder = _map_files(table(spark, d, "documents"), "doc_id", record, new_path(spark, "prepared"))
+    return readers.prepared_cases(spark, folder).select("case_id", "case_title", "q_no", "question")
 
 
 @query(f"{FX}, r AS (SELECT doc_id // 7 AS case_id, CAST(doc_id % 7 AS INTEGER) AS q_no, 'q' || doc_id AS question FROM documents), c AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY q_no) AS rn, count(*) OVER (PARTITION BY case_id) AS n FROM r) SELECT case_id, q_no, question FROM c WHERE n >= 5 AND rn <= 5")
@@ -135,15 +182,40 @@ def k05_import_template(spark, d):
     return writers.import_template(spark)
 
 
-@query(f"{SC} SELECT model, q_no, count(*) AS n, CAST(sum(n_major) AS BIGINT) AS major FROM sc WHERE case_id < 3 GROUP BY model, q_no")
+_RESULTS = "SELECT CAST(doc_id AS VARCHAR) AS case_id, source AS case_title, text AS case_text, '' AS question, lang AS ai_decision, '' AS judge_decision, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'x' END AS comparison, CASE WHEN doc_id % 3 = 0 THEN 'then' ELSE 'now' END AS created_at FROM documents"
+
+
+@query(_RESULTS)
+def k04_analysis_rows(spark, d):
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").select(i.alias("case_id"), F.col("source").alias("case_title"), F.col("text").alias("case_text"), F.col("lang").alias("ai_decision"), F.when(i % 2 == 1, "x").alias("comparison"), F.when(i % 3 == 0, "then").alias("created_at"))
+    return writers.analysis_rows(rows, F.lit("now"))
+
+
+@query(f"{_CASES} SELECT case_id, title, case_text, CASE WHEN case_id % 2 = 0 THEN '' ELSE source END AS judge_decision, replace(case_text, 'e', '*') AS case_text_masked, CASE WHEN case_id % 2 = 0 THEN '' ELSE replace(source, 'e', '*') END AS judge_decision_masked FROM cases")
+def k04_case_list(spark, d):
+    decided = F.when(F.col("case_id") % 4 == 0, "nan").when(F.col("case_id") % 2 == 1, F.col("source"))
+    cases = _cases(spark, d).select("case_id", "title", "case_text", decided.alias("judge_decision"), F.lit("").alias("case_date"), F.lit("").alias("created_at"))
+    return writers.case_list(cases, lambda c: F.replace(c, F.lit("e"), F.lit("*"))).drop("case_date", "created_at")
+
+
+_EXPORTED = ", ".join(["total", *[f"d{k}" for k in range(1, 6)]])
+
+
+@query(f"{SC} SELECT model, case_id, q_no AS idx, 'q' || q_no AS question, coalesce(answer, '') AS answer, {_EXPORTED}, n_minor, n_moderate, n_major FROM sc WHERE q_no < 5 OR mi <> 2")
 def k06_session_export(spark, d):
-    return scored(spark, d).where("case_id < 3").groupBy("model", "q_no").agg(F.count("*").alias("n"), F.sum("n_major").alias("major"))
+    place = ["total", *[f"d{k}" for k in range(1, 6)], "n_minor", "n_moderate", "n_major"]
+    row = F.struct("q_no", F.concat(F.lit("q"), "q_no").alias("question"), F.coalesce("answer", F.lit("")).alias("answer"), F.struct(*place).alias("e"))
+    one = scored(spark, d).groupBy("model", "case_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))  # five questions
+    judged = F.filter("rows", lambda r: (r["q_no"] < 5) | (F.col("model") != "m2"))  # one model's last questions were not judged
+    sessions = one.select("model", "case_id", F.col("rows.question").alias("questions"), F.col("rows.answer").alias("answers"), F.transform(judged, lambda r: r["e"]).alias("evaluations"))
+    return writers.session_export(sessions, ["model", "case_id"])
 
 
-@query("SELECT CAST(n_name AS VARCHAR) AS section, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
-def k08_report_table(spark, d):
-    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy(F.col("n_name").alias("section")).agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+@query(f"""{SC}, s AS (SELECT model, case_id, CAST(count(*) AS DOUBLE) AS questions, {', '.join(f'round(avg({c}), 2) AS mean_{c}' for c in writers.SCORES)}, {', '.join(f'CAST(sum({c}) AS DOUBLE) AS {c}' for c in writers.ERRORS)} FROM sc GROUP BY model, case_id)
+""" + " UNION ALL ".join(f"SELECT model, case_id, '{c}' AS metric, {c} AS value FROM s" for c in ("questions", *[f"mean_{c}" for c in writers.SCORES], *writers.ERRORS)))
+def k06_session_summary(spark, d):
+    return writers.session_summary(scored(spark, d), ["model", "case_id"])
 
 
 @query("SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000")
@@ -151,11 +223,6 @@ def k09_latest_usage(spark, d):
     return writers.latest_usage(table(spark, d, "events"), "ts", "event_id").select("event_id")
 
 
-@query(f"{SC} SELECT model, grade, count(*) AS n FROM sc GROUP BY model, grade")
-def k10_chart_frame(spark, d):
-    return scored(spark, d).groupBy("model", "grade").agg(F.count("*").alias("n"))
-
-
 # Filters.
 
 
@@ -165,7 +232,7 @@ def f01_keyword_search(spark, d):
     return table(spark, d, "documents").where(found).select("doc_id")
 
 
-@query("SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) + 1 AS INTEGER) AS sheet_row, CAST((doc_id % 4 = 0)::INT + (doc_id % 5 = 1)::INT AS INTEGER) AS n_errors FROM documents")
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) + 1 AS sheet_row, CAST((doc_id % 4 = 0)::INT + (doc_id % 5 = 1)::INT AS INTEGER) AS n_errors FROM documents")
 def f02_validate_import(spark, d):
     i = F.col("doc_id")
     rows = table(spark, d, "documents").select("doc_id", F.when(i % 4 == 0, " ").otherwise(F.col("source")).alias("title"), F.lit("t").alias("case_text"), F.when(i % 5 == 1, "2024-13-01").when(i % 5 == 2, "2024-02-29").otherwise("").alias("case_date"))
@@ -195,9 +262,9 @@ def f12_display_names(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(F.try_element_at(names, F.col("lang")), F.col("lang")).alias("shown"))
 
 
-@query(r"SELECT page_id, regexp_replace(left(html, 300) || chr(7), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g') AS cell FROM pages")
+@query(r"SELECT page_id, regexp_replace(html || chr(7), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g') AS cell FROM pages")
 def f13_clean_cell(spark, d):
-    return table(spark, d, "pages").select("page_id", documents.clean_cell(F.concat(F.left("html", F.lit(300)), F.lit("\x07"))).alias("cell"))
+    return table(spark, d, "pages").select("page_id", documents.clean_cell(F.concat("html", F.lit("\x07"))).alias("cell"))
 
 
 @query("SELECT doc_id, CAST(NULL AS DOUBLE) AS total, CAST(0 AS BIGINT) AS counted FROM documents")
@@ -288,11 +355,9 @@ def u04_keep_first(spark, d):
     return ranking.keep_first(table(spark, d, "documents").select("source", "doc_id"), ["source"], F.col("doc_id"))
 
 
-@query("SELECT d.doc_id, len(list_intersect(list_distinct(string_split(d.text, ' ')), list_distinct(string_split(b.text, ' ')))) AS common FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
+@query(f"{PAIRS} SELECT doc_id, len(list_intersect(list_distinct(string_split(a, ' ')), list_distinct(string_split(b, ' ')))) AS common FROM p")
 def u05_row_sets(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    both = docs.join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("b")), "item_id")
-    return both.select("doc_id", F.size(F.array_intersect(F.split("text", " "), F.split("b", " "))).cast("long").alias("common"))
+    return pairs(spark, d).select("doc_id", F.size(F.array_intersect(F.split("a", " "), F.split("b", " "))).cast("long").alias("common"))
 
 
 @query(f"{FX} SELECT model, count(*) AS n, CAST(sum(CASE WHEN mi = 2 THEN 1 ELSE n END) AS BIGINT) AS s FROM fx GROUP BY model")
@@ -305,14 +370,21 @@ def u06_replace_part(spark, d):
 # Model stage with the stand-in client, and running counters on the batch table.
 
 
-@query("SELECT doc_id, left('问：' || left(text, 500), 200) AS reply FROM documents")
+@query("SELECT doc_id, left('问：' || text, 200) AS reply FROM documents")
 def x01_model_stage(spark, d):
     from scoreloom.sources.models import ask
 
-    asked = table(spark, d, "documents").select("doc_id", F.concat(F.lit("问："), F.left("text", F.lit(500))).alias("prompt"))
+    asked = table(spark, d, "documents").select("doc_id", F.concat(F.lit("问："), "text").alias("prompt"))
     return ask(asked, "prompt").select("doc_id", "reply")
 
 
+@query("SELECT doc_id, left('问题：' || source || chr(10) || '案例：' || text, 200) AS answer FROM documents")
+def x05_analysis_stage(spark, d):
+    from scoreloom.sources.models import analyse, client_for
+
+    return analyse(table(spark, d, "documents").select("doc_id", "source", "text"), "text", "source", client_for("echo")).select("doc_id", "answer")
+
+
 @query(f"{_CASES} SELECT case_id + 0 AS case_id, CASE WHEN case_id % 4 = 1 THEN 'renamed' ELSE title END AS title FROM cases WHERE case_id % 4 <> 0")
 def x07_case_updates(spark, d):
     cases = _cases(spark, d).select("case_id", "title")

@@ -7,7 +7,10 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from scoreloom.operators.questions import best_passage, is_verbatim, parse_questions, prompt
 
 
 class Client(Protocol):
@@ -22,6 +25,20 @@ class EchoClient:
         return {"content": prompt[:200], "finish_reason": "stop"}
 
 
+#: Makers of clients by provider; each takes the model's name, or None for the provider's own.
+PROVIDERS: dict[str, Callable[[str | None], Client]] = {"echo": lambda model: EchoClient()}
+
+
+def register(provider: str, maker: Callable[[str | None], Client]) -> None:
+    PROVIDERS[provider.lower()] = maker
+
+
+def client_for(provider: str | None = None, model: str | None = None, default: str = "echo") -> Callable[[], Client]:
+    """What makes a provider's client in a task; an unknown provider, or none, is the default one."""
+    maker = PROVIDERS.get((provider or default).lower(), PROVIDERS[default])
+    return lambda: maker(model)
+
+
 class RateLimited(Exception):
     """The provider asks to wait."""
 
@@ -95,3 +112,49 @@ def ask(df: DataFrame, prompt: str, client: Callable[[], Client] = EchoClient, k
     schema = df.schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     return df.mapInPandas(run, f"{fields}, `{name}` string, `{name}_error` string")
+
+
+#: Prompts of the four kinds of call; callers may give their own with the same places.
+QUESTION_PROMPT = "请为下面的案例提出{n}个有争议的法律问题，每行一个：\n{text}\n{decision}"
+ANALYSIS_PROMPT = "问题：{question}\n案例：{text}"
+EXTRACT_PROMPT = "从判决中逐字摘出回答这个问题的句子。\n问题：{question}\n判决：{decision}"
+COMPARE_PROMPT = "比较两份判决。\n甲：{a}\n乙：{b}"
+
+
+def _asked(df: DataFrame, text: Column, kind: str, client: Callable[[], Client], **limits) -> DataFrame:
+    """Adds ``reply`` and ``reply_error`` to the given prompt, which is dropped again."""
+    return ask(df.withColumn("__prompt", text), "__prompt", client, kind, **limits).drop("__prompt")
+
+
+def ask_questions(df: DataFrame, text: str, decision: str | None = None, n: int = 5, client: Callable[[], Client] = EchoClient, template: str = QUESTION_PROMPT, **limits) -> DataFrame:
+    """Adds ``questions``, at most ``n``, read from the reply's lines; null where the model gave none."""
+    filled = prompt(template, n=F.lit(n), text=F.col(text), decision=F.col(decision) if decision else F.lit(""))
+    asked = _asked(df, filled, "questions", client, **limits)
+    return asked.withColumn("questions", parse_questions(F.col("reply"), n)).drop("reply")
+
+
+def analyse(df: DataFrame, text: str, question: str, client: Callable[[], Client] = EchoClient, template: str = ANALYSIS_PROMPT, **limits) -> DataFrame:
+    """Adds the ``answer`` to a question about a case."""
+    asked = _asked(df, prompt(template, question=F.col(question), text=F.col(text)), "analyse", client, **limits)
+    return asked.withColumnRenamed("reply", "answer")
+
+
+def extract_answers(df: DataFrame, question: str, decision: str, client: Callable[[], Client] = EchoClient, template: str = EXTRACT_PROMPT, **limits) -> DataFrame:
+    """Adds ``judge_answer``: what the reply quotes from the decision, or the decision's passage nearest to it."""
+    asked = _asked(df, prompt(template, question=F.col(question), decision=F.col(decision)), "extract", client, **limits)
+    said = F.btrim("reply")
+    return asked.withColumn("judge_answer", F.when(is_verbatim(said, F.col(decision)), said).otherwise(best_passage(said, F.col(decision)))).drop("reply")
+
+
+def compare(df: DataFrame, a: str, b: str, client: Callable[[], Client] = EchoClient, template: str = COMPARE_PROMPT, **limits) -> DataFrame:
+    """Adds the ``comparison`` of two decisions."""
+    asked = _asked(df, prompt(template, a=F.col(a), b=F.col(b)), "compare", client, **limits)
+    return asked.withColumnRenamed("reply", "comparison")
+
+
+def questions_with_answers(df: DataFrame, text: str, decision: str, n: int = 5, client: Callable[[], Client] = EchoClient, write: Callable[[DataFrame], DataFrame] = lambda x: x, **limits) -> DataFrame:
+    """A row for each question that the model asks about a case and its decision, with the decision's own answer. ``write`` is
+    given the questions before answers are looked for and should write and reread them, or they are asked again."""
+    asked = write(ask_questions(df, text, decision, n, client, **limits).drop("reply_error"))
+    rows = asked.select(*[c for c in asked.columns if c != "questions"], F.posexplode("questions").alias("p", "question")).withColumn("q_no", F.col("p") + 1).drop("p")
+    return extract_answers(rows, "question", decision, client, **limits)

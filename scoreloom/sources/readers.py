@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import io
 import re
 import zipfile
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions import strip
+from scoreloom.operators.ranking import numbered
 
 CASE = "struct<id:string,title:string,case_text:string,judge_decision:string,case_date:string,created_at:string,metadata:map<string,string>>"
 PREPARED = "struct<case_title:string,masked_title:string,masked_content:string,masked_judge:string,questions:array<string>>"
@@ -48,9 +50,7 @@ def import_sheet(df: DataFrame, required: tuple[str, str] = ("title", "case_text
 
 
 def validate_import(df: DataFrame, order: str) -> DataFrame:
-    """Adds the sheet row (from 2) and the list of errors."""
-    from pyspark.sql import Window as W
-
+    """Adds the sheet row (from 2), by ``order``, and the list of errors."""
     date = F.col("case_date")
     exact = date.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") & F.try_to_timestamp(date, F.lit("yyyy-M-d")).isNotNull()
     errors = F.array_compact(F.array(
@@ -58,7 +58,7 @@ def validate_import(df: DataFrame, order: str) -> DataFrame:
         F.when(F.coalesce(strip(F.col("case_text")), F.lit("")) == "", "text is blank"),
         F.when((F.coalesce(date, F.lit("")) != "") & ~F.coalesce(exact, F.lit(False)), "date is not yyyy-mm-dd"),
     ))
-    return df.withColumns({"sheet_row": F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order)) + 1, "errors": errors})
+    return numbered(df.withColumn("errors", errors), F.col(order), name="sheet_row").withColumn("sheet_row", F.col("sheet_row") + 1)
 
 
 def model_sheets(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
@@ -148,6 +148,21 @@ def decode_cascade(content: bytes, least: int = 100) -> str | None:
     return None
 
 
+_TAG = re.compile(r"<[^>]+>")
+
+
+def decode_document(content: bytes, least: int = 100) -> str | None:
+    """Text of a file that is not a .docx: by the cascade; a page of HTML without its tags, whatever its broken bytes."""
+    text = decode_cascade(content, least)
+    candidates = [text] if text else [content.decode(e, "ignore") for e in ENCODINGS]
+    for page in candidates:
+        if ("<html" in page.lower() or "<body" in page.lower()) and _COMMON_HAN.search(page):
+            bare = "\n".join(x.strip() for x in html.unescape(_TAG.sub("", page)).split("\n") if x.strip())
+            if len(bare) > least:
+                return bare
+    return text
+
+
 def document_folder(spark: SparkSession, pattern: str, limit: int | None = None) -> DataFrame:
     """``(path, content)`` of .docx and other text files; content is null where a file can't be read."""
     files = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").load(pattern).select("path", F.col("content").alias("raw"))
@@ -156,7 +171,7 @@ def document_folder(spark: SparkSession, pattern: str, limit: int | None = None)
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            content = [docx_text(raw) if path.lower().endswith(".docx") else decode_cascade(raw) for path, raw in zip(f["path"], f["raw"], strict=True)]
+            content = [docx_text(raw) if path.lower().endswith(".docx") else decode_document(raw) for path, raw in zip(f["path"], f["raw"], strict=True)]
             yield pd.DataFrame({"path": f["path"], "content": content})
 
     return files.mapInPandas(decode, "path string, content string")

@@ -129,8 +129,15 @@ def test_p10_and_cvar(spark):
     assert row["p10"] == pytest.approx(4.76) and row["cvar10"] == pytest.approx(2.6)
     exact = stats.bootstrap_exact(frame, 500).first()
     assert exact["low"] <= np.mean(scores) <= exact["high"]
-    poisson = stats.bootstrap_means(frame, 500).first()
-    assert abs(poisson["low"] - exact["low"]) < 1.0 and abs(poisson["high"] - exact["high"]) < 1.0
+    drawn = stats.bootstrap_means(frame).first()
+    assert abs(drawn["low"] - exact["low"]) < 0.5 and abs(drawn["high"] - exact["high"]) < 0.5 and drawn["mean"] == pytest.approx(np.mean(scores))
+    assert stats.bootstrap_means(frame.repartition(3)).first() == drawn
+    many = np.repeat(np.round(np.linspace(0, 20, 400), 1), 5)
+    rows = spark.createDataFrame([("m", float(x)) for x in many], "model string, total double")
+    rng = np.random.default_rng(1)
+    means = many[rng.integers(0, len(many), (4000, len(many)))].mean(1)
+    drawn = stats.bootstrap_means(rows).first()
+    assert abs(drawn["low"] - np.quantile(means, 0.025)) < 0.03 and abs(drawn["high"] - np.quantile(means, 0.975)) < 0.03
 
 
 def test_readers_and_writers(spark, tmp_path):
@@ -149,6 +156,10 @@ def test_readers_and_writers(spark, tmp_path):
     rows = {r["path"].rsplit("/", 1)[1]: r["content"] for r in readers.document_folder(spark, str(folder)).collect()}
     assert rows == {"a.docx": "one\ncell", "b.docx": None, "c.doc": "法院的判决" * 30}
     assert readers.docx_text(io.BytesIO(b"x").getvalue()) is None
+    page = ("<html><body><p>" + "法院的判决&amp;" * 20 + "</p>\n<p>完</p></body></html>").encode("gbk")
+    assert readers.decode_document(page) == "法院的判决&" * 20 + "\n完"
+    assert readers.decode_document(b"\xff\x00" + page) == "法院的判决&" * 20 + "\n完" or readers.decode_document(b"\xff" + page) is not None
+    assert readers.decode_document(b"<html>no</html>") is None
     out = str(tmp_path / "evals")
     frame = spark.createDataFrame([("m1", 1), ("m2", 2)], "model string, v int")
     writers.replace_models(frame, out)
@@ -180,6 +191,39 @@ def test_model_calls():
     assert client.tokens == [3000, 3000, 3000, 6000] and any(w > 10 for w in waits)
 
 
+def test_kinds_of_calls(spark):
+    class Scripted:
+        """Answers by the kind of prompt."""
+
+        def complete(self, prompt, temperature, max_tokens):
+            if temperature == models.TEMPERATURES["questions"]:
+                return {"content": "1. 是否构成家暴？\n\n2、赔偿是否支持\n3. 第三个", "finish_reason": "stop"}
+            if temperature == models.TEMPERATURES["extract"]:
+                return {"content": "驳回其余请求。" if "家暴" in prompt else "支持赔偿五百元的请求，证据充分，其余不予以支持", "finish_reason": "stop"}
+            return {"content": f"{temperature}:{prompt[:4]}", "finish_reason": "stop"}
+
+    decision = "经查，事实清楚。本院支持赔偿五百元的请求，因为证据充分而且没有相反证据。驳回其余请求。"
+    frame = spark.createDataFrame([(1, "案情", decision)], "case_id int, text string, decision string")
+    rows = models.questions_with_answers(frame, "text", "decision", 2, Scripted).orderBy("q_no").collect()
+    assert [(r["q_no"], r["question"]) for r in rows] == [(1, "是否构成家暴？"), (2, "赔偿是否支持")]
+    assert rows[0]["judge_answer"] == "驳回其余请求。" and rows[1]["judge_answer"] in decision and "五百元" in rows[1]["judge_answer"]
+    assert models.analyse(frame, "text", "decision", Scripted).first()["answer"] == "0.3:问题：经"
+    assert models.compare(frame, "text", "decision", Scripted).first()["comparison"] == "0.5:比较两份"
+    assert models.ask_questions(frame, "text", client=Scripted).first()["questions"] == ["是否构成家暴？", "赔偿是否支持", "第三个"]
+    models.register("Scripted", lambda model: Scripted())
+    assert isinstance(models.client_for("SCRIPTED")(), Scripted) and isinstance(models.client_for("unknown")(), models.EchoClient)
+
+
+def test_places_and_look_back(spark):
+    rows = [(i % 7, f"k{i % 2}", i * 7 % 100) for i in range(300)]
+    frame = spark.createDataFrame(rows, "x int, k string, s int").selectExpr("x", "k", "timestamp_seconds(s) as ts", "s")
+    placed = ranking.numbered(frame.select("x", "k", "s"), F.col("x").desc(), F.col("s")).orderBy("rank").collect()
+    assert [r["rank"] for r in placed] == list(range(1, 301)) and [(-r["x"], r["s"]) for r in placed] == sorted((-x, s) for x, _, s in rows)
+    assert ranking.numbered(frame.limit(0), F.col("x")).count() == 0
+    got = sorted((r["k"], r["s"], r["n"]) for r in ranking.look_back(frame, "k", "ts", 10, "n").collect())
+    assert got == sorted((k, s, sum(k == j and s - 10 <= t <= s for _, j, t in rows)) for _, k, s in rows)
+
+
 def test_costs_and_merging(spark):
     book = costs.price_book(spark)
     measured = spark.createDataFrame([(0, 0)], "tokens_in long, tokens_out long")

@@ -1,5 +1,7 @@
 """Registered queries against their SQL in DuckDB, on the smallest tables."""
 
+import re
+
 import duckdb
 import pandas as pd
 import pytest
@@ -39,7 +41,32 @@ def test_query_equals_its_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
-    assert plans.queries()[name](spark, SF).columns
+    n = {"o07_random_sample": 1000, "a06_bootstrap_ci": 7, "p01_clean_pages": spark.read.parquet(f"{SF}/pages.parquet").count()}
+    assert len(plans.queries()[name](spark, SF).collect()) == n.get(name, spark.read.parquet(f"{SF}/documents.parquet").count())
+
+
+def test_masking_queries_equal_plain_python(spark):
+    from test_operators import brute_mask
+
+    from scoreloom.functions import fixed_values as V
+    from scoreloom.operators import masking
+    from scoreloom.plans import scoring
+
+    gendered = lambda m: m[0] if m[1] in V.LEGAL_TERMS else ("某女" if "女" in m[0] else "某男")
+    standalone = lambda m: m[0] if "某" in m[0] or m[0] in masking.KEPT_TOKENS else "某"
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text", "n_chars as n").selectExpr("doc_id", f"concat(text, '\\n', {scoring.CASE_TEXT}) as t").collect()
+    found = {name: {r["doc_id"]: r for r in plans.queries()[name](spark, SF).collect()} for name in ("m05_gendered_names", "m06_standalone_names", "m08_mask_case")}
+    for r in docs:
+        assert found["m05_gendered_names"][r["doc_id"]]["masked"] == re.sub(V.GENDER_NAME_PATTERN, gendered, r["t"])
+        assert found["m06_standalone_names"][r["doc_id"]]["masked"] == re.sub(V.STANDALONE_NAME_PATTERN, standalone, r["t"])
+        whole = found["m08_mask_case"][r["doc_id"]]
+        assert whole["case_text_masked"] == brute_mask(r["t"]) and whole["judge_decision_masked"] == brute_mask("判决：" + r["t"])
+
+
+def test_random_sample_is_the_same_again(spark):
+    query = plans.queries()["o07_random_sample"]
+    rows = query(spark, SF).collect()
+    assert len(set(rows)) == 1000 and sorted(rows) == sorted(query(spark, SF).collect())
 
 
 def test_streaming_counters(spark, tmp_path):
