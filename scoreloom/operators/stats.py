@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoreloom.functions import contains_any, null_if_blank, strip
@@ -31,31 +30,31 @@ def mentions_stale_law(variant: int = 1) -> Column:
     return contains_any(F.lower(F.concat_ws(" ", *texts)), V.STALE_LAW_V2)
 
 
+#: Distinct scores of a model that its tail can be told from exactly: whole hundredths from 0 to 20 are 2,001.
+BINS = 4096
+
+
 def model_stats(df: DataFrame, by: str = "model", score: str = "total") -> DataFrame:
     """One row a model: n of all rows; mean, p10 and CVaR of the scores there are; stale, error and refusal counts
-    with rates; mean answer length; dimension means. Rows are read once and summed for each model and score first: scores
-    are whole hundredths of a point, so a model has some two thousand of them at most, and quantile and tail are exact."""
+    with rates; mean answer length; dimension means. One aggregation: the tail is summed from each score's count, which a
+    histogram holds exactly while there are fewer scores than ``BINS``; more are an error, for which there is ``cvar``."""
     flagged = df.withColumns({"stale": mentions_stale_law(1), "refused": is_refusal(F.col("answer"))})
-    length = F.when(~F.col("refused"), F.length(strip(F.col("answer"))))
-    counted = flagged.groupBy(by, score).agg(
+    main = flagged.groupBy(by).agg(
         F.count("*").alias("n"),
+        F.avg(score).alias("mean_score"),
+        F.percentile(score, F.lit(0.1)).alias("p10"),
+        F.histogram_numeric(score, F.lit(BINS)).alias("counts"),
         F.count_if("stale").alias("stale_count"),
         *[F.count(null_if_blank(F.col(c))).alias(f"{c}_count") for c in ("major", "moderate", "minor")],
         F.count_if("refused").alias("refusal_count"),
-        F.sum(length).alias("chars"),
-        F.count(length).alias("answers"),
-        *[f for d in D for f in (F.sum(d).alias(f"{d}_sum"), F.count(d).alias(f"{d}_n"))],
+        F.avg(F.when(~F.col("refused"), F.length(strip(F.col("answer"))))).alias("mean_length"),
+        *[F.avg(d).alias(f"{d}_mean") for d in D],
     )
-    counted = counted.withColumn("p10", F.percentile(score, F.lit(0.1), F.col("n")).over(W.partitionBy(by)))
-    there, tail = F.col(score).isNotNull(), F.col(score) <= F.col("p10")
-    mean = lambda when: F.try_divide(F.sum(F.when(when, F.col(score) * F.col("n"))), F.sum(F.when(when, F.col("n"))))
-    counts = ("stale_count", "major_count", "moderate_count", "minor_count", "refusal_count")
-    main = counted.groupBy(by).agg(
-        F.sum("n").alias("n"), mean(there).alias("mean_score"), F.first("p10").alias("p10"), *[F.sum(c).alias(c) for c in counts],
-        F.try_divide(F.sum("chars"), F.sum("answers")).alias("mean_length"), *[F.try_divide(F.sum(f"{d}_sum"), F.sum(f"{d}_n")).alias(f"{d}_mean") for d in D],
-        F.coalesce(mean(tail), F.first("p10")).alias("cvar10"),
-    )
-    return main.withColumns({"stale_rate": F.col("stale_count") / F.col("n"), "refusal_rate": F.col("refusal_count") / F.col("n")})
+    tail = F.filter("counts", lambda c: c["x"] <= F.col("p10"))
+    total = lambda value: F.aggregate(F.transform(tail, value), F.lit(0.0), lambda a, b: a + b)
+    full = F.when(F.size("counts") >= BINS, F.raise_error(f"{BINS} scores or more: use cvar").cast("double"))
+    cvar10 = F.coalesce(full, F.try_divide(total(lambda c: c["x"] * c["y"]), total(lambda c: c["y"])), F.col("p10"))
+    return main.withColumns({"stale_rate": F.col("stale_count") / F.col("n"), "refusal_rate": F.col("refusal_count") / F.col("n"), "cvar10": cvar10}).drop("counts")
 
 
 def cvar(df: DataFrame, quantiles: DataFrame, by: str = "model", score: str = "total", q: str = "p10") -> DataFrame:
