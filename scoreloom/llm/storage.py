@@ -1,62 +1,20 @@
-"""Where intermediate tables live: the shared folder that the cluster names in ``spark.checkpoint.dir``; and how much of
-a table a task holds at once."""
+"""Intermediate tables of this subpackage, and how much of a table a task holds at once."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
-from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from scoreloom.scratch import materialise, new_path
+
+__all__ = ["map_batches", "materialise", "new_path"]
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of rows that are sent to Python at once, in place of Spark's 64 MB: buffers double as they grow, on both sides.
 MAX_BATCH = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder. Only a local master (tests) gets one of its own when none is set."""
-    found = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="scoreloom-")
-    spark.conf.set(CHECKPOINT_DIR, made)
-    return made
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/scoreloom/{tag}-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def _conf(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives
-    lost executors, and frees the shuffle files of the job that wrote it."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    with _conf(spark, SHUFFLE_CLEANUP, "true"):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` over batches of about ``MAX_BATCH`` bytes, so that a task's memory does not grow with the texts.
     A session that asks for less, or doesn't say it in bytes, keeps its own limit."""
