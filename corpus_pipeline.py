@@ -1,4 +1,9 @@
-"""Five stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""Five stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+Every stage reads whole texts, however long, takes an empty table for an empty result, and ignores columns that it does not
+name, whatever their names; all but the last return the columns of their input. What nulls, blank texts, ties and
+repeated rows come to is said by each stage.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +14,32 @@ from scoreloom.llm.storage import materialise
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the toxicity threshold stay."""
+    """Documents that score below the toxicity threshold stay. Null and blank texts are scored as texts without terms; a score
+    at the threshold goes; ids make no difference, and repeated rows fare alike."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
+    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8): the smallest doc_id. Null doc_ids
+    and blank texts stay; of rows that repeat a doc_id one stays."""
     return neardup.keep_one(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a benchmark item go."""
+    """Documents that hold a copy of a benchmark item go, with or without a doc_id. Null and blank texts hold none; repeated rows
+    fare alike; items without words match nothing."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking secrets are replaced in the texts; all documents stay."""
+    """Live-looking secrets are replaced in the texts; all documents stay, with or without a doc_id. Null and blank texts stay as
+    they are; of spans that overlap the first, then the longest, is replaced; repeated rows fare alike."""
     return secrets.redact_secrets(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How much of each document the mix takes."""
+    """How much of each document the mix takes. Null and blank texts have no words; a null source is a source; repeated rows are
+    documents of their own."""
     return mixing.mix_sources(docs)
 
 
