@@ -42,3 +42,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 10 * n_stutters > 2 * n_words) AS kept
 FROM b
 """
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(words)) AS HUGEINT) AS n FROM w GROUP BY lang
+), runs AS (
+  SELECT lang, k, array_to_string(words[i:i+k-1], ' ') AS phrase
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, range(1, 6) AS s(k) WHERE len(words) >= k)
+), f AS (
+  SELECT lang, k AS words, phrase, CAST(count(*) AS HUGEINT) AS a FROM runs GROUP BY lang, k, phrase HAVING count(*) >= 100
+), inner_phrases AS (
+  SELECT lang, a, array_to_string(string_split(phrase, ' ')[i:i+m-1], ' ') AS phrase
+  FROM (SELECT lang, phrase, words, a, m, unnest(range(1, words - m + 2)) AS i FROM f, range(2, 5) AS s(m) WHERE m < words)
+), around AS (
+  SELECT lang, phrase, max(a) AS around FROM inner_phrases GROUP BY lang, phrase
+), cuts AS (
+  SELECT f.lang, f.phrase, f.a, k, array_to_string(string_split(f.phrase, ' ')[1:k], ' ') AS l_phrase, array_to_string(string_split(f.phrase, ' ')[k+1:], ' ') AS r_phrase
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM f WHERE words > 1) AS f LEFT JOIN around USING (lang, phrase)
+  WHERE around IS NULL OR 100 * around < 100 * f.a
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, n, (1000 * c.a * n) // (l.a * r.a) AS score,
+         row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (1000 * c.a * n) // (l.a * r.a), k) AS cut
+  FROM cuts AS c
+  JOIN f AS l ON l.lang = c.lang AND l.phrase = c.l_phrase
+  JOIN f AS r ON r.lang = c.lang AND r.phrase = c.r_phrase
+  JOIN totals AS t ON t.lang = c.lang
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored WHERE cut = 1
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""

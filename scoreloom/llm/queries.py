@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import chat, decontaminate, mixing, neardup, pii, quality, secrets, suffix, toxicity, warc
-from scoreloom.llm.oracles import OP8_SQL
+from scoreloom.llm import chat, decontaminate, mixing, neardup, phrases, pii, quality, repair, secrets, suffix, tokens, toxicity, warc
+from scoreloom.llm.oracles import OP8_SQL, OP13_SQL
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -65,6 +65,20 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op11_trie_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(_read(spark, sf_dir, "conversations")))
+
+
+def op12_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # where the vocabulary files of public tokenizers are
+
+    return tokens.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
 _QUERIES = (
     op1_pii_boosting,
     op2_minhash_near_dedup,
@@ -76,6 +90,9 @@ _QUERIES = (
     op8_quality_cascade,
     op9_prefix_target_chat,
     op10_suffix_array_dedup,
+    op11_trie_repair,
+    op12_pretoken_counts,
+    op13_phrase_mining,
 )
 
 
@@ -84,4 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_cascade": OP8_SQL}
+    return {"op8_quality_cascade": OP8_SQL, "op13_phrase_mining": OP13_SQL}

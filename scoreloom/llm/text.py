@@ -74,11 +74,11 @@ def is_space(data: np.ndarray) -> np.ndarray:
     return _SPACE[data]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray, terms: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, or all terms; both end at document borders."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, terms: bool = False, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, or all terms, or runs of the bytes of ``kind``; all end at document borders."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    solid = (_TERM if terms else _WORD)[data]
+    solid = ((_TERM if terms else _WORD) if kind is None else kind)[data]
     before = np.empty_like(solid)
     before[0], before[1:] = False, solid[:-1]
     before[offsets[:-1][offsets[:-1] < len(data)]] = False
@@ -93,6 +93,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True, terms:
     """Fingerprints of all words (or terms) of the documents, in order, and each document's first word index.
     ``fold``: A-Z count as a-z."""
     starts, ends = word_bounds(data, offsets, terms)
+    return run_hashes(data, starts, ends, fold), np.searchsorted(starts, offsets)
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Fingerprints of the byte runs from ``starts`` to ``ends``, which are in order and don't overlap."""
     letter = _FOLDED if fold else _EXACT
     out = np.empty(len(starts), np.uint64)
     i = 0
@@ -110,7 +115,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True, terms:
         np.cumsum(letter[piece] * _FORWARD[: len(piece)], out=total[1:])
         out[i:j] = mix((total[ends[i:j] - lo] - total[starts[i:j] - lo]) * _BACK[starts[i:j] - lo])
         i = j
-    return out, np.searchsorted(starts, offsets)
+    return out
 
 
 def fold_latin(data: np.ndarray) -> np.ndarray:
