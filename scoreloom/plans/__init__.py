@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from scoreloom.plans import analytics, scoring, tables
+from scoreloom.plans import analytics, runs, scoring, tables
 from scoreloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["analytics", "oracle_sql", "queries", "scoring", "tables"]
+__all__ = ["analytics", "oracle_sql", "queries", "runs", "scoring", "tables"]
 
 
 def queries() -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import threading
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -10,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.functions import fixed_values as V
 from scoreloom.operators.questions import best_passage, is_verbatim, parse_questions, prompt
 
 
@@ -25,8 +28,28 @@ class EchoClient:
         return {"content": prompt[:200], "finish_reason": "stop"}
 
 
+class DigestClient:
+    """A deterministic stand-in whose reply depends on every character of the prompt: its MD5, and no reply at all where that begins
+    with 0."""
+
+    def complete(self, prompt: str, temperature: float, max_tokens: int) -> dict:
+        found = hashlib.md5(prompt.encode(), usedforsecurity=False).hexdigest()
+        return {"content": "" if found[0] == "0" else f"回答{found}", "finish_reason": "stop"}
+
+
+class DigestJudge:
+    """A deterministic stand-in for a judge: scores and flags by the digits of the prompt's MD5."""
+
+    def complete(self, prompt: str, temperature: float, max_tokens: int) -> dict:
+        x = [int(c, 16) for c in hashlib.md5(prompt.encode(), usedforsecurity=False).hexdigest()]
+        scores = "".join(f"【{d}】\n得分：{x[k] % 5}分\n理由：见上\n" for k, d in enumerate(V.DIMENSIONS))
+        flags = "表述略有瑕疵" if x[5] % 3 == 0 else "无", "引用了已废止的旧法条文" if x[6] % 5 == 0 else "无", "回答中编造事实" if x[7] == 0 else "出现受害者责备" if x[7] == 1 else "无"
+        marks = "".join(f"\n- {severity}：{text}" for severity, text in zip((V.MINOR, V.MODERATE, V.MAJOR), flags, strict=True))
+        return {"content": f"{scores}【错误标记】（如有）：{marks}", "finish_reason": "stop"}
+
+
 #: Makers of clients by provider; each takes the model's name, or None for the provider's own.
-PROVIDERS: dict[str, Callable[[str | None], Client]] = {"echo": lambda model: EchoClient()}
+PROVIDERS: dict[str, Callable[[str | None], Client]] = {"echo": lambda model: EchoClient(), "digest": lambda model: DigestClient(), "digest-judge": lambda model: DigestJudge()}
 
 
 def register(provider: str, maker: Callable[[str | None], Client]) -> None:
@@ -48,7 +71,7 @@ class RateLimited(Exception):
 
 
 #: Temperatures by kind of call (fixed values).
-TEMPERATURES = {"analyse": 0.3, "questions": 0.7, "extract": 0.1, "compare": 0.5}
+TEMPERATURES = {"analyse": 0.3, "questions": 0.7, "extract": 0.1, "compare": 0.5, "judge": 0.3}
 MAX_TOKENS, MAX_TOKENS_CAP = 3000, 16000
 
 
@@ -72,17 +95,41 @@ class Pace:
         self.calls.append(self.clock())
 
 
-def call(client: Client, prompt: str, temperature: float, pace: Pace, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None]:
-    """(content, error). Failures and empty replies are tried again with growing pauses; a cut reply once
-    more with twice the tokens."""
+def in_time(client: Client, prompt: str, temperature: float, tokens: int, limit_s: float | None) -> dict:
+    """A client's reply, or TimeoutError after ``limit_s`` seconds; the call itself is then left behind."""
+    if limit_s is None:
+        return client.complete(prompt, temperature, tokens)
+    got: list = []
+
+    def complete() -> None:
+        try:
+            got.append((client.complete(prompt, temperature, tokens), None))
+        except BaseException as failed:  # noqa: BLE001  given to the waiting thread
+            got.append((None, failed))
+
+    thread = threading.Thread(target=complete, daemon=True)
+    thread.start()
+    thread.join(limit_s)
+    if not got:
+        raise TimeoutError(f"no reply in {limit_s:g} s")
+    reply, failed = got[0]
+    if failed is not None:
+        raise failed
+    return reply
+
+
+def exchange(client: Client, prompt: str, temperature: float, pace: Pace, attempts: int = 3, sleep: Callable[[float], None] = time.sleep, limit_s: float | None = None) -> dict:
+    """``reply``, ``thinking``, ``error`` and the number of ``attempts``. Failures, late and empty replies are tried again with growing
+    pauses; a cut reply once more with twice the tokens."""
     error, tokens = None, MAX_TOKENS
     for attempt in range(attempts):
         pace.wait()
         try:
-            reply = client.complete(prompt, temperature, tokens)
+            reply = in_time(client, prompt, temperature, tokens, limit_s)
             if reply.get("finish_reason") == "length" and tokens < MAX_TOKENS_CAP:
                 tokens = min(2 * tokens, MAX_TOKENS_CAP)
-                reply = client.complete(prompt, temperature, tokens)
+                pace.wait()
+                reply = in_time(client, prompt, temperature, tokens, limit_s)
         except RateLimited as limited:
             error = str(limited)
             sleep(limited.retry_after)
@@ -92,10 +139,16 @@ def call(client: Client, prompt: str, temperature: float, pace: Pace, attempts:
             sleep(2.0 * (attempt + 1))
             continue
         if (reply.get("content") or "").strip():
-            return reply["content"], None
+            return {"reply": reply["content"], "thinking": reply.get("thinking"), "error": None, "attempts": attempt + 1}
         error = "empty reply"
         sleep(2.0)
-    return None, error
+    return {"reply": None, "thinking": None, "error": error, "attempts": attempts}
+
+
+def call(client: Client, prompt: str, temperature: float, pace: Pace, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None]:
+    """(content, error) of an exchange."""
+    found = exchange(client, prompt, temperature, pace, attempts, sleep)
+    return found["reply"], found["error"]
 
 
 def ask(df: DataFrame, prompt: str, client: Callable[[], Client] = EchoClient, kind: str = "analyse", per_minute: int = 3000, spacing: float = 0.0, name: str = "reply") -> DataFrame:
