@@ -38,7 +38,7 @@ ROWS, MIN_BITS, MAX_BITS, SHARD_BITS = 2, 16, 28, 16
 LOAD = 1 / 4
 #: Bytes of text that are looked at together, and counters that a task gathers before it adds them up.
 PART, PENDING = 1 << 20, 1 << 22
-#: Rows of a language that are ranked together at first.
+#: Parts of a language that are scored and ranked apart at first.
 _SALTS = 64
 
 _BREAK = np.zeros(256, bool)
@@ -304,8 +304,9 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = LONGEST, top:
     side = phrases.where(F.col("words") < longest)
     cut = cut.join(side.select("lang", F.col("phrase").alias("left"), F.col("times").alias("l")), ["lang", "left"])
     cut = cut.join(side.select("lang", F.col("phrase").alias("right"), F.col("times").alias("r")), ["lang", "right"])
-    totals = found.where("words = 0").select("lang", F.col("times").alias("n"))
-    cut = cut.join(totals, "lang")
+    # A language may have most of the phrases: its total is dealt to several tasks.
+    totals = found.where("words = 0").select("lang", F.col("times").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(_SALTS)).cast("int")).join(totals, ["lang", "salt"])
     whole = {c: F.col(c).cast("decimal(19)") for c in ("a", "l", "r", "n")}
     score = F.expr("(1000 * a * n) div (l * r)")
     cut = cut.select("lang", "phrase", "k", *(v.alias(c) for c, v in whole.items())).withColumn("score", score)
