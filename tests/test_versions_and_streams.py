@@ -200,6 +200,7 @@ def test_sessions_over_time(spark, tmp_path):
             if rng.random() < 0.2:
                 events.append((f"s{s}", at, name))
             at += timedelta(seconds=rng.choice((0.5, 3, 20, 200)))
+    events += [("whole", began + timedelta(seconds=k), name) for k, name in enumerate(STEPS)]
     # Arrival is out of order by up to 25 s, less than the watermark allows.
     arrival = sorted(events, key=lambda e: e[1] + timedelta(seconds=rng.random() * 25))
     end = max(e[1] for e in events) + timedelta(hours=1)
