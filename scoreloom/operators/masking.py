@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,29 +35,34 @@ def correct(c: Column) -> Column:
     return c
 
 
-def _gendered(match: re.Match) -> str:
-    if match[1] in V.LEGAL_TERMS:
-        return match[0]
-    return "某女" if "女" in match[0] else "某男"
+#: Stands around matches, and for itself where a text holds it.
+_MARK, _ESCAPE = "\x01", "\x02"
 
 
-def _mask_gendered(texts: pd.Series) -> pd.Series:
-    return texts.str.replace(V.GENDER_NAME_PATTERN, _gendered, regex=True)
-
-
-def _mask_standalone(texts: pd.Series) -> pd.Series:
-    return texts.str.replace(V.STANDALONE_NAME_PATTERN, lambda m: m[0] if "某" in m[0] or m[0] in KEPT_TOKENS else "某", regex=True)
+def replace_matches(c: Column, pattern: str, decide: Callable[[Column], Column]) -> Column:
+    """``c`` with each match of ``pattern`` replaced by ``decide`` of it. Matches are marked in one pass over the text, which is then cut at the
+    marks: every second piece is a match. Blanks in the pattern are those of all scripts."""
+    safe = F.replace(F.replace(c, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_MARK), F.lit(_ESCAPE + "a"))
+    marked = F.regexp_replace(safe, "(?U)" + pattern.replace(r"\s", r"\s\x1c-\x1f"), _MARK + "$0" + _MARK)
+    pieces = F.transform(F.split(marked, _MARK), lambda p, i: F.when(i % 2 == 0, p).otherwise(decide(p)))
+    joined = F.array_join(pieces, "")
+    return F.replace(F.replace(joined, F.lit(_ESCAPE + "a"), F.lit(_MARK)), F.lit(_ESCAPE + "b"), F.lit(_ESCAPE))
 
 
 def mask_gendered_names(c: Column) -> Column:
     """A name with its gender; terms of law stay."""
-    return F.pandas_udf(_mask_gendered, "string")(c)
+
+    def decide(found: Column) -> Column:
+        name = F.regexp_replace(found, "[,，]?[女男]$", "")
+        return F.when(name.isin(*V.LEGAL_TERMS), found).when(F.contains(found, F.lit("女")), "某女").otherwise("某男")
+
+    return replace_matches(c, V.GENDER_NAME_PATTERN, decide)
 
 
 def mask_standalone_names(c: Column) -> Column:
     """Two to four Han characters before a delimiter, unless masked already or a known term. What is
     kept is consumed as well, so this can't be a look-ahead alone."""
-    return F.pandas_udf(_mask_standalone, "string")(c)
+    return replace_matches(c, V.STANDALONE_NAME_PATTERN, lambda found: F.when(F.contains(found, F.lit("某")) | found.isin(*sorted(KEPT_TOKENS)), found).otherwise("某"))
 
 
 def mask(c: Column) -> Column:

@@ -304,7 +304,8 @@ def w05_first_five(spark, d):
 @query(f"{SC} SELECT model, case_id, q_no, left(moderate, 5) AS part, CAST(row_number() OVER (PARTITION BY model ORDER BY case_id, q_no) AS INTEGER) AS rank FROM sc WHERE {_STALE1}")
 def w06_stale_details(spark, d):
     rows = scored(spark, d).where(stats.mentions_stale_law(1))
-    return ranking.rank(rows, F.col("case_id"), F.col("q_no"), within=["model"]).select("model", "case_id", "q_no", F.left("moderate", F.lit(5)).alias("part"), "rank")
+    flagged = rows.select("model", "case_id", "q_no", F.left("moderate", F.lit(5)).alias("part"))
+    return ranking.numbered_within(flagged, ["model"], F.col("case_id"), F.col("q_no")).withColumn("rank", F.col("rank").cast("int"))
 
 
 @query("SELECT conv_id, arg_min(text, turn) AS first_text FROM conversations GROUP BY conv_id")

@@ -307,7 +307,31 @@ def m04_role_names(spark, d):
     return _texts(spark, d, _NAMES).select("doc_id", masking.mask_role_names(F.col("t")).alias("masked"))
 
 
-#: For the rules that decide by a function of the match; tests compare them with plain Python.
+def _sql_matches(rows: str, name: str, after: str, decided: str) -> str:
+    """SQL that replaces, from left to right, each ``name`` that one of ``after`` or the end follows: takes the first match off the rest, again and
+    again. ``decided`` is what ``m.name`` becomes."""
+    return f"""(WITH RECURSIVE steps AS (
+  SELECT doc_id, '' AS done, t AS rest, true AS more FROM {rows}
+  UNION ALL
+  SELECT doc_id, CASE WHEN m.name <> '' THEN done || m.pre || {decided} ELSE done END AS done, CASE WHEN m.name <> '' THEN m.post ELSE rest END AS rest, m.name <> '' AS more
+  FROM (SELECT *, regexp_extract(rest, '(?s)^(.*?)({name})({after}.*|)$', ['pre', 'name', 'post']) AS m FROM steps WHERE more)
+) SELECT doc_id, done || rest AS t FROM steps WHERE NOT more)"""
+
+
+_QUOTED = lambda words: ", ".join(f"'{w}'" for w in words)
+
+
+def _sql_gendered(rows: str) -> str:
+    decided = f"CASE WHEN regexp_replace(m.name, '[,，]?[女男]$', '') IN ({_QUOTED(V.LEGAL_TERMS)}) THEN m.name WHEN contains(m.name, '女') THEN '某女' ELSE '某男' END"
+    return _sql_matches(rows, "[一-龥]{2,4}[,，]?[女男]", r"[，。；：\s、]", decided)
+
+
+def _sql_standalone(rows: str) -> str:
+    decided = f"CASE WHEN contains(m.name, '某') OR m.name IN ({_QUOTED(sorted(masking.KEPT_TOKENS))}) THEN m.name ELSE '某' END"
+    return _sql_matches(rows, "[一-龥]{2,4}", r"[，。；：\s、与在和为是向等]", decided)
+
+
+#: For the rules that decide by a function of the match.
 CASE_TEXT = "'原告张三' || (n % 3) || '，女，住北京市海淀区中关村路' || n || '号。证人：李四、王五某，审判长赵六。某某甲等认为' || n || '元应予支持。'"
 
 
@@ -315,12 +339,12 @@ def _case_texts(spark, d):
     return _texts(spark, d, CASE_TEXT)
 
 
-@query()
+@query(f"SELECT doc_id, t AS masked FROM {_sql_gendered(_made(CASE_TEXT))}")
 def m05_gendered_names(spark, d):
     return _case_texts(spark, d).select("doc_id", masking.mask_gendered_names(F.col("t")).alias("masked"))
 
 
-@query()
+@query(f"SELECT doc_id, t AS masked FROM {_sql_standalone(_made(CASE_TEXT))}")
 def m06_standalone_names(spark, d):
     return _case_texts(spark, d).select("doc_id", masking.mask_standalone_names(F.col("t")).alias("masked"))
 
@@ -330,7 +354,22 @@ def m07_corrections(spark, d):
     return table(spark, d, "documents").select("doc_id", masking.correct(F.concat(F.lit("原某"), "doc_id", F.lit("被某"))).alias("masked"))
 
 
-@query()
+def _sql_mask(rows: str) -> str:
+    """The cascade as SQL. Places are masked as in M3, names of a role as in M4."""
+    numbers = _sql_rules(_sql_rules("t", V.SENSITIVE_RULES), V.DATE_RULES)
+    places = _sql_rules(_DIGITS_BEFORE_STOP.format(_DIGITS_BEFORE_TIME.format(_sql_rules(numbers, V.LOCATION_RULES[:1]))), V.LOCATION_RULES[2:])
+    gendered = _sql_gendered(f"(SELECT doc_id, {places} AS t FROM {rows})")
+    alone = _sql_standalone(f"(SELECT doc_id, {_sql_rules('t', V.NAME_RULES)} AS t FROM {gendered})")
+    corrected = "t"
+    for wrong, right in V.CORRECTIONS:
+        corrected = f"replace({corrected}, '{wrong}', '{right}')"
+    return f"(SELECT doc_id, {corrected} AS t FROM {alone})"
+
+
+_DECISION = f"(SELECT doc_id, '判决：' || t AS t FROM {_made(CASE_TEXT)})"
+
+
+@query(f"SELECT a.doc_id, a.t AS case_text_masked, b.t AS judge_decision_masked FROM {_sql_mask(_made(CASE_TEXT))} a JOIN {_sql_mask(_DECISION)} b ON a.doc_id = b.doc_id")
 def m08_mask_case(spark, d):
     rows = _case_texts(spark, d).select("doc_id", F.col("t").alias("case_text"), F.concat(F.lit("判决："), "t").alias("judge_decision"))
     return masking.mask_cases(rows).select("doc_id", "case_text_masked", "judge_decision_masked")

@@ -234,3 +234,60 @@ def test_costs_and_merging(spark):
     assert sorted((r["t"], r["v"]) for r in both.where("v is not null").collect()) == [("", 1.0), ("x", 1.0)]
     placed = ranking.rank(a, F.col("model").desc())
     assert placed.where("rank = 1").first()["model"] == "n"
+
+
+def test_running_sums_of_keys_of_any_size(spark, monkeypatch):
+    """One key has a third of the rows; its rows are spread over tasks like all others."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from scoreloom.operators import ranking
+
+    rng = random.Random(5)
+    rows = [(rng.choice(("hot", f"k{rng.randrange(40)}", f"k{rng.randrange(40)}")) if i % 50 else None, rng.randrange(500), i, rng.choice((None, rng.randrange(-9, 9)))) for i in range(6000)]
+    written = []
+    real = ranking.materialise
+    monkeypatch.setattr(ranking, "materialise", lambda df, tag: written.append((tag, real(df, tag))) or written[-1][1])
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = spark.createDataFrame(rows, "key string, at int, id int, v int")
+        got = ranking.running(df, ["key"], [F.col("at"), F.col("id")], {"n": F.lit(1).cast("long"), "s": F.col("v")}, {"most": F.max("v")}).collect()
+        sizes = sorted(r["count"] for r in dict(written)["stretches"].groupBy("__part").count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+    assert len(sizes) > 8 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    wanted = {}
+    for key in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))
+        total = 0
+        for n, r in enumerate(own, 1):
+            total += r[3] or 0
+            wanted[r[2]] = (key, n, total, max((x[3] for x in own if x[3] is not None), default=None))
+    assert {r["id"]: (r["key"], r["n"], r["s"], r["most"]) for r in got} == wanted
+    assert ranking.running(df.limit(0), ["key"], [F.col("id")], {"n": F.lit(1)}).count() == 0
+    places = ranking.numbered_within(df, ["key"], F.col("at").desc(), F.col("id")).where("key = 'hot'").orderBy("rank").collect()
+    assert [r["rank"] for r in places] == list(range(1, len(places) + 1)) and [(-r["at"], r["id"]) for r in places] == sorted((-r["at"], r["id"]) for r in places)
+
+
+def test_matches_are_replaced_without_python(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from scoreloom.functions import fixed_values as V
+    from scoreloom.operators import masking
+
+    texts = ["原告张三，女，", "甲乙丙女丁戊己庚男，", "张三女", "张三女\n", "x\x01张三，男。\x02b\x02a\x01", "", None, "某某男、李四和王五", "证人赵六　", "张三\x1c李四", "甲乙丙丁戊己庚辛壬癸，", "  ", "女，男，"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    masked = df.select("id", masking.mask_gendered_names(F.col("t")).alias("g"), masking.mask_standalone_names(F.col("t")).alias("s"))
+    assert "Python" not in masked._jdf.queryExecution().toString()
+    gendered = lambda m: m[0] if m[1] in V.LEGAL_TERMS else ("某女" if "女" in m[0] else "某男")
+    alone = lambda m: m[0] if "某" in m[0] or m[0] in masking.KEPT_TOKENS else "某"
+    for r in masked.collect():
+        t = texts[r["id"]]
+        assert r["g"] == (t and re.sub(V.GENDER_NAME_PATTERN, gendered, t)), t
+        assert r["s"] == (t and re.sub(V.STANDALONE_NAME_PATTERN, alone, t)), t
