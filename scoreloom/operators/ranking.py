@@ -31,38 +31,39 @@ def rank(df: DataFrame, *order: Column, within: list[str] | None = None, name: s
     return df.withColumn(name, F.row_number().over(window))
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], totals: dict[str, Column] | None = None) -> DataFrame:
-    """Adds, for each of ``sums``, the sum over the rows of the same keys up to and with this one, and for each of ``totals`` an aggregate
-    over all rows of the keys; for keys of any size. The order is total; null keys are keys, null values count 0.
+def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], totals: dict[str, Column] | None = None, lows: dict[str, Column] | None = None) -> DataFrame:
+    """Adds, for each of ``sums``, the sum over the rows of the same keys up to and with this one, for each of ``lows`` the least value there, and
+    for each of ``totals`` an aggregate over all rows of the keys; for keys of any size, or one order of all rows without keys. The
+    order is total; null keys are keys, null values count 0 in sums and are passed over in lows.
 
     A range-partitioned sort by (keys, order) splits a large key over as many tasks as it needs. Each task sums its own stretch of each
     key; what the stretches before it came to is carried in. Only keys that go over a border have such a carry: two rows a border
     at most, so that table is as small as the number of tasks and is broadcast.
     """
-    totals = totals or {}
-    placed = df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id())
-    placed = materialise(placed, "stretches")
-    each = {name: F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in sums.items()}
-    same = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    stretches = placed.groupBy(same.alias("__same"), "__part").agg(*each.values())
-    split = stretches.groupBy("__same").agg(F.sort_array(F.collect_list(F.struct("__part", *sums))).alias("s")).where(F.size("s") > 1)  # stretches of a key, not rows
+    totals, lows = totals or {}, lows or {}
+    placed = materialise(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "stretches")
+    same = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.struct(F.lit(0).alias("k0"))
+    each = [F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in sums.items()] + [F.min(c).alias(name) for name, c in lows.items()]
+    stretches = placed.groupBy(same.alias("__same"), "__part").agg(*each)
+    split = stretches.groupBy("__same").agg(F.sort_array(F.collect_list(F.struct("__part", *sums, *lows))).alias("s")).where(F.size("s") > 1)  # stretches of a key, not rows
+    kinds = {f.name: f.dataType for f in stretches.schema.fields}
+    zeros = {name: F.lit(0).cast(kinds[name]) for name in sums}
 
     def carried(name: str) -> Column:
-        earlier = F.filter("s", lambda x: x["__part"] < F.col("__at"))
-        return F.aggregate(F.transform(earlier, lambda x: x[name]), zeros[name], lambda t, x: t + x)
+        earlier = F.transform(F.filter("s", lambda x: x["__part"] < F.col("__at")), lambda x: x[name])
+        return F.array_min(earlier) if name in lows else F.aggregate(earlier, zeros[name], lambda t, x: t + x)
 
-    kinds = {f.name: f.dataType for f in stretches.schema.fields}
-    zeros = {name: F.lit(0).cast(kinds[name]) for name in sums}
-    before = {name: carried(name) for name in sums}
-    carry = materialise(split.withColumn("__at", F.explode("s.__part")).select("__same", F.col("__at").alias("__part_"), *[c.alias(f"__{n}") for n, c in before.items()]), "carry")
+    carry = split.withColumn("__at", F.explode("s.__part")).select("__same", F.col("__at").alias("__part_"), *[carried(n).alias(f"__{n}") for n in (*sums, *lows)])
+    carry = materialise(carry, "carry")
     window = W.partitionBy("__part", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    own = placed.withColumns({name: F.sum(F.coalesce(c, F.lit(0))).over(window) for name, c in sums.items()})
+    own = placed.withColumns({name: F.sum(F.coalesce(c, F.lit(0))).over(window) for name, c in sums.items()} | {name: F.min(c).over(window) for name, c in lows.items()})
     own = own.join(F.broadcast(carry), F.col("__same").eqNullSafe(same) & (F.col("__part") == F.col("__part_")), "left")
-    own = own.withColumns({name: F.col(name) + F.coalesce(F.col(f"__{name}"), zeros[name]) for name in sums}).drop("__same", "__part", "__part_", *[f"__{n}" for n in sums])
+    whole = {name: F.col(name) + F.coalesce(F.col(f"__{name}"), zeros[name]) for name in sums} | {name: F.least(name, f"__{name}") for name in lows}
+    own = own.withColumns(whole).drop("__same", "__part", "__part_", *[f"__{n}" for n in whole])
     if not totals:
         return own
-    whole = materialise(placed.groupBy(same.alias("__same")).agg(*[c.alias(n) for n, c in totals.items()]), "totals")
-    return own.join(whole, F.col("__same").eqNullSafe(same)).drop("__same")
+    every = materialise(placed.groupBy(same.alias("__same")).agg(*[c.alias(n) for n, c in totals.items()]), "totals")
+    return own.join(every, F.col("__same").eqNullSafe(same)).drop("__same")
 
 
 def numbered_within(df: DataFrame, keys: list[str], *order: Column, name: str = "rank") -> DataFrame:

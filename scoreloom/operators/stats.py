@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import contains_any, null_if_blank, strip
 from scoreloom.functions import fixed_values as V
+from scoreloom.operators.quantiles import exact_quantiles, skyline
+from scoreloom.scratch import materialise
 
 D = ("d1", "d2", "d3", "d4", "d5")
 
@@ -30,31 +35,28 @@ def mentions_stale_law(variant: int = 1) -> Column:
     return contains_any(F.lower(F.concat_ws(" ", *texts)), V.STALE_LAW_V2)
 
 
-#: Distinct scores of a model that its tail can be told from exactly: whole hundredths from 0 to 20 are 2,001.
-BINS = 4096
-
-
 def model_stats(df: DataFrame, by: str = "model", score: str = "total") -> DataFrame:
     """One row a model: n of all rows; mean, p10 and CVaR of the scores there are; stale, error and refusal counts
-    with rates; mean answer length; dimension means. One aggregation: the tail is summed from each score's count, which a
-    histogram holds exactly while there are fewer scores than ``BINS``; more are an error, for which there is ``cvar``."""
-    flagged = df.withColumns({"stale": mentions_stale_law(1), "refused": is_refusal(F.col("answer"))})
-    main = flagged.groupBy(by).agg(
+    with rates; mean answer length; dimension means. Texts are read once, for a narrow table that all else comes from; quantile
+    and tail are exact for any number of scores. A null model is one of its own, without p10 and CVaR."""
+    refused = is_refusal(F.col("answer"))
+    narrow = df.select(
+        by, F.col(score).alias("score"), mentions_stale_law(1).alias("stale"), refused.alias("refused"), F.when(~refused, F.length(strip(F.col("answer")))).alias("length"),
+        *[null_if_blank(F.col(c)).isNotNull().alias(c) for c in ("major", "moderate", "minor")], *D,
+    )
+    narrow = materialise(narrow, "narrow")
+    main = narrow.groupBy(by).agg(
         F.count("*").alias("n"),
-        F.avg(score).alias("mean_score"),
-        F.percentile(score, F.lit(0.1)).alias("p10"),
-        F.histogram_numeric(score, F.lit(BINS)).alias("counts"),
+        F.avg("score").alias("mean_score"),
         F.count_if("stale").alias("stale_count"),
-        *[F.count(null_if_blank(F.col(c))).alias(f"{c}_count") for c in ("major", "moderate", "minor")],
+        *[F.count_if(c).alias(f"{c}_count") for c in ("major", "moderate", "minor")],
         F.count_if("refused").alias("refusal_count"),
-        F.avg(F.when(~F.col("refused"), F.length(strip(F.col("answer"))))).alias("mean_length"),
+        F.avg("length").alias("mean_length"),
         *[F.avg(d).alias(f"{d}_mean") for d in D],
     )
-    tail = F.filter("counts", lambda c: c["x"] <= F.col("p10"))
-    total = lambda value: F.aggregate(F.transform(tail, value), F.lit(0.0), lambda a, b: a + b)
-    full = F.when(F.size("counts") >= BINS, F.raise_error(f"{BINS} scores or more: use cvar").cast("double"))
-    cvar10 = F.coalesce(full, F.try_divide(total(lambda c: c["x"] * c["y"]), total(lambda c: c["y"])), F.col("p10"))
-    return main.withColumns({"stale_rate": F.col("stale_count") / F.col("n"), "refusal_rate": F.col("refusal_count") / F.col("n"), "cvar10": cvar10}).drop("counts")
+    tails = exact_quantiles(narrow, [by], F.col("score"), [0.1]).select(by, F.col("value").alias("p10"), F.col("tail_mean").alias("cvar10"))
+    joined = main.join(tails, by, "left")
+    return joined.withColumns({"stale_rate": F.col("stale_count") / F.col("n"), "refusal_rate": F.col("refusal_count") / F.col("n")})
 
 
 def cvar(df: DataFrame, quantiles: DataFrame, by: str = "model", score: str = "total", q: str = "p10") -> DataFrame:
@@ -103,20 +105,42 @@ def trends(df: DataFrame) -> DataFrame:
     return lines.select(F.inline(rows))
 
 
-def bootstrap_means(df: DataFrame, resamples: int = 4000, by: str = "model", score: str = "total", seed: int = 42) -> DataFrame:
-    """Percentile interval of each group's mean under resampling with replacement. How often each score is drawn follows
-    from how often it occurs, so a group comes down to its distinct scores and their counts, and a resample is one draw
-    from the multinomial distribution over them. The same seed gives the same interval."""
-    counted = df.where(F.col(score).isNotNull()).groupBy(by, score).agg(F.count("*").alias("n"))
+def _weights(seed: int, group: str, value: float, n: int, resamples: int) -> np.ndarray:
+    """How often ``n`` rows of a value are drawn in each resample: independent Poisson counts, the same for a group and value wherever they are drawn."""
+    key = int.from_bytes(hashlib.blake2b(f"{seed}|{group}|{value!r}".encode(), digest_size=16).digest(), "little")
+    return np.random.Generator(np.random.Philox(key=key)).poisson(n, resamples)
 
-    def interval(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(score)
-        x, n = frame[score].to_numpy(float), frame["n"].to_numpy()
-        rng = np.random.default_rng(seed)
-        means = np.concatenate([rng.multinomial(n.sum(), n / n.sum(), min(200, resamples - i)) @ x for i in range(0, resamples, 200)]) / n.sum()
-        return pd.DataFrame({by: frame[by].iloc[:1].to_numpy(), "low": [np.quantile(means, 0.025)], "mean": [(x * n).sum() / n.sum()], "high": [np.quantile(means, 0.975)]})
 
-    return counted.groupBy(by).applyInPandas(interval, f"{by} string, low double, mean double, high double")
+def bootstrap_means(df: DataFrame, resamples: int = 4000, by: str = "model", score: str = "total", seed: int = 42) -> DataFrame:
+    """Percentile interval of each group's mean under resampling with replacement, for groups of any size. Every row counts in a resample as
+    often as a Poisson draw of mean 1 says, so the rows of a score by one of mean their number. Tasks draw for the scores that they
+    have and add up one array of sums and one of counts a group; Spark adds these arrays up, place by place. The same seed
+    gives the same interval, however the rows are dealt. Null scores are left out."""
+    counted = df.where(F.col(score).isNotNull()).groupBy(F.col(by).cast("string").alias("g"), F.col(score).cast("double").alias("x")).agg(F.count("*").alias("n"))
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for f in frames:
+            for g, x, n in zip(f["g"], f["x"], f["n"], strict=True):
+                if g not in totals:
+                    totals[g] = np.zeros(resamples), np.zeros(resamples, np.int64)
+                drawn = _weights(seed, str(g), x, n, resamples)
+                totals[g][0][:] += drawn * x
+                totals[g][1][:] += drawn
+                if len(totals) > 64:
+                    yield from map(rows, totals.items())
+                    totals = {}
+        yield from map(rows, totals.items())
+
+    def rows(item: tuple) -> pd.DataFrame:
+        return pd.DataFrame({"g": item[0], "i": np.arange(resamples, dtype=np.int32), "s": item[1][0], "w": item[1][1]})
+
+    sums = counted.mapInPandas(partial, "g string, i int, s double, w long").groupBy("g", "i").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+    mean = F.round(F.try_divide("s", "w"), 9)  # sums of the same numbers in another order
+    bounds = sums.groupBy("g").agg(F.percentile(mean, F.array(F.lit(0.025), F.lit(0.975))).alias("b"))  # of so many resamples
+    centre = counted.groupBy("g").agg(F.round(F.sum(F.col("x") * F.col("n")) / F.sum("n"), 9).alias("mean"))
+    joined = bounds.join(centre.withColumnRenamed("g", "g_"), F.col("g").eqNullSafe(F.col("g_")))
+    return joined.select(F.col("g").alias(by), F.col("b")[0].alias("low"), "mean", F.col("b")[1].alias("high"))
 
 
 def bootstrap_exact(df: DataFrame, resamples: int = 5000, seed: int = 42, by: str = "model", score: str = "total") -> DataFrame:
@@ -168,11 +192,6 @@ def reliability_gate(stats: DataFrame, threshold: float = 0.01) -> DataFrame:
 
 
 def pareto(stats: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Mean, stale rate and tokens of each model, and whether another is as good in all and better in one. The
-    comparison is among models, one row each."""
+    """Mean, stale rate and tokens of each model, and whether another is as good in mean and stale rate and better in one."""
     points = stats.join(tokens, "model", "left").select("model", "mean_score", "stale_rate", "avg_total")
-    other = points.select(*[F.col(c).alias(f"o_{c}") for c in points.columns])
-    as_good = (F.col("o_mean_score") >= F.col("mean_score")) & (F.col("o_stale_rate") <= F.col("stale_rate"))
-    better = (F.col("o_mean_score") > F.col("mean_score")) | (F.col("o_stale_rate") < F.col("stale_rate"))
-    beaten = points.join(other, as_good & better & (F.col("model") != F.col("o_model")), "left_semi").select("model", F.lit(True).alias("dominated"))
-    return points.join(beaten, "model", "left").withColumn("dominated", F.coalesce("dominated", F.lit(False)))
+    return skyline(materialise(points, "points"), "mean_score", "stale_rate")

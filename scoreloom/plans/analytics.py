@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoreloom.functions import fixed_values as V
-from scoreloom.operators import costs, merging, ranking, reporting, stats
+from scoreloom.operators import costs, merging, quantiles, ranking, reporting, stats
 from scoreloom.plans.fixture import FX, PAIRS, SC, evaluations, pairs, scored
 from scoreloom.plans.registry import query, table
 from scoreloom.scratch import new_path
@@ -69,7 +69,7 @@ def a03_model_stats(spark, d):
 
 @query(f"{_MS} SELECT model, round(p10, 6) AS p10 FROM ms")
 def a04_p10(spark, d):
-    return scored(spark, d).groupBy("model").agg(r6(F.percentile("total", F.lit(0.1))).alias("p10"))
+    return quantiles.exact_quantiles(scored(spark, d), ["model"], F.col("total"), [0.1]).select("model", r6(F.col("value")).alias("p10"))
 
 
 @query(f"{_MS} SELECT model, round(p10, 6) AS p10, round(cvar10, 6) AS cvar10 FROM ms")
@@ -258,7 +258,8 @@ def a34_histogram(spark, d):
 
 @query(f"{SC} SELECT model, {_q('total', 0.25)} AS q1, {_q('total', 0.5)} AS q2, {_q('total', 0.75)} AS q3 FROM sc GROUP BY model")
 def a34_quartiles(spark, d):
-    return scored(spark, d).groupBy("model").agg(*[r6(F.percentile("total", F.lit(p))).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
+    found = quantiles.exact_quantiles(scored(spark, d), ["model"], F.col("total"), [0.25, 0.5, 0.75])
+    return found.groupBy("model").agg(*[r6(F.max(F.when(F.col("q") == p, F.col("value")))).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
 
 
 @query(f"{SC} " + " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, round(regr_slope({y}, {x}), 6) AS slope, round(regr_intercept({y}, {x}), 6) AS intercept FROM sc" for x in D for y in D if x != y))
