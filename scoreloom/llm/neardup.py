@@ -12,7 +12,8 @@ component against all members whose sets are near enough in size, in blocks. A b
 with a pair that may be similar, is not linked yet, and shares no earlier band, bring their texts to it. It
 gives out confirmed links, at most one for each row and component.
 
-Rows with equal sets are one class, and all work is done on classes. Classes of one doc_id are linked, whatever their texts.
+Rows with equal sets are one class, and all work is done on classes. Classes of one doc_id are linked, whatever their texts, where
+documents are told apart by doc_id; where one row of each group is kept, texts alone count.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from scoreloom.llm import text as tx
 from scoreloom.llm.components import connected_components
@@ -129,13 +131,14 @@ def _sign(k: int):
     return run
 
 
-def _named(k: int):
+def _named(k: int, as_names: list[str] | None = None):
     """Adds the names of the texts' sets."""
+    as_names = as_names or KEY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s for _, part in tx.shingle_sets(batch.column("text"), k) for s in part]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), *_name_columns([set_name(s) for s in sets])], names=[*batch.schema.names, *KEY])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), *_name_columns([set_name(s) for s in sets])], names=[*batch.schema.names, *as_names])
 
     return run
 
@@ -302,17 +305,8 @@ def _blocks(members: DataFrame, named: DataFrame, reps: DataFrame, percent: int)
     return materialise(queries.unionByName(others).groupBy(*_BLOCK).applyInArrow(_block_rows(percent), _WANTED), "block-rows")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text, ...)``.
-
-    Two documents are linked when ``100 * intersection >= percent * union`` of their distinct ``k``-word
-    shingles. ``component_id`` is the smallest doc_id reachable over links.
-
-    Null and blank texts have the empty set and link with nothing. Texts under ``k`` words are one shingle. Very long
-    texts are read whole. Rows that repeat a doc_id are linked, whatever their texts, unless blank. A null doc_id links with
-    nothing and is kept, with a null component. Ties: none, the smallest doc_id stands. An empty table gives an empty
-    result. Other columns are ignored, whatever their names.
-    """
+def _grouped(docs: DataFrame, k: int, percent: int, shared_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """The documents' signatures, and each class with its component and the smallest doc_id that has it (``owner``)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(map_batches(base.withColumn("row", F.monotonically_increasing_id()), _sign(k), _SIGNED), "signed")
     filled = signed.where("n_shingles > 0 and doc_id is not null")
@@ -326,7 +320,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     likely = materialise(estimated, "likely")
     texts = _texts(base, classes, likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), k)
     links = map_batches(_beside(likely, texts, "text", "ta", "tb"), _verify(k, percent), "a long, b long")
-    links = materialise(links.unionByName(_shared_ids(filled, classes)), "confirmed")
+    links = materialise(links.unionByName(_shared_ids(filled, classes)) if shared_ids else links, "confirmed")
     found = materialise(connected_components(links), "components")
 
     blocks = _blocks(members, found.select(F.col("id").alias("rep"), "component"), reps, percent)
@@ -336,7 +330,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         found = materialise(connected_components(links.unionByName(more)), "components")
 
     labelled = classes.select(*KEY, "rep", "owner").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
+    return signed, labelled.withColumn("component", F.coalesce("component", "rep"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text, ...)``.
+
+    Two documents are linked when ``100 * intersection >= percent * union`` of their distinct ``k``-word
+    shingles. ``component_id`` is the smallest doc_id reachable over links.
+
+    Null and blank texts have the empty set and link with nothing. Texts under ``k`` words are one shingle. Very long
+    texts are read whole. Rows that repeat a doc_id are linked, whatever their texts, unless blank: a blank row is a document
+    without words and its own component, whatever other rows of its doc_id come to. A null doc_id links with
+    nothing and is kept, with a null component. Ties: none, the smallest doc_id stands. An empty table gives an empty
+    result. Other columns are ignored, whatever their names.
+    """
+    signed, labelled = _grouped(docs, k, percent, shared_ids=True)
     least = labelled.groupBy("component").agg(F.min("owner").alias("component_id"))
     labelled = materialise(labelled.join(least, "component").select(*KEY, "component_id"), "named-classes")
     result = signed.select("doc_id", *KEY).join(labelled, KEY, "left")
@@ -345,18 +354,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group of near duplicates, with all their columns.
+    """One row of each group of near duplicates, with all its columns: of the smallest doc_id in the group, and of several rows of that
+    doc_id the first by a hash of the whole row, among those with the least set by name.
 
-    Null doc_ids stay. Of rows that repeat a doc_id which stays one is left, the first by a hash of the whole row. Blank texts
-    are near nothing and stay; very long ones are read whole. An empty table gives an empty result. Other columns may
-    have any names.
+    What counts is the text of each row: rows that share a doc_id and have unlike texts are judged apart, and may all stay. Null
+    doc_ids stay. Blank texts are near nothing and all stay, repeated or not; very long ones are read whole. An empty table
+    gives an empty result. Other columns may have any names.
     """
-    verdicts = materialise(near_duplicates(docs, k, percent).select("doc_id", "kept"), "verdicts")
-    ids = verdicts.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept"))
-    ids = materialise(ids.where("n > 1 or not kept"), "not-once")
-    left = drop_matching(docs, "doc_id", ids.where("not kept").select("doc_id"), "doc_id")
-    maybe, once = split(left, "doc_id", key_bitmap(ids.where("kept"), "doc_id"))
-    key, row = fresh(docs, "key", "row")
+    signed, labelled = _grouped(docs, k, percent, shared_ids=False)
+    first = F.min(F.struct("owner", *KEY)).alias("first")
+    chosen = labelled.groupBy("component").agg(first).select(F.col("first.owner").alias("doc_id"), *[F.col(f"first.{c}").alias(c) for c in KEY])
+    chosen = materialise(chosen.withColumn("stays", F.lit(True)), "chosen")  # written, so that the join can split what many rows have
+    rows = signed.where("doc_id is not null").select("doc_id", *KEY)
+    rows = rows.join(chosen, ["doc_id", *KEY], "left").withColumn("stays", F.coalesce("stays", F.col("n_shingles") == 0))
+    verdicts = materialise(rows, "verdicts")
+    ids = verdicts.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("stays").alias("any"))
+    ids = materialise(ids.where("n > 1 or not any"), "not-once")
+    left = drop_matching(docs, "doc_id", ids.where("not any").select("doc_id"), "doc_id")
+    bitmap = key_bitmap(ids.where("any"), "doc_id")  # doc_ids with several rows, of which some stay
+    maybe, once = split(left, "doc_id", bitmap)
+    size, *names = fresh(docs, *KEY)
+    schema = StructType([*maybe.schema.fields, *(StructField(c, LongType()) for c in (size, *names))])
+    named = map_batches(maybe, _named(k, [size, *names]), schema)
+    stays, _ = split(verdicts.where("stays and n_shingles > 0").select("doc_id", *KEY).distinct(), "doc_id", bitmap)
+    doc, *theirs = fresh(named, "doc", *KEY)
+    stays = materialise(stays.select(F.col("doc_id").alias(doc), *[F.col(c).alias(t) for c, t in zip(KEY, theirs, strict=True)]), "stays")
+    same = F.col("doc_id").cast("long") == F.col(doc)
+    for mine, other in zip((size, *names), theirs, strict=True):
+        same = same & (F.col(mine) == F.col(other))
+    (row,) = fresh(docs, "row")
     whole = F.struct(*docs.columns)
-    one = maybe.groupBy(F.col("doc_id").alias(key)).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(row)).select(f"{row}.*")
-    return once.unionByName(one)
+    solid = named.where(F.col(size) > 0).join(stays, same).groupBy(doc, *theirs).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(row)).select(f"{row}.*")
+    return once.unionByName(named.where(F.col(size) == 0).select(*docs.columns)).unionByName(solid)

@@ -7,9 +7,9 @@ so that a pair, such as an insult together with a group mention, can count for m
 model is fitted on a bounded sample of the labelled rows (``max_positive`` and ``max_negative`` rows) and its output is
 calibrated on rows held back from it, both labels weighing alike.
 
-Spark counts the sample's cells by label. The driver sees one count a cell and chooses the ``MAX_TERMS`` that tell most
-by themselves and the ``MAX_COMMON`` that most rows have. Among the latter it looks for pairs that tell more together
-than apart, whatever each tells by itself, and the members of the ``MAX_PAIRS`` strongest ones join the model.
+Spark counts the sample's cells by label. The driver sees one count a cell and chooses all that tell something
+by themselves, and the ``PAIRED`` that most sampled rows have. Among the latter it looks for pairs that tell more together
+than apart, whatever each tells by itself, and the members of all such pairs join the model.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ from scoreloom.llm.storage import map_batches, materialise
 HASH_BITS = 18
 PREFIXES = (4, 6, 8)
 FACTORS = 4
-MAX_TERMS = 512
-#: Cells whose pairs are looked at, the pairs that may be chosen, and the deviations from their members that they need.
-MAX_COMMON, MAX_PAIRS, LEAST_DEVIATION = 512, 64, 6.0
+#: Deviations of its log odds from the mean that a cell needs, and of a pair from its members.
+STRENGTH, LEAST_DEVIATION = 2.5, 6.0
+#: Cells of the sample whose pairs are looked at: their counts by pairs are a matrix on the driver.
+PAIRED = 2048
 #: Times from which on a term is frequent in its text.
 OFTEN = 3
 #: Rows that a cell must be in to be one of them.
@@ -128,42 +129,44 @@ def _flat(cells: list[np.ndarray], slot: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def strongest(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
-    """At most ``MAX_TERMS`` places in the counts, by how far their log odds are from the mean, in deviations."""
+    """Places in the counts whose log odds are ``STRENGTH`` deviations from the mean."""
     odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
     error = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5) + 1 / (n_pos - pos + 0.5) + 1 / (n_neg - neg + 0.5))
     strength = np.where(pos + neg >= LEAST_ROWS, np.abs(odds) / error, 0.0)
-    chosen = np.argsort(-strength, kind="stable")[:MAX_TERMS]
-    return chosen[strength[chosen] > 2.5]
+    return np.flatnonzero(strength > STRENGTH)
 
 
 def common(pos: np.ndarray, neg: np.ndarray, n_rows: float) -> np.ndarray:
-    """Places of the ``MAX_COMMON`` cells that most rows have, of those that one row in ten lacks."""
+    """Places of the ``PAIRED`` cells that most rows have, of those that one row in ten lacks."""
     n = pos + neg
     places = np.flatnonzero((n >= LEAST_ROWS) & (10 * n <= 9 * n_rows))
-    return places[np.argsort(-n[places], kind="stable")[:MAX_COMMON]]
+    return places[np.argsort(-n[places], kind="stable")[:PAIRED]]
 
 
 def telling_pairs(cells: list[np.ndarray], labels: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Members of the ``MAX_PAIRS`` pairs of cells ``among`` which are toxic more or less often than their members'
+    """Members of all pairs of cells ``among`` which are toxic more or less often than their members'
     odds, added, would have it."""
     slot = np.full(1 << HASH_BITS, -1, np.int32)
     slot[among] = np.arange(len(among))
-    both, toxic = np.zeros((2, len(among), len(among)), np.float32)
-    for i in range(0, len(cells), 1024):
-        slots, row = _flat(cells[i : i + 1024], slot)
-        has = np.zeros((len(cells[i : i + 1024]), len(among)), np.float32)
-        has[row, slots] = 1
-        both += has.T @ has
-        toxic += (has * labels[i : i + 1024, None].astype(np.float32)).T @ has
+    slots, row = _flat(cells, slot)
     logit = lambda p, n: np.log((p + 0.5) / (n - p + 0.5))
     base = logit(labels.sum(), len(labels))
-    own = logit(np.diag(toxic), np.diag(both)) - base
-    share = sigmoid(base + own[:, None] + own[None, :])
-    off = np.abs(toxic - both * share) / np.sqrt(np.maximum(both * share * (1 - share), 0.5))
-    off[(both < 4 * LEAST_ROWS) | np.tri(len(among), dtype=bool)] = 0
-    best = np.argsort(-off, axis=None, kind="stable")[:MAX_PAIRS]
-    best = best[off.ravel()[best] >= LEAST_DEVIATION]
-    return among[np.unique(np.concatenate(np.unravel_index(best, off.shape)))] if len(best) else among[:0]
+    own = (logit(np.bincount(slots, labels[row], len(among)), np.bincount(slots, minlength=len(among))) - base).astype(np.float32)
+    found = [among[:0]]
+    for c in range(0, len(among), 256):  # a band of the matrix at a time
+        both, toxic = np.zeros((2, len(among[c : c + 256]), len(among)), np.float32)
+        for i in range(0, len(cells), 1024):
+            lo, hi = np.searchsorted(row, (i, i + 1024))
+            has = np.zeros((len(cells[i : i + 1024]), len(among)), np.float32)
+            has[row[lo:hi] - i, slots[lo:hi]] = 1
+            both += has[:, c : c + 256].T @ has
+            toxic += (has[:, c : c + 256] * labels[i : i + 1024, None].astype(np.float32)).T @ has
+        share = sigmoid(np.float32(base) + own[c : c + 256, None] + own[None, :])
+        off = np.abs(toxic - both * share) / np.sqrt(np.maximum(both * share * (1 - share), 0.5))
+        off[(both < 4 * LEAST_ROWS) | (np.arange(len(among))[None, :] <= np.arange(c, c + len(both))[:, None])] = 0
+        one, other = np.nonzero(off >= LEAST_DEVIATION)
+        found += [among[one + c], among[other]]
+    return np.unique(np.concatenate(found))
 
 
 def choose(cells: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
@@ -244,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     frequent = cells[common(pos, n - pos, total["n"])]
     wanted = np.unique(np.concatenate([single, frequent, _LENGTHS]))
     listed = F.split(F.lit(",".join(map(str, wanted))), ",").cast("array<int>")
-    # The sampled rows, with MAX_TERMS + MAX_COMMON cells at most.
+    # The sampled rows, with the wanted cells only.
     found = rows.select("toxic", "back", F.array_intersect("cells", listed).alias("cells")).orderBy(F.xxhash64("id"), "id").toPandas()
     own, toxic, back = [np.asarray(c, np.int64) for c in found["cells"]], found["toxic"].to_numpy(), found["back"].to_numpy(bool)
     pairs = telling_pairs([c for c, held in zip(own, back, strict=True) if not held], toxic[~back], frequent) if len(frequent) else frequent

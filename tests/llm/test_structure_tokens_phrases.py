@@ -343,3 +343,49 @@ def test_phrase_edges(spark):
     assert phrases.collocations(phrase_table(spark, [("en", None), (None, "")])).count() == 0
     with pytest.raises(ValueError, match="words"):
         phrases.collocations(phrase_table(spark, [("en", "a b")]), longest=6)
+
+
+# 2 near duplicates, judged by row
+
+
+def brute_keep_one(pairs, k, percent):
+    """Rows that stay, as lists of the rows that are as good as one another."""
+    sets = []
+    for _, text in pairs:
+        w = (text or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset({tuple(w)} if w else ()))
+    groups = {s: {s} for (d, _), s in zip(pairs, sets, strict=True) if s and d is not None}
+    for a, b in itertools.combinations(list(groups), 2):
+        if groups[a] is not groups[b] and 100 * len(a & b) >= percent * len(a | b):
+            groups[a] |= groups[b]
+            for s in groups[a]:
+                groups[s] = groups[a]
+    out = [[i] for i, ((d, _), s) in enumerate(zip(pairs, sets, strict=True)) if d is None or not s]
+    for g in {id(g): g for g in groups.values()}.values():
+        rows = [i for i, ((d, _), s) in enumerate(zip(pairs, sets, strict=True)) if d is not None and s in g]
+        least = min(pairs[i][0] for i in rows)
+        out.append([i for i in rows if pairs[i][0] == least])
+    return out
+
+
+def test_one_row_of_each_group_stays_and_no_unlike_text_goes(spark):
+    from scoreloom.llm import neardup
+
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    a, b, c = words(80), words(80), words(80)
+    pairs = [(3, a), (5, f"{a} more"), (5, " "), (5, b), (7, "a b c"), (7, None), (7, "a b c"), (9, c), (9, f"{c} x"), (9, c.upper()), (11, c), (None, a), (None, None), (4, b), (4, f"{b} y"), (20, ""), (20, ""), (21, "A b c"), (22, words(5000))]
+    base = [words(60) for _ in range(15)]
+    for _ in range(120):
+        text = rng.choice(base).split()
+        for _ in range(rng.randrange(3)):
+            text[rng.randrange(60)] = "changed"
+        pairs.append((rng.randrange(30, 70), rng.choice((" ".join(text), None, "", words(50)))))
+    df = spark.createDataFrame([(d, t, i, "x", "y") for i, (d, t) in enumerate(pairs)], "doc_id long, text string, key_a int, n_shingles string, stays string")
+    kept = neardup.keep_one(df, k=5, percent=80)
+    assert kept.columns == df.columns
+    found = sorted(r["key_a"] for r in kept.collect())
+    wanted = brute_keep_one(pairs, 5, 80)
+    assert len(found) == len(set(found)) == len(wanted)
+    assert all(sum(i in found for i in rows) == 1 for rows in wanted)
+    assert {2, 3, 5} - {3} <= set(found) and neardup.keep_one(df.limit(0)).count() == 0
