@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import uuid
-from urllib.parse import unquote, urlparse
 
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -15,7 +14,7 @@ def store(uri: str) -> tuple[fs.FileSystem, str]:
     if "://" not in uri and not uri.startswith("file:"):
         return fs.LocalFileSystem(), uri
     if uri.startswith("file:"):
-        return fs.LocalFileSystem(), unquote(urlparse(uri).path)
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 

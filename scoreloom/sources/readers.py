@@ -15,25 +15,21 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import strip
 from scoreloom.operators.ranking import numbered
+from scoreloom.sources.compound import doc_text, is_compound
+from scoreloom.sources.jsonmap import read_json_map
 
 CASE = "struct<id:string,title:string,case_text:string,judge_decision:string,case_date:string,created_at:string,metadata:map<string,string>>"
 PREPARED = "struct<case_title:string,masked_title:string,masked_content:string,masked_judge:string,questions:array<string>>"
 
 
-def json_map(spark: SparkSession, path: str, value: str, key: str = "case_id") -> DataFrame:
-    """A JSON file that is one map from id to record, as rows; a corrupt file has none."""
-    whole = spark.read.text(path, wholetext=True)
-    parsed = F.from_json("value", f"map<string,{value}>", {"mode": "PERMISSIVE"})
-    return whole.select(F.explode(parsed).alias(key, "r")).select(key, "r.*")
-
-
 def case_store(spark: SparkSession, path: str) -> DataFrame:
-    return json_map(spark, path, CASE).drop("id")
+    """Cases of JSON maps of any size, by id."""
+    return read_json_map(spark, path, CASE).drop("id")
 
 
 def prepared_cases(spark: SparkSession, path: str) -> DataFrame:
     """Prepared cases with a row for each question."""
-    rows = json_map(spark, path, PREPARED)
+    rows = read_json_map(spark, path, PREPARED)
     return rows.select("case_id", "case_title", "masked_title", "masked_content", "masked_judge", F.posexplode_outer("questions").alias("p", "question")).withColumn("q_no", F.col("p") + 1).drop("p")
 
 
@@ -164,14 +160,14 @@ def decode_document(content: bytes, least: int = 100) -> str | None:
 
 
 def document_folder(spark: SparkSession, pattern: str, limit: int | None = None) -> DataFrame:
-    """``(path, content)`` of .docx and other text files; content is null where a file can't be read."""
+    """``(path, content)`` of .docx, binary .doc and other text files; content is null where a file can't be read."""
     files = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").load(pattern).select("path", F.col("content").alias("raw"))
     if limit is not None:
         files = files.orderBy("path").limit(limit)
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            content = [docx_text(raw) if path.lower().endswith(".docx") else decode_document(raw) for path, raw in zip(f["path"], f["raw"], strict=True)]
+            content = [docx_text(raw) if path.lower().endswith(".docx") else doc_text(raw) if is_compound(raw) else decode_document(raw) for path, raw in zip(f["path"], f["raw"], strict=True)]
             yield pd.DataFrame({"path": f["path"], "content": content})
 
     return files.mapInPandas(decode, "path string, content string")
