@@ -54,7 +54,6 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
         return F.array_min(earlier) if name in lows else F.aggregate(earlier, zeros[name], lambda t, x: t + x)
 
     carry = split.withColumn("__at", F.explode("s.__part")).select("__same", F.col("__at").alias("__part_"), *[carried(n).alias(f"__{n}") for n in (*sums, *lows)])
-    carry = materialise(carry, "carry")
     window = W.partitionBy("__part", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     own = placed.withColumns({name: F.sum(F.coalesce(c, F.lit(0))).over(window) for name, c in sums.items()} | {name: F.min(c).over(window) for name, c in lows.items()})
     own = own.join(F.broadcast(carry), F.col("__same").eqNullSafe(same) & (F.col("__part") == F.col("__part_")), "left")

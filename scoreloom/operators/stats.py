@@ -54,7 +54,7 @@ def model_stats(df: DataFrame, by: str = "model", score: str = "total") -> DataF
         F.avg("length").alias("mean_length"),
         *[F.avg(d).alias(f"{d}_mean") for d in D],
     )
-    tails = exact_quantiles(narrow, [by], F.col("score"), [0.1]).select(by, F.col("value").alias("p10"), F.col("tail_mean").alias("cvar10"))
+    tails = exact_quantiles(narrow, [by], F.col("score"), [0.1], written=True).select(by, F.col("value").alias("p10"), F.col("tail_mean").alias("cvar10"))
     joined = main.join(tails, by, "left")
     return joined.withColumns({"stale_rate": F.col("stale_count") / F.col("n"), "refusal_rate": F.col("refusal_count") / F.col("n")})
 

@@ -51,11 +51,10 @@ def e05_severity_split(spark, d):
     return evaluations(spark, d).select(*KEYS, *[rubric.severity_text(section, s).alias(n) for n, s in (("minor", V.MINOR), ("moderate", V.MODERATE), ("major", V.MAJOR))])
 
 
-@query("""WITH t AS (SELECT doc_id, repeat('问题描述足够长的这一项；', CAST(doc_id % 30 AS INTEGER)) || '短' AS part FROM documents)
-SELECT doc_id, CAST(CASE WHEN length(part) < 200 THEN 1 ELSE doc_id % 30 END AS BIGINT) AS n_items FROM t""")
+@query(r"""SELECT doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 WHEN length(text) < 200 THEN 1
+ELSE len(list_filter(string_split_regex(text, '[。；;]'), lambda x: length(regexp_replace(x, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')) > 10)) END AS BIGINT) AS n_items FROM documents""")
 def e06_itemise(spark, d):
-    part = F.concat(F.repeat(F.lit("问题描述足够长的这一项；"), (F.col("doc_id") % 30).cast("int")), F.lit("短"))
-    return table(spark, d, "documents").select("doc_id", F.size(rubric.flag_items(part, V.MINOR)).cast("long").alias("n_items"))
+    return table(spark, d, "documents").select("doc_id", F.size(rubric.flag_items(F.col("text"), V.MINOR)).cast("long").alias("n_items"))
 
 
 @query(f"{SC} SELECT model, case_id, q_no, CAST(k AS BIGINT) AS kept, CAST(c1 * k AS BIGINT) AS left1 FROM kept")
@@ -113,13 +112,14 @@ def v01_run_similarity(spark, d):
     return pairs(spark, d).select("doc_id", common.alias("common"), R6(similarity.run_similarity(a, b, RUN)).alias("similarity"))
 
 
-_HAN_TEXT = "'本院认定事实清楚，' || CASE WHEN n % 2 = 0 THEN '判决驳回上诉，维持原判。' ELSE '支持原告请求，' END || CASE WHEN n % 3 = 0 THEN '依据《民法典》第' || (n % 40) || '条，' ELSE '' END || '法院确认责任。'"
+#: The document's whole text stands inside a phrase and inside a citation.
+_HAN_TEXT = "'本院认定事实清楚，' || CASE WHEN n % 2 = 0 THEN '判决驳回上诉' || t || '，维持原判。' ELSE '支持原告请求' || t || '，' END || CASE WHEN n % 3 = 0 THEN '依据《民法典》第' || (n % 40) || '条，' ELSE '' END || '法院确认责任' || t || '。'"
 _HAN_REF = "'判决' || CASE WHEN n % 5 < 2 THEN '驳回上诉' ELSE '支持原告请求' END || '。' || CASE WHEN n % 4 = 0 THEN '《民法典》第' || (n % 20) || '条' ELSE '' END || chr(10) || '责任明确'"
-_HAN = f"WITH h AS (SELECT doc_id, {_HAN_TEXT} AS a, {_HAN_REF} AS b FROM (SELECT doc_id, n_chars AS n FROM documents))"
+_HAN = f"WITH h AS (SELECT doc_id, {_HAN_TEXT} AS a, {_HAN_REF} AS b FROM (SELECT doc_id, n_chars AS n, coalesce(text, '') AS t FROM documents))"
 
 
 def _han(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("n"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("n"), F.coalesce("text", F.lit("")).alias("t"))
     return docs.selectExpr("doc_id", f"{_HAN_TEXT} AS a", f"{_HAN_REF} AS b")
 
 
@@ -182,13 +182,14 @@ def v07_metric_bundle(spark, d):
 
 # Questions and replies.
 
-_Q_LINES = "'1. 是否构成' || doc_id || '？' || chr(10) || '  ' || chr(10) || '2、' || n_chars || '元是否支持' || chr(10) || '根据第3.2条、第4条是否适用？'"
+_STRIP = r"regexp_replace({0}, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g')"
+_BARE = _STRIP.format("regexp_replace(regexp_replace(x, '(?s)^[^.]*\\.', ''), '(?s)^[^、]*、', '')")
 
 
-@query(f"SELECT doc_id, CAST(k AS INTEGER) AS q_no, CASE k WHEN 1 THEN '是否构成' || doc_id || '？' WHEN 2 THEN n_chars || '元是否支持' ELSE '第4条是否适用？' END AS question FROM documents, range(1, 4) r(k)")
+@query(f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')[1:5] AS lines FROM documents)
+SELECT doc_id, CAST(k AS INTEGER) AS q_no, {_BARE.replace('(x,', '(lines[k],')} AS question FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM l)""")
 def q01_parse_questions(spark, d):
-    rows = table(spark, d, "documents").selectExpr("doc_id", f"{_Q_LINES} AS lines".replace("doc_id ||", "doc_id ||"))
-    return questions.question_rows(rows, "lines", ["doc_id"])
+    return questions.question_rows(table(spark, d, "documents"), "text", ["doc_id"])
 
 
 @query(f"{PAIRS} SELECT doc_id, contains(a, b) AS verbatim FROM p")
@@ -349,9 +350,9 @@ def m06_standalone_names(spark, d):
     return _case_texts(spark, d).select("doc_id", masking.mask_standalone_names(F.col("t")).alias("masked"))
 
 
-@query("SELECT doc_id, replace(replace('原某' || doc_id || '被某', '原某', '原告'), '被某', '被告') AS masked FROM documents")
+@query("SELECT doc_id, replace(replace('原某' || doc_id || coalesce(text, '') || '被某', '原某', '原告'), '被某', '被告') AS masked FROM documents")
 def m07_corrections(spark, d):
-    return table(spark, d, "documents").select("doc_id", masking.correct(F.concat(F.lit("原某"), "doc_id", F.lit("被某"))).alias("masked"))
+    return table(spark, d, "documents").select("doc_id", masking.correct(F.concat(F.lit("原某"), "doc_id", F.coalesce("text", F.lit("")), F.lit("被某"))).alias("masked"))
 
 
 def _sql_mask(rows: str) -> str:
@@ -375,9 +376,9 @@ def m08_mask_case(spark, d):
     return masking.mask_cases(rows).select("doc_id", "case_text_masked", "judge_decision_masked")
 
 
-@query("SELECT doc_id, 'x' || doc_id AS cleaned FROM documents")
+@query(r"SELECT doc_id, regexp_replace('x' || doc_id || coalesce(text, ''), '\s+$', '') AS cleaned FROM documents")
 def m09_clean_reply(spark, d):
-    said = F.concat(F.lit("好的。脱敏后的文本：\n x"), "doc_id", F.lit(" \n原始文本：y"))
+    said = F.concat(F.lit("好的。脱敏后的文本：\n x"), "doc_id", F.coalesce("text", F.lit("")), F.lit(" \n原始文本：y"))
     return table(spark, d, "documents").select("doc_id", F.regexp_replace(masking.clean_reply(said), r"^\s+|\s+$", "").alias("cleaned"))
 
 
@@ -406,33 +407,36 @@ def p01_clean_pages_builtin(spark, d):
     return table(spark, d, "pages").select("page_id", documents.clean_text(F.col("html")).alias("text"))
 
 
-_DOC = "'案情' || n || '。' || CASE WHEN n % 4 = 1 THEN '' WHEN n % 4 = 2 THEN '本院经审查认为，理由甲' ELSE '本院认为：理由乙' END || CASE WHEN n % 3 = 0 THEN '' ELSE '。判决如下：驳回' || n END || CASE WHEN n % 2 = 0 THEN '。本判决为终审判决。' ELSE '审判长某' END || '二〇二' || '一年十' || CASE WHEN n % 5 = 0 THEN '二' ELSE '' END || '月二十三日'"
-_PARTS = """SELECT doc_id, n, n % 4 <> 1 AS has_r, n % 3 <> 0 AS has_d, CASE WHEN n % 4 = 2 THEN '本院经审查认为，理由甲' ELSE '本院认为：理由乙' END AS r, '驳回' || n || CASE WHEN n % 2 = 0 THEN '。' ELSE '' END AS dec FROM (SELECT doc_id, n_chars AS n FROM documents)"""
+#: The document's whole text stands among the facts and in the reasoning.
+_DOC = "'案情' || n || '。' || t || chr(10) || CASE WHEN n % 4 = 1 THEN '' WHEN n % 4 = 2 THEN '本院经审查认为，' || t || '理由甲' ELSE '本院认为：' || t || '理由乙' END || CASE WHEN n % 3 = 0 THEN '' ELSE '。判决如下：驳回' || n END || CASE WHEN n % 2 = 0 THEN '。本判决为终审判决。' ELSE '审判长某' END || '二〇二' || '一年十' || CASE WHEN n % 5 = 0 THEN '二' ELSE '' END || '月二十三日'"
+_PARTS = """SELECT doc_id, n, n % 4 <> 1 AS has_r, n % 3 <> 0 AS has_d, t, CASE WHEN n % 4 = 2 THEN '本院经审查认为，' || t || '理由甲' ELSE '本院认为：' || t || '理由乙' END AS r, '驳回' || n || CASE WHEN n % 2 = 0 THEN '。' ELSE '' END AS dec FROM (SELECT doc_id, n_chars AS n, coalesce(text, '') AS t FROM documents)"""
+
+
+def _contents(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("n"), F.coalesce("text", F.lit("")).alias("t"))
+    return docs.selectExpr("doc_id", f"{_DOC} AS content")
 
 
 @query(f"""WITH x AS ({_PARTS}), y AS (SELECT doc_id, n, has_r, has_d, r || CASE WHEN has_d THEN '。判决如下：驳回' || n ELSE '' END || CASE WHEN n % 2 = 0 THEN '。' ELSE '' END AS reasoning, dec FROM x)
 SELECT doc_id, CASE WHEN has_r THEN reasoning END AS reasoning, CASE WHEN has_d THEN dec END AS decision_part,
 CASE WHEN has_r AND has_d THEN reasoning || chr(10) || chr(10) || dec WHEN has_r THEN reasoning WHEN has_d THEN dec ELSE '' END AS judge_decision FROM y""")
 def p02_p06_split(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("n")).selectExpr("doc_id", f"{_DOC} AS content")
-    return documents.split_document(rows).select("doc_id", "reasoning", "decision_part", "judge_decision")
+    return documents.split_document(_contents(spark, d)).select("doc_id", "reasoning", "decision_part", "judge_decision")
 
 
-@query(f"""WITH x AS ({_PARTS}) SELECT doc_id, '案情' || n || '。' || CASE WHEN has_r THEN '' WHEN has_d THEN '。' ELSE CASE WHEN n % 2 = 0 THEN '。本判决为终审判决。' ELSE '审判长某' END || '二〇二一年十' || CASE WHEN n % 5 = 0 THEN '二' ELSE '' END || '月二十三日' END AS facts FROM x""")
+@query(f"""WITH x AS ({_PARTS}) SELECT doc_id, regexp_replace('案情' || n || '。' || t || chr(10) || CASE WHEN has_r THEN '' WHEN has_d THEN '。' ELSE CASE WHEN n % 2 = 0 THEN '。本判决为终审判决。' ELSE '审判长某' END || '二〇二一年十' || CASE WHEN n % 5 = 0 THEN '二' ELSE '' END || '月二十三日' END, '[\\s\\x{{a0}}]+$', '') AS facts FROM x""")
 def p07_facts(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("n")).selectExpr("doc_id", f"{_DOC} AS content")
-    return documents.split_document(rows).select("doc_id", "facts")
+    return documents.split_document(_contents(spark, d)).select("doc_id", "facts")
 
 
 @query("SELECT doc_id, CASE WHEN n_chars % 5 = 0 THEN '2021-12-23' ELSE '2021-10-23' END AS case_date FROM documents")
 def p08_han_date(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("n")).selectExpr("doc_id", f"{_DOC} AS content")
-    return rows.select("doc_id", documents.case_date(F.col("content")).alias("case_date"))
+    return _contents(spark, d).select("doc_id", documents.case_date(F.col("content")).alias("case_date"))
 
 
 @query("SELECT doc_id, '20' || (10 + n_chars % 15) || '-' || lpad(CAST(1 + n_chars % 12 AS VARCHAR), 2, '0') || '-' || lpad(CAST(1 + n_chars % 28 AS VARCHAR), 2, '0') AS case_date FROM documents")
 def p09_arabic_date(spark, d):
-    text = F.concat(F.lit("自1999-1-1起，20"), 10 + F.col("n_chars") % 15, F.lit("年"), 1 + F.col("n_chars") % 12, F.lit("月"), 1 + F.col("n_chars") % 28, F.lit("日止"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("自1999-1-1起，20"), 10 + F.col("n_chars") % 15, F.lit("年"), 1 + F.col("n_chars") % 12, F.lit("月"), 1 + F.col("n_chars") % 28, F.lit("日止"))
     return table(spark, d, "documents").select("doc_id", documents.case_date(text).alias("case_date"))
 
 

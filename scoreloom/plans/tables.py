@@ -72,8 +72,8 @@ def s04_model_sheets(spark, d):
 @query("SELECT 'newest' AS folder, count(*) AS nations FROM nation")
 def s05_latest_file(spark, d):
     folder = new_path(spark, "results")
-    for name, count in (("older", 1), ("oldest", 2), ("newest", 25)):
-        table(spark, d, "nation").limit(count).coalesce(1).write.json(f"{folder}/{name}")
+    for name, source in (("older", "region"), ("oldest", "supplier"), ("newest", "nation")):
+        table(spark, d, source).coalesce(1).write.json(f"{folder}/{name}")
         time.sleep(0.05)  # files are told apart by the time they were changed
     latest = readers.latest_file(spark, f"{folder}/*/part-*").first()["path"]
     return spark.read.json(latest).agg(F.lit(latest.split("/")[-2]).alias("folder"), F.count("*").alias("nations"))
@@ -89,9 +89,13 @@ def s07_route_model(spark, d):
     return table(spark, d, "pages").select("page_id", readers.route_model(F.col("url"), (("1", "one"), ("2", "two"))).alias("model"))
 
 
-@query(f"{FX} SELECT model, count(*) AS n FROM fx WHERE model <> 'm3' GROUP BY model")
+@query(f"{FX} SELECT model, count(*) AS n, CAST(sum(n) AS BIGINT) AS total, CAST(sum(length(judge_text)) AS BIGINT) AS chars FROM fx WHERE model <> 'm3' GROUP BY model")
 def s08_sheet_adapter(spark, d):
-    return evaluations(spark, d).where("model <> 'm3'").groupBy("model").agg(F.count("*").alias("n"))
+    folder = new_path(spark, "split-sheets")
+    book = evaluations(spark, d).select("model", "case_id", "q_no", "n", "judge_text")
+    writers.split_sheets(book, "model", folder, without=("m3",))
+    sheets = readers.split_sheets(spark, folder, book.drop("model").schema, "model")
+    return sheets.groupBy("model").agg(F.count("*").alias("n"), F.sum("n").alias("total"), F.sum(F.length("judge_text")).alias("chars"))
 
 
 def _docx(paragraphs: list[str]) -> bytes:
@@ -177,9 +181,11 @@ def k04_question_list(spark, d):
     return writers.question_list(rows, ["case_id"], "doc_id")
 
 
-@query("SELECT * FROM (VALUES ('示例案例一', '案件事实。', '2024-01-01', '判决如下：支持。'), ('示例案例二', '案件事实。', '', '')) t(title, case_text, case_date, judge_decision)")
+@query("""SELECT * FROM (VALUES ('示例案例一', '案件事实。', '2024-01-01', '判决如下：支持。'), ('示例案例二', '案件事实。', '', '')) t(title, case_text, case_date, judge_decision)
+UNION ALL SELECT source, text, '', lang FROM documents WHERE trim(source, ' ') <> '' AND text IS NOT NULL AND regexp_matches(text, '[^\\s]')""")
 def k05_import_template(spark, d):
-    return writers.import_template(spark)
+    filled = table(spark, d, "documents").select(F.col("source").alias("title"), F.col("text").alias("case_text"), F.col("lang").alias("judge_decision"))
+    return writers.import_template(spark, filled)
 
 
 _RESULTS = "SELECT CAST(doc_id AS VARCHAR) AS case_id, source AS case_title, text AS case_text, '' AS question, lang AS ai_decision, '' AS judge_decision, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'x' END AS comparison, CASE WHEN doc_id % 3 = 0 THEN 'then' ELSE 'now' END AS created_at FROM documents"
@@ -370,19 +376,19 @@ def u06_replace_part(spark, d):
 # Model stage with the stand-in client, and running counters on the batch table.
 
 
-@query("SELECT doc_id, left('问：' || text, 200) AS reply FROM documents")
+@query("SELECT doc_id, '回答' || md5('问：' || coalesce(text, '')) AS reply FROM documents")
 def x01_model_stage(spark, d):
-    from scoreloom.sources.models import ask
+    from scoreloom.sources.models import DigestClient, ask
 
-    asked = table(spark, d, "documents").select("doc_id", F.concat(F.lit("问："), "text").alias("prompt"))
-    return ask(asked, "prompt").select("doc_id", "reply")
+    asked = table(spark, d, "documents").select("doc_id", F.concat(F.lit("问："), F.coalesce("text", F.lit(""))).alias("prompt"))
+    return ask(asked, "prompt", lambda: DigestClient(blanks=False)).select("doc_id", "reply")
 
 
-@query("SELECT doc_id, left('问题：' || source || chr(10) || '案例：' || text, 200) AS answer FROM documents")
+@query("SELECT doc_id, '回答' || md5('问题：' || coalesce(source, '') || chr(10) || '案例：' || coalesce(text, '')) AS answer FROM documents")
 def x05_analysis_stage(spark, d):
-    from scoreloom.sources.models import analyse, client_for
+    from scoreloom.sources.models import DigestClient, analyse
 
-    return analyse(table(spark, d, "documents").select("doc_id", "source", "text"), "text", "source", client_for("echo")).select("doc_id", "answer")
+    return analyse(table(spark, d, "documents").select("doc_id", "source", "text"), "text", "source", lambda: DigestClient(blanks=False)).select("doc_id", "answer")
 
 
 @query(f"{_CASES} SELECT case_id + 0 AS case_id, CASE WHEN case_id % 4 = 1 THEN 'renamed' ELSE title END AS title FROM cases WHERE case_id % 4 <> 0")

@@ -29,12 +29,15 @@ class EchoClient:
 
 
 class DigestClient:
-    """A deterministic stand-in whose reply depends on every character of the prompt: its MD5, and no reply at all where that begins
-    with 0."""
+    """A deterministic stand-in whose reply depends on every character of the prompt: its MD5, and with ``blanks`` no reply at all where
+    that begins with 0."""
+
+    def __init__(self, blanks: bool = True):
+        self.blanks = blanks
 
     def complete(self, prompt: str, temperature: float, max_tokens: int) -> dict:
         found = hashlib.md5(prompt.encode(), usedforsecurity=False).hexdigest()
-        return {"content": "" if found[0] == "0" else f"回答{found}", "finish_reason": "stop"}
+        return {"content": "" if self.blanks and found[0] == "0" else f"回答{found}", "finish_reason": "stop"}
 
 
 class DigestJudge:

@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from scoreloom.functions import strip
 from scoreloom.operators.ranking import numbered
@@ -113,6 +114,12 @@ def token_report(reports: DataFrame, heading: str, value: str = "value", nothing
     return rows.where("width >= 4").where(F.col("avg_in").isNotNull() | (F.col("first") == nothing)).drop("width", "first")
 
 
+def split_sheets(spark: SparkSession, path: str, schema: StructType, sheet: str) -> DataFrame:
+    """The rows of a split workbook, with the name of their sheet."""
+    whole = StructType([*schema.fields, StructField(sheet, StringType())])
+    return spark.read.schema(whole).option("header", "true").option("escape", '"').option("multiLine", "true").csv(path)
+
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 

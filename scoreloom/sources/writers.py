@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scoreloom.functions import ellipsis
+from scoreloom.functions import ellipsis, strip
 from scoreloom.operators.questions import pair_by_index
 
 
@@ -34,10 +34,22 @@ def question_list(df: DataFrame, within: list[str], order: str) -> DataFrame:
     return df.withColumn("idx", F.row_number().over(W.partitionBy(*within).orderBy(order)))
 
 
-def import_template(spark: SparkSession) -> DataFrame:
-    """Two example rows of the import sheet."""
+def import_template(spark: SparkSession, cases: DataFrame | None = None) -> DataFrame:
+    """Two example rows of the import sheet, and below them the given cases as rows of the sheet: those that an import would take."""
     rows = [("示例案例一", "案件事实。", "2024-01-01", "判决如下：支持。"), ("示例案例二", "案件事实。", "", "")]
-    return spark.createDataFrame(rows, "title string, case_text string, case_date string, judge_decision string")
+    example = spark.createDataFrame(rows, "title string, case_text string, case_date string, judge_decision string")
+    if cases is None:
+        return example
+    texts = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in cases.columns else F.lit("") for c in example.columns}
+    sheet = cases.select(*[x.alias(c) for c, x in texts.items()])
+    return example.unionByName(sheet.where((strip(F.col("title")) != "") & (strip(F.col("case_text")) != "")))
+
+
+def split_sheets(book: DataFrame, sheet: str, path: str, without: tuple[str, ...] = ()) -> None:
+    """One workbook of rows by ``sheet`` as a folder of CSV files with a header for each sheet; those in ``without`` are left out, and so are rows of
+    no sheet. Rows go to files where they are, so a large sheet has several."""
+    kept = book.where(F.col(sheet).isNotNull() & ~F.col(sheet).isin(*without)) if without else book.where(F.col(sheet).isNotNull())
+    kept.write.mode("overwrite").option("header", "true").option("escape", '"').option("quoteAll", "true").partitionBy(sheet).csv(path)
 
 
 SCORES = ("total", "d1", "d2", "d3", "d4", "d5")
