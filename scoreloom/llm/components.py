@@ -11,12 +11,13 @@ from scoreloom.llm.storage import materialise
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
+    least = materialise(least, "least")  # written, as below, so that the join can split the links of a hub
     return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
-    least = down.groupBy("v").agg(F.min("u").alias("m"))
+    least = materialise(down.groupBy("v").agg(F.min("u").alias("m")), "least")
     moved = down.join(least, "v").where("u <> m").select(F.col("m").alias("a"), F.col("u").alias("b"))
     return moved.unionByName(least.select(F.col("m").alias("a"), F.col("v").alias("b"))).distinct()
 
@@ -34,7 +35,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = materialise(edges, "links")
     before = _state(edges)
     while before[0]:
-        edges = materialise(_small_star(_large_star(edges)), "stars")
+        edges = materialise(_small_star(materialise(_large_star(edges), "stars")), "stars")
         now = _state(edges)
         if now == before:
             break

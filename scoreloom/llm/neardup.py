@@ -259,7 +259,7 @@ def _shared_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
     several = materialise(several, "several")
     members = signed.select("doc_id", *KEY).join(several, "doc_id").distinct().join(classes.select(*KEY, "rep"), KEY)
     members = materialise(members.select("doc_id", "rep"), "members")
-    least = members.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    least = materialise(members.groupBy("doc_id").agg(F.min("rep").alias("a")), "least")  # written, so that the join can split a doc_id
     return members.join(least, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
 
 
@@ -346,7 +346,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     result. Other columns are ignored, whatever their names.
     """
     signed, labelled = _grouped(docs, k, percent, shared_ids=True)
-    least = labelled.groupBy("component").agg(F.min("owner").alias("component_id"))
+    labelled = materialise(labelled, "labelled")  # written, as the next, so that the join can split a large component
+    least = materialise(labelled.groupBy("component").agg(F.min("owner").alias("component_id")), "least")
     labelled = materialise(labelled.join(least, "component").select(*KEY, "component_id"), "named-classes")
     result = signed.select("doc_id", *KEY).join(labelled, KEY, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

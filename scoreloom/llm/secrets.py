@@ -110,7 +110,7 @@ def judged_spans(docs: DataFrame, repository: Column, owner: Column, key: Column
     schema = _SCANNED if key is None else _SCANNED.replace("doc_id long", "doc_id string")
     scanned = materialise(map_batches(base, _scan, schema), "scanned")
     widely = (F.col("n_owners") >= WIDE) | ((F.col("n_owners") > 1) & (F.col("n_repositories") >= WIDE_REPOSITORIES))
-    wide = value_frequency(scanned).where(widely).select("value", "n_owners")
+    wide = materialise(value_frequency(scanned).where(widely).select("value", "n_owners"), "widely-held")  # written, so that the join can split a value
     spans = scanned.select("row", F.inline("spans"))
     judged = spans.join(wide, "value", "left").groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end", F.col("n_owners").isNull().alias("live")))).alias("judged")

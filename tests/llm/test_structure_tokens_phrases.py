@@ -389,3 +389,53 @@ def test_one_row_of_each_group_stays_and_no_unlike_text_goes(spark):
     assert len(found) == len(set(found)) == len(wanted)
     assert all(sum(i in found for i in rows) == 1 for rows in wanted)
     assert {2, 3, 5} - {3} <= set(found) and neardup.keep_one(df.limit(0)).count() == 0
+
+
+# Hot keys
+
+
+@pytest.fixture
+def small_pieces(spark):
+    """Any stage is large under these settings, and no side is small enough to be broadcast."""
+    wanted = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    [spark.conf.set(k, v) for k, v in wanted.items()]
+    yield
+    [spark.conf.unset(k) if v is None else spark.conf.set(k, v) for k, v in before.items()]
+
+
+def recorded(monkeypatch, module):
+    plans, real = [], module.materialise
+
+    def materialise(df, tag):
+        df.collect()
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, tag)
+
+    monkeypatch.setattr(module, "materialise", materialise)
+    return plans
+
+
+def test_the_links_of_a_hub_are_split(spark, small_pieces, monkeypatch):
+    from scoreloom.llm import components
+
+    plans = recorded(monkeypatch, components)
+    rng = random.Random(10)
+    links = [(0, i) for i in range(1, 20_000)] + [(x, x + 1) for x in rng.sample(range(30_000, 90_000), 20_000)]
+    found = {r["id"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long").repartition(8)).collect()}
+    assert all(found[i] == 0 for i in range(20_000)) and all(found[a] == found[b] for a, b in links)
+    assert any(tag == "stars" and "skew=true" in plan for tag, plan in plans)
+
+
+def test_a_value_that_many_texts_have_is_split(spark, small_pieces):
+    from scoreloom.llm import secrets
+
+    example = "token = ExAmPle0KeY1ThAtAllCopy2"
+    rows = [(i, example if i % 3 == 0 else f"token = Own{i:08d}KeY{i:08d}", f"s{i % 9}") for i in range(12_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    found = secrets.find_secrets(df)
+    assert sum(r["n_example"] for r in found.collect()) == 4000
+    assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
