@@ -32,7 +32,7 @@ FACTORS = 4
 #: Deviations of its log odds from the mean that a cell needs, and of a pair from its members.
 STRENGTH, LEAST_DEVIATION = 2.5, 6.0
 #: Cells of the sample whose pairs are looked at: their counts by pairs are a matrix on the driver.
-PAIRED = 2048
+PAIRED = 512
 #: Times from which on a term is frequent in its text.
 OFTEN = 3
 #: Rows that a cell must be in to be one of them.
