@@ -9,8 +9,11 @@ from scoreloom.operators import judging
 from scoreloom.plans.fixture import FX, MAJOR_TEXTS, MINOR_TEXT, MODERATE_TEXT, PAIRS, SC
 from scoreloom.plans.registry import query, table
 from scoreloom.scratch import new_path
-from scoreloom.sources.models import ANALYSIS_PROMPT, client_for
+from scoreloom.sources import versions
+from scoreloom.sources.models import ANALYSIS_PROMPT, DigestClient, client_for
+from scoreloom.sources.quota import ask_within
 from scoreloom.sources.runs import evaluate_run
+from scoreloom.streaming.stores import add_batch
 
 
 def _text(s: str) -> str:
@@ -82,3 +85,35 @@ def e15_judged_run(spark, d):
     run = evaluate_run(grid(spark, d), new_path(spark, "ledger"), _maker("digest"), _maker("digest-judge"), every=4096, sleep=lambda s: None, limit_s=None)
     return run.select("model", "case_id", "q_no", "answer", "total", "grade", "d1", "d5", "error_flag", "proc_error", "failed")
 
+
+@query("SELECT doc_id, '回答' || md5('问：' || coalesce(text, '')) AS reply FROM documents")
+def x02_shared_quota(spark, d):
+    """All tasks within one quota, which is wide here."""
+    asked = table(spark, d, "documents").select("doc_id", F.concat(F.lit("问："), F.coalesce("text", F.lit(""))).alias("prompt"))
+    return ask_within(asked, "prompt", lambda model: DigestClient(blanks=False), per_minute=60_000_000, limit_s=None).select("doc_id", "reply")
+
+
+@query("SELECT coalesce(source, 'none') AS source, count(*) AS n, CAST(sum(n_chars + CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS BIGINT) AS chars FROM documents GROUP BY 1")
+def k02_replaced_parts(spark, d):
+    """Documents by language: one writer replaces a language, and one that has seen the older version may not."""
+    path = new_path(spark, "parts")
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("source", F.lit("none")).alias("source"), "n_chars")
+    first = versions.replace_parts(docs, path, "lang")
+    english = docs.where("lang = 'en'")
+    versions.replace_parts(english.withColumn("n_chars", F.col("n_chars") + 1), path, "lang")
+    try:
+        versions.replace_parts(english.withColumn("n_chars", F.col("n_chars") * 0), path, "lang", seen=first.version)
+    except versions.Conflict:
+        pass
+    return versions.read(spark, path).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS kind, count(*) AS calls, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1, 2")
+def y02_stored_totals(spark, d):
+    """Events come in three batches, one of them twice."""
+    path = new_path(spark, "usage")
+    events = table(spark, d, "events")
+    add = add_batch(path, "events", {"day": F.date_format("ts", "yyyy-MM-dd"), "kind": F.col("event_type")}, {"calls": F.lit(1), "total": F.col("event_id")}, "day")
+    for number, part in ((0, 0), (1, 1), (1, 1), (2, 2)):
+        add(events.where(F.col("event_id") % 3 == part), number)
+    return versions.read(spark, path)

@@ -57,8 +57,9 @@ class Quota:
                 span *= 1.01
                 spans = int(60.0 // span) + 2
         self.calls = max(1, per_minute // spans)
-        #: A call may begin a tenth of the gap late.
         self.gap = max(spacing / 0.9, span / self.calls)
+        #: How late a call may begin, so that the spacing holds; without one, as late as it will: its span lasts until then.
+        self.slack = self.gap / 10 if spacing > 0 else float("inf")
         self.span = max(span, self.gap * self.calls)
 
     def leases(self, wants: int, pause: float) -> tuple[float, list[float]] | None:
@@ -76,8 +77,8 @@ class Quota:
 
 
 class Turn:
-    """Stands in for a pace: waits for the next lease, through further spans while none is at hand. Leases that a long call has
-    outlasted are given up."""
+    """Stands in for a pace: waits for the next lease, through further spans while none is at hand. Where calls are spaced, leases that
+    a long call has outlasted are given up."""
 
     def __init__(self, quota: Quota):
         self.quota, self.left, self.pause, self.end, self.wants = quota, [], 0.0, None, 1
@@ -97,7 +98,7 @@ class Turn:
             while not self.left:
                 self._next_span(self.wants)
             when = self.left.pop(0)
-            if self.quota.clock() <= when + self.quota.gap / 10:
+            if self.quota.clock() <= when + self.quota.slack:
                 return self.quota.until(when)
 
     def rest_for(self, seconds: float) -> None:

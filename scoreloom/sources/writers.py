@@ -13,7 +13,8 @@ from scoreloom.operators.questions import pair_by_index
 
 
 def replace_models(df: DataFrame, path: str) -> None:
-    """Write a folder for each model that ``df`` has; folders of other models stay. Readers see old or new files."""
+    """Write a folder for each model that ``df`` has; folders of other models stay. For one writer at a time; ``versions.replace_parts`` is for several, and
+    shows readers whole versions only."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)
 
 
