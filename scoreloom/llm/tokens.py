@@ -179,11 +179,12 @@ def _pieces(definition: str):
 
 
 def _head(base: DataFrame, definition: str, size: int, sample: int) -> dict[str, int]:
-    """Pieces of the pre-tokens that most of the sampled documents have; at most ``size``."""
+    """Pieces of the pre-tokens that most of about ``sample`` documents have; at most ``size``."""
     if size <= 0 or sample <= 0:
         return {}
-    few = base.where(F.length("text") > 0).select("row", "doc_id", "text", F.xxhash64("text").alias("by"))
-    few = few.orderBy("by").limit(sample).drop("by").repartition(8)  # a bounded sample, left in one task by limit
+    # By a hash of each row's number, where the row is: what is sampled is no larger for a larger table, and passes through no one task.
+    share = min(1.0, sample / max(base.count(), 1))
+    few = base.where(F.xxhash64("row") <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))))
     found = map_batches(few, _frequencies(definition, {}), _FREQUENCIES).select(F.explode("rest").alias("piece"))
     common = found.where(F.octet_length("piece") <= HEAD_BYTES).groupBy("piece").count().orderBy(F.desc("count"), "piece").limit(size)
     return {r["piece"]: r["n_pieces"] for r in map_batches(common.select("piece"), _pieces(definition), "piece string, n_pieces long").toLocalIterator()}
