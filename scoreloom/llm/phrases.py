@@ -37,7 +37,7 @@ ROWS, MIN_BITS, MAX_BITS, SHARD_BITS = 2, 16, 28, 16
 #: What the counters of a row should hold on average, as a part of the least count.
 LOAD = 1 / 4
 #: Bytes of text that are looked at together, and counters that a task gathers before it adds them up.
-PART, PENDING = 1 << 20, 1 << 22
+PART, PENDING = 1 << 20, 1 << 21
 #: Parts of a language that are scored and ranked apart at first.
 _SALTS = 64
 
@@ -146,12 +146,16 @@ def _may_be_frequent(part: Part, pairs: Sieve, longer: Sieve | None, longest: in
     return out
 
 
-def _sum_up(pending: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    at, n = (np.concatenate(x) for x in zip(*pending, strict=True))
-    order = np.argsort(at, kind="stable")
-    at, n = at[order], n[order]
+def _sum_up(pending: list[np.ndarray], top: int) -> np.ndarray:
+    """Adds up counters given as place and count in one number, by place; counts stop at ``top``."""
+    both = np.concatenate(pending)
+    pending.clear()
+    both.sort()
+    at = (both >> np.uint64(32)).astype(np.uint32)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[first], np.add.reduceat(n, first)
+    both &= np.uint64((1 << 32) - 1)
+    total = np.minimum(np.add.reduceat(both, first), np.uint64(top))
+    return (at[first].astype(np.uint64) << np.uint64(32)) | total
 
 
 def _sketch(bits: int, pairs: Sieve | None, longest: int, least: int):
@@ -161,7 +165,7 @@ def _sketch(bits: int, pairs: Sieve | None, longest: int, least: int):
     narrow = np.uint8 if top < 1 << 8 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[tuple[np.ndarray, np.ndarray]] = []
+        pending: list[np.ndarray] = []
         waiting = 0
         for batch in batches:
             for part in _parts(batch, 2 if pairs is None else longest):
@@ -172,18 +176,20 @@ def _sketch(bits: int, pairs: Sieve | None, longest: int, least: int):
                     keys = np.concatenate([part.key[n][found[n]] for n in range(3, longest + 1)])
                 if not len(keys):
                     continue
-                for at in _places(keys, bits):
-                    pending.append(np.unique(at, return_counts=True))
-                    waiting += len(pending[-1][0])
+                for places in _places(keys, bits):
+                    at, n = np.unique(places, return_counts=True)
+                    pending.append((at.astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64))
+                    waiting += len(at)
                 if waiting > PENDING:
-                    pending = [_sum_up(pending)]
+                    pending = [_sum_up(pending, top)]
                     waiting = 0
         if not pending:
             return
-        at, n = _sum_up(pending)
+        both = _sum_up(pending, top)
+        at, n = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64((1 << 32) - 1)).astype(narrow)
         shard = at >> SHARD_BITS
         cut = np.concatenate(([0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(at)]))
-        places, counts = (at & ((1 << SHARD_BITS) - 1)).astype(np.uint16), np.minimum(n, top).astype(narrow)
+        places, counts = (at & ((1 << SHARD_BITS) - 1)).astype(np.uint16), n
         for k in range(0, len(cut) - 1, 512):
             ends = cut[k : k + 513]
             yield pa.RecordBatch.from_arrays(
