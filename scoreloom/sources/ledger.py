@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.scratch import materialise
 from scoreloom.sources import files
-from scoreloom.sources.models import TEMPERATURES, Client, Pace, exchange
+from scoreloom.sources.models import CALLS_A_MINUTE, TEMPERATURES, Client, Pace, exchange, pace_of
 
 ENTRY = "digest string, kind string, model string, reply string, thinking string, error string, attempts int, at long"
 _BETWEEN = "\x1f"
@@ -57,14 +57,15 @@ def recover(spark: SparkSession, path: str) -> int:
     return len(runs)
 
 
-def _ask(journal: str, client: Callable[[str | None], Client], attempts: int, every: int, pace: Callable[[], Pace], sleep: Callable[[float], None], limit_s: float | None):
+def _ask(journal: str, client: Callable[[str | None], Client], attempts: int, every: int, pace: Callable[[], Pace] | None, sleep: Callable[[float], None], limit_s: float | None):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = TaskContext.get()
         own = f"{journal}/{context.partitionId():05d}"
         asked = {json.loads(line)["digest"] for text in files.read_files(own).values() for line in text.splitlines()}
-        makers: dict[str | None, Client] = {}
+        makers: dict[str | None, tuple[Client, Pace]] = {}
         waiting: list[str] = []
-        held, calls, failed, written = pace(), 0, 0, 0
+        held = pace() if pace else Pace(CALLS_A_MINUTE, 0.0)
+        calls, failed, written = 0, 0, 0
 
         def write() -> None:
             nonlocal written
@@ -78,8 +79,9 @@ def _ask(journal: str, client: Callable[[str | None], Client], attempts: int, ev
                 if key in asked:
                     continue
                 if model not in makers:
-                    makers[model] = client(model)
-                reply = exchange(makers[model], prompt, TEMPERATURES[kind], held, attempts, sleep, limit_s)
+                    made = client(model)
+                    makers[model] = made, held if pace or not hasattr(made, "per_minute") else pace_of(made)
+                reply = exchange(makers[model][0], prompt, TEMPERATURES[kind], makers[model][1], attempts, sleep, limit_s)
                 calls += reply["attempts"]
                 failed += reply["reply"] is None
                 waiting.append(json.dumps({"digest": key, "kind": kind, "model": model, **reply, "at": time.time_ns() // 1000}) + "\n")
@@ -102,7 +104,7 @@ def ask_once(
     tasks: int | None = None,
     every: int = 1,
     attempts: int = 3,
-    pace: Callable[[], Pace] = lambda: Pace(3000, 0.0),
+    pace: Callable[[], Pace] | None = None,
     sleep: Callable[[float], None] = time.sleep,
     limit_s: float | None = 180.0,
 ) -> DataFrame:
@@ -110,7 +112,8 @@ def ask_once(
 
     ``client`` makes the client of a model in a task; ``model`` is the column that names it. Calls are made here and now; using
     the result makes none. ``ledger`` is a folder that driver and executors share. Replies are journalled ``every`` so many
-    calls; with 1, a killed task repeats at most the call it was in. Rows with a null or empty prompt are not asked and have an
+    calls; with 1, a killed task repeats at most the call it was in. ``pace`` makes the pace of a task; without one, clients that
+    state theirs have it, and all others of the task share the usual one. Rows with a null or empty prompt are not asked and have an
     error. Rows that repeat a prompt share its reply. An empty table makes no call.
     """
     spark = df.sparkSession

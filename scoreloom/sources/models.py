@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -17,6 +18,8 @@ from scoreloom.operators.questions import best_passage, is_verbatim, parse_quest
 
 
 class Client(Protocol):
+    """May state ``per_minute``, the most calls of one task in a minute: None where it makes its replies itself and asks no provider."""
+
     def complete(self, prompt: str, temperature: float, max_tokens: int) -> dict:
         """A reply with ``content`` and ``finish_reason``; raises on failure."""
 
@@ -24,6 +27,8 @@ class Client(Protocol):
 class EchoClient:
     """A deterministic stand-in: the first 200 characters of the prompt."""
 
+    per_minute = None
+
     def complete(self, prompt: str, temperature: float, max_tokens: int) -> dict:
         return {"content": prompt[:200], "finish_reason": "stop"}
 
@@ -32,6 +37,8 @@ class DigestClient:
     """A deterministic stand-in whose reply depends on every character of the prompt: its MD5, and with ``blanks`` no reply at all where
     that begins with 0."""
 
+    per_minute = None
+
     def __init__(self, blanks: bool = True):
         self.blanks = blanks
 
@@ -43,6 +50,8 @@ class DigestClient:
 class DigestJudge:
     """A deterministic stand-in for a judge: scores and flags by the digits of the prompt's MD5."""
 
+    per_minute = None
+
     def complete(self, prompt: str, temperature: float, max_tokens: int) -> dict:
         x = [int(c, 16) for c in hashlib.md5(prompt.encode(), usedforsecurity=False).hexdigest()]
         scores = "".join(f"【{d}】\n得分：{x[k] % 5}分\n理由：见上\n" for k, d in enumerate(V.DIMENSIONS))
@@ -78,26 +87,35 @@ TEMPERATURES = {"analyse": 0.3, "questions": 0.7, "extract": 0.1, "compare": 0.5
 MAX_TOKENS, MAX_TOKENS_CAP = 3000, 16000
 
 
+#: Most calls of one task in a minute, where neither the caller nor the client says otherwise.
+CALLS_A_MINUTE = 3000
+
+
 class Pace:
-    """Least spacing and most calls a minute of one task; keep tasks times rate within the quota."""
+    """Least spacing and most calls a minute of one task, or no such limit; keep tasks times rate within the quota."""
 
-    def __init__(self, per_minute: int, spacing: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+    def __init__(self, per_minute: int | None, spacing: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
         self.per_minute, self.spacing, self.clock, self.sleep = per_minute, spacing, clock, sleep
-        self.calls: list[float] = []
+        #: The last calls: no more than may be made in a minute.
+        self.calls: deque[float] = deque(maxlen=per_minute or 1)
 
     def wait(self) -> None:
         now = self.clock()
-        self.calls = [t for t in self.calls if now - t < 60]
         pause = 0.0
         if self.calls:
             pause = max(0.0, self.calls[-1] + self.spacing - now)
-        if len(self.calls) >= self.per_minute:
+        if self.per_minute and len(self.calls) == self.per_minute:
             pause = max(pause, self.calls[0] + 60 - now)
         if pause > 0:
             self.sleep(pause)
         self.calls.append(self.clock())
 
 
+def pace_of(client: Client) -> Pace:
+    """The pace that a client states for its provider, or the usual one."""
+    return Pace(getattr(client, "per_minute", CALLS_A_MINUTE), 0.0)
+
+
 def in_time(client: Client, prompt: str, temperature: float, tokens: int, limit_s: float | None) -> dict:
     """A client's reply, or TimeoutError after ``limit_s`` seconds; the call itself is then left behind."""
     if limit_s is None:

@@ -13,7 +13,7 @@ import pytest
 from scoreloom.functions import fixed_values as V
 from scoreloom.operators import judging
 from scoreloom.sources import files, ledger
-from scoreloom.sources.models import DigestClient, DigestJudge, Pace, exchange
+from scoreloom.sources.models import DigestClient, DigestJudge, Pace, exchange, pace_of
 from scoreloom.sources.runs import evaluate_run
 
 
@@ -163,3 +163,28 @@ def test_run_scores_what_succeeds_and_reports_what_fails(spark, tmp_path):
     n = ledger.entries(spark, str(tmp_path / "ledger")).where("error is null").count()
     evaluate_run(grid, str(tmp_path / "ledger"), lambda model: DigestClient(), lambda model: DigestJudge(), every=50, **QUICK)
     assert ledger.entries(spark, str(tmp_path / "ledger")).where("error is null").count() == n
+
+
+def test_stand_ins_wait_for_no_quota(spark, tmp_path):
+    """More calls of one task than the usual pace has in a minute."""
+    df = spark.range(0, 3100, 1, 1).selectExpr("id", "concat('prompt ', id) AS p")
+    began = time.monotonic()
+    got = ledger.ask_once(df, "p", str(tmp_path / "ledger"), lambda model: DigestClient(blanks=False), tasks=1, every=4096, **QUICK)
+    assert got.where("reply is not null").count() == 3100 and time.monotonic() - began < 40
+
+
+def test_pace_holds_only_who_has_a_quota():
+    now, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    for per_minute, waits in ((3, [60.0, 60.0]), (None, [])):
+        slept.clear()
+        pace = Pace(per_minute, 0.0, lambda: now[0], sleep)
+        for _ in range(9):
+            pace.wait()
+        assert slept == waits and len(pace.calls) <= (per_minute or 1)
+        now[0] += 1000
+    assert pace_of(DigestJudge()).per_minute is None and pace_of(Noting("")).per_minute == 3000
