@@ -172,13 +172,14 @@ def call(client: Client, prompt: str, temperature: float, pace: Pace, attempts:
     return found["reply"], found["error"]
 
 
-def ask(df: DataFrame, prompt: str, client: Callable[[], Client] = EchoClient, kind: str = "analyse", per_minute: int = 3000, spacing: float = 0.0, name: str = "reply") -> DataFrame:
-    """Adds the model's ``reply`` and ``<reply>_error`` to each row. ``client`` is called once a task. Write the
-    result before scoring: a second action would call again."""
+def ask(df: DataFrame, prompt: str, client: Callable[[], Client] = EchoClient, kind: str = "analyse", per_minute: int | None = None, spacing: float = 0.0, name: str = "reply") -> DataFrame:
+    """Adds the model's ``reply`` and ``<reply>_error`` to each row. ``client`` is called once a task; ``per_minute`` is what it
+    states where none is given. Write the result before scoring: a second action would call again."""
     columns = df.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, pace = client(), Pace(per_minute, spacing)
+        own = client()
+        pace = Pace(per_minute or pace_of(own).per_minute, spacing)
         for f in frames:
             replies = [call(own, p, TEMPERATURES[kind], pace) for p in f[prompt]]
             yield f[columns].assign(**{name: [r for r, _ in replies], f"{name}_error": [e for _, e in replies]})

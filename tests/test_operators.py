@@ -291,3 +291,15 @@ def test_matches_are_replaced_without_python(spark):
         t = texts[r["id"]]
         assert r["g"] == (t and re.sub(V.GENDER_NAME_PATTERN, gendered, t)), t
         assert r["s"] == (t and re.sub(V.STANDALONE_NAME_PATTERN, alone, t)), t
+
+
+def test_asking_a_stand_in_waits_for_no_quota(spark):
+    """More rows in one task than the usual pace has in a minute; who gives a pace is held to it."""
+    import time
+
+    rows = spark.range(0, 3100, 1, 1).selectExpr("id", "concat('text ', id) AS t", "'q' AS q")
+    began = time.monotonic()
+    assert models.analyse(rows, "t", "q", lambda: models.DigestClient(blanks=False)).where("answer is not null").count() == 3100
+    assert models.ask(rows.limit(3), "t", per_minute=3000).count() == 3 and time.monotonic() - began < 40
+    began = time.monotonic()
+    assert models.ask(rows.limit(3), "t", spacing=0.4).count() == 3 and time.monotonic() - began > 0.7
