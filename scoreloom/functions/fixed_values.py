@@ -67,6 +67,10 @@ NAME_RULES = (
     (r"[一-龥]某某(?=等|$)", "某"),
     (r"[一-龥]某(?=[，。；：\s、与在和为是向等]|$)", "某"),
 )
+#: What a match of the rules above holds one of at least, and all that it may hold, as insides of a class. At most one character
+#: behind a match is looked at.
+MASK_ANCHORS = r"一-龥\d"
+MASK_CHARACTERS = MASK_ANCHORS + r"（(）)〔\[〕\]：:Xx\-－×*,，/"
 STANDALONE_NAME_PATTERN = r"[一-龥]{2,4}(?=[，。；：\s、与在和为是向等]|$)"
 LEGAL_TERMS = (
     "原告", "被告", "上诉人", "被上诉人", "法院", "本院", "一审", "二审", "审理", "提供", "共同", "一起", "申请", "裁定", "判决", "认为", "经", "的", "和",

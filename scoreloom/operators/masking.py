@@ -13,20 +13,34 @@ from scoreloom.functions import replace_all
 KEPT_TOKENS = frozenset(V.LEGAL_TERMS + V.ROLE_TERMS)
 
 
+#: Stands for a stretch that was taken out, and for itself where a text holds it.
+_GAP, _GAP_ESCAPE = "\x03", "\x04"
+_STRETCH = f"(?U)([^{V.MASK_CHARACTERS}])([^{V.MASK_ANCHORS}]{{6,}}[^{V.MASK_CHARACTERS}])"
+
+
+def _condensed(c: Column, rules: Callable[[Column], Column]) -> Column:
+    """``rules`` of ``c``, by what of it they can match. Between two anchors, no match goes past a character that rules don't hold: from
+    the first such, at which a match before it may look, to the last, a stretch is taken out and put back when the rules are done."""
+    safe = F.replace(F.replace(c, F.lit(_GAP_ESCAPE), F.lit(_GAP_ESCAPE + "b")), F.lit(_GAP), F.lit(_GAP_ESCAPE + "a"))
+    masked = F.split(rules(F.regexp_replace(safe, _STRETCH, "$1" + _GAP)), _GAP)
+    whole = F.zip_with(masked, F.regexp_extract_all(safe, F.lit(_STRETCH), 2), lambda kept, out: F.concat(kept, F.coalesce(out, F.lit(""))))
+    return F.replace(F.replace(F.array_join(whole, ""), F.lit(_GAP_ESCAPE + "a"), F.lit(_GAP)), F.lit(_GAP_ESCAPE + "b"), F.lit(_GAP_ESCAPE))
+
+
 def mask_sensitive(c: Column) -> Column:
-    return replace_all(c, V.SENSITIVE_RULES)
+    return _condensed(c, lambda x: replace_all(x, V.SENSITIVE_RULES))
 
 
 def mask_dates(c: Column) -> Column:
-    return replace_all(c, V.DATE_RULES)
+    return _condensed(c, lambda x: replace_all(x, V.DATE_RULES))
 
 
 def mask_locations(c: Column) -> Column:
-    return replace_all(c, V.LOCATION_RULES)
+    return _condensed(c, lambda x: replace_all(x, V.LOCATION_RULES))
 
 
 def mask_role_names(c: Column) -> Column:
-    return replace_all(c, V.NAME_RULES)
+    return _condensed(c, lambda x: replace_all(x, V.NAME_RULES))
 
 
 def correct(c: Column) -> Column:
@@ -67,8 +81,12 @@ def mask_standalone_names(c: Column) -> Column:
 
 def mask(c: Column) -> Column:
     """The whole cascade: numbers, dates, places, names, lone names, corrections. Null and blank stay."""
-    places = mask_locations(mask_dates(mask_sensitive(c)))
-    return correct(mask_standalone_names(mask_role_names(mask_gendered_names(places))))
+
+    def rules(x: Column) -> Column:
+        places = replace_all(x, (*V.SENSITIVE_RULES, *V.DATE_RULES, *V.LOCATION_RULES))
+        return mask_standalone_names(replace_all(mask_gendered_names(places), V.NAME_RULES))
+
+    return correct(_condensed(c, rules))
 
 
 def mask_cases(cases: DataFrame, columns: tuple[str, ...] = ("case_text", "judge_decision")) -> DataFrame:

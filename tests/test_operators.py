@@ -303,3 +303,29 @@ def test_asking_a_stand_in_waits_for_no_quota(spark):
     assert models.ask(rows.limit(3), "t", per_minute=3000).count() == 3 and time.monotonic() - began < 40
     began = time.monotonic()
     assert models.ask(rows.limit(3), "t", spacing=0.4).count() == 3 and time.monotonic() - began > 0.7
+
+
+def test_masking_rules_see_only_what_they_can_match(spark):
+    import random
+
+    from scoreloom.functions import replace_all
+
+    rng = random.Random(4)
+    bits = ["原告", "张三", "某", "某某", "女", "号", "2024", "7", "年", "月", "日", "北京市", "证人", "字", "（", "）", "〔", "〕", "，", "、", "。", "-", "x", "X", "×", "：", ":", ",", "/", " ", "\n", "\r\n", "\x85", "\x01", "\x02", "\x03", "\x04", "\x04a", "\x04b", "a", "13800000000", "等", "hello world and more", "words, words x--x words", "\n\n", "é😀é😀é😀é😀é"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(6000)]
+
+    def plain(c):
+        for rules in (V.SENSITIVE_RULES, V.DATE_RULES, V.LOCATION_RULES):
+            c = replace_all(c, rules)
+        return masking.correct(masking.mask_standalone_names(replace_all(masking.mask_gendered_names(c), V.NAME_RULES)))
+
+    t = F.col("t")
+    groups = {"sensitive": V.SENSITIVE_RULES, "dates": V.DATE_RULES, "locations": V.LOCATION_RULES, "role_names": V.NAME_RULES}
+    wrong = masking.mask(t) != plain(t)
+    for name, rules in groups.items():
+        wrong = wrong | (getattr(masking, f"mask_{name}")(t) != replace_all(t, rules))
+    frame = spark.createDataFrame([(x,) for x in texts], "t string").repartition(4).localCheckpoint()
+    assert [r["t"] for r in frame.where(wrong).collect()] == []
+    assert frame.where(masking.mask(t) != t).count() > 1000
+    (row,) = spark.createDataFrame([("原告张三。" + "long prose of words, " * 5000 + "1999 and 证人李四",)], "t string").select(masking._condensed(t, lambda x: F.concat(x, F.lit("|"), F.length(x))).alias("m")).collect()
+    assert int(row["m"].rsplit("|")[1]) < 40 and len(row["m"]) > 100_000
