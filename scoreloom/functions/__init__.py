@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -57,6 +58,11 @@ def replace_all(c: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return reduce(lambda x, rule: F.regexp_replace(x, "(?U)" + rule[0], rule[1]), rules, c)
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``c``, which is computed once a row however often it is used."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
 

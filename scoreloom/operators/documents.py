@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.functions import HAN, find, first_match, last_index, strip
+from scoreloom.functions import HAN, find, first_match, last_index, once, strip
 from scoreloom.functions import fixed_values as V
 
 #: Entities that are decoded without Python; ``&amp;`` goes last.
@@ -85,18 +85,29 @@ def _two(names: dict[str, int], c: Column) -> Column:
     return F.coalesce(F.try_element_at(table, c), F.lit("01"))
 
 
+#: One test of a range at each place before the numerals are tried one by one.
+_HAN_DATE = f"(?=[\u3007\u4e00-\u9fff]){V.HAN_DATE}"
+
+
 def han_date(c: Column) -> Column:
     """The first date in Han numerals as yyyy-mm-dd; null without four year digits."""
-    year = F.translate(first_match(c, V.HAN_DATE, 1), "〇零一二三四五六七八九", "00123456789")
-    year = F.replace(year, F.lit("十"), F.lit("10"))
-    return F.when(F.length(year) == 4, F.concat_ws("-", year, _two(_MONTHS, first_match(c, V.HAN_DATE, 2)), _two(_day_names(), first_match(c, V.HAN_DATE, 3))))
+
+    def written(found: Column) -> Column:
+        part = [first_match(found, V.HAN_DATE, k) for k in (1, 2, 3)]
+        year = F.replace(F.translate(part[0], "〇零一二三四五六七八九", "00123456789"), F.lit("十"), F.lit("10"))
+        return F.when(F.length(year) == 4, F.concat_ws("-", year, _two(_MONTHS, part[1]), _two(_day_names(), part[2])))
+
+    return once(F.regexp_extract(c, _HAN_DATE, 0), written)
 
 
 def arabic_date(c: Column) -> Column:
     """The last date in digits as yyyy-mm-dd, or null."""
-    last = F.try_element_at(F.regexp_extract_all(c, F.lit(V.ARABIC_DATE), 0), F.lit(-1))
-    part = [F.regexp_extract(last, V.ARABIC_DATE, k) for k in (1, 2, 3)]
-    return F.when(last.isNotNull(), F.concat_ws("-", part[0], F.lpad(part[1], 2, "0"), F.lpad(part[2], 2, "0")))
+
+    def written(last: Column) -> Column:
+        part = [F.regexp_extract(last, V.ARABIC_DATE, k) for k in (1, 2, 3)]
+        return F.when(last.isNotNull(), F.concat_ws("-", part[0], F.lpad(part[1], 2, "0"), F.lpad(part[2], 2, "0")))
+
+    return once(F.try_element_at(F.regexp_extract_all(c, F.lit(V.ARABIC_DATE), 0), F.lit(-1)), written)
 
 
 def case_date(c: Column) -> Column:

@@ -329,3 +329,14 @@ def test_masking_rules_see_only_what_they_can_match(spark):
     assert frame.where(masking.mask(t) != t).count() > 1000
     (row,) = spark.createDataFrame([("原告张三。" + "long prose of words, " * 5000 + "1999 and 证人李四",)], "t string").select(masking._condensed(t, lambda x: F.concat(x, F.lit("|"), F.length(x))).alias("m")).collect()
     assert int(row["m"].rsplit("|")[1]) < 40 and len(row["m"]) > 100_000
+
+
+def test_dates_search_a_text_once(spark):
+    for found, n in ((documents.han_date(F.col("content")), 1), (documents.arabic_date(F.col("content")), 1)):
+        assert str(found).count("content") == n
+    texts = {
+        "x年二〇二一年十月二十三日，二〇二二年一月一日": "2021-10-23", "二零零九年十二月三十一号": "2009-12-31", "一九年三月四日": None, "三年二〇二〇年五月六日": "2020-05-06",
+        "二〇二一年十五月四十日 2020-1-2": "2021-01-01", "自1999-1-1起，2020年3月4日止": "2020-03-04", "2020年3月": None, "": None, "九年一月一日 2001/2/3": "2001-02-03",
+    }
+    frame = spark.createDataFrame([*((t,) for t in texts), (None,)], "t string")
+    assert {r["t"]: r["d"] for r in frame.select("t", documents.case_date(F.col("t")).alias("d")).collect()} == texts | {None: None}
