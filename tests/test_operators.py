@@ -340,3 +340,16 @@ def test_dates_search_a_text_once(spark):
     }
     frame = spark.createDataFrame([*((t,) for t in texts), (None,)], "t string")
     assert {r["t"]: r["d"] for r in frame.select("t", documents.case_date(F.col("t")).alias("d")).collect()} == texts | {None: None}
+
+
+def test_metric_bundle_searches_each_side_once(spark):
+    df = spark.createDataFrame([("判决驳回，支持x。依据《法》", "认定，判决"), (None, "判决"), ("", "判决")], "a string, b string")
+    found = similarity.similarity_metrics(df, "a", "b")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 12  # runs, phrases of four verbs, citations
+    got = found.collect()
+    assert [r["has_decision"] for r in got] == [True, False, False] and [r["ai_keywords"] for r in got] == [6, 0, 0] and [r["common_keywords"] for r in got] == [1, 0, 0]
+    assert got[1]["overall_similarity"] == got[2]["reasoning_similarity"] == 0.0 and got[0]["result_consistency"] == 0.8
+    words = ("a.b", "]", "z-", "认")
+    texts = spark.createDataFrame([("xa.b",), ("a,b]",), ("认z -",), ("z-认",), (None,), ("",)], "t string")
+    plain = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("t"), w))
+    assert all(r["w"] == r["p"] for r in texts.select(similarity._present(F.col("t"), words).alias("w"), plain.alias("p")).collect())
