@@ -23,8 +23,9 @@ def models(spark: SparkSession) -> DataFrame:
     return spark.range(MODELS).select(F.col("id").cast("int").alias("mi"), F.concat(F.lit("m"), "id").alias("model"))
 
 
-def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("n_chars").alias("n"))
+def evaluations(spark: SparkSession, sf_dir: str, text: str = "text") -> DataFrame:
+    """Answers are the documents' ``text``, or what else that says as SQL."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(text).alias("text"), F.col("n_chars").alias("n"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     grid = docs.join(labels, "doc_id", "left").crossJoin(F.broadcast(models(spark)))  # seven models
     n, mi = F.col("n"), F.col("mi")
@@ -48,9 +49,9 @@ def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, text: str = "text") -> DataFrame:
     """Evaluation rows with their scores; error columns are joined texts, null where there is none."""
-    rows = rubric.evaluate(evaluations(spark, sf_dir))
+    rows = rubric.evaluate(evaluations(spark, sf_dir, text))
     counts = {f"n_{c}": F.size(c).cast("long") for c in ("minor", "moderate", "major")}
     return rubric.flatten_errors(rows.withColumns(counts)).withColumn("rationale", F.lit("见上"))
 

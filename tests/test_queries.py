@@ -99,3 +99,27 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() == 7
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _shuffled(spark):
+    """Bytes that all stages so far wrote to shuffles."""
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_session_export_shuffles_a_text_once(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    texts = [None, "", " ", "same", "same"] + [rng.randbytes(20_000).hex() for _ in range(35)]
+    docs = [(i, t, i * 31) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, k % 3 % 2) for k in range(0, 40, 2)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = _shuffled(spark)
+    got = plans.queries()["k06_session_export"](spark, str(tmp_path)).toPandas()
+    assert _shuffled(spark) - before < 2 * sum(len(t or "") for t in texts)
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert rows(got) == rows(con.sql(plans.oracle_sql()["k06_session_export"]).df())
