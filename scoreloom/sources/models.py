@@ -9,7 +9,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -172,21 +172,35 @@ def call(client: Client, prompt: str, temperature: float, pace: Pace, attempts:
     return found["reply"], found["error"]
 
 
+#: Rows whose prompts and replies a task holds as Python texts.
+ROWS_AT_HAND = 256
+
+
+def parts(batch: pa.RecordBatch, rows: int = ROWS_AT_HAND) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """A batch in parts of so many rows, each with the number of the batch's rows before it."""
+    for at in range(0, batch.num_rows, rows):
+        yield at, batch.slice(at, rows)
+
+
+def with_texts(part: pa.RecordBatch, **texts: list[str | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, pa.string()) for x in texts.values()]], [*part.schema.names, *texts])
+
+
 def ask(df: DataFrame, prompt: str, client: Callable[[], Client] = EchoClient, kind: str = "analyse", per_minute: int | None = None, spacing: float = 0.0, name: str = "reply") -> DataFrame:
     """Adds the model's ``reply`` and ``<reply>_error`` to each row. ``client`` is called once a task; ``per_minute`` is what it
     states where none is given. Write the result before scoring: a second action would call again."""
-    columns = df.columns
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = client()
         pace = Pace(per_minute or pace_of(own).per_minute, spacing)
-        for f in frames:
-            replies = [call(own, p, TEMPERATURES[kind], pace) for p in f[prompt]]
-            yield f[columns].assign(**{name: [r for r, _ in replies], f"{name}_error": [e for _, e in replies]})
+        for batch in batches:
+            for _, part in parts(batch):
+                replies = [call(own, p.as_py(), TEMPERATURES[kind], pace) for p in part.column(prompt)]
+                yield with_texts(part, **{name: [r for r, _ in replies], f"{name}_error": [e for _, e in replies]})
 
     schema = df.schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return df.mapInPandas(run, f"{fields}, `{name}` string, `{name}_error` string")
+    return df.mapInArrow(run, f"{fields}, `{name}` string, `{name}_error` string")
 
 
 #: Prompts of the four kinds of call; callers may give their own with the same places.

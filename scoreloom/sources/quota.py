@@ -12,11 +12,11 @@ import json
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 
-from scoreloom.sources.models import TEMPERATURES, Client, RateLimited, exchange
+from scoreloom.sources.models import TEMPERATURES, Client, RateLimited, exchange, parts, with_texts
 
 
 def deal(wants: list[int], calls: int) -> list[int]:
@@ -133,26 +133,26 @@ def ask_within(df: DataFrame, prompt: str, client: Callable[[str | None], Client
     that loses one task begins again with all.
     """
     n = tasks or df.sparkSession.sparkContext.defaultParallelism
-    columns = df.columns
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = BarrierTaskContext.get()
         turn = Turn(Quota(per_minute, spacing, span, context.partitionId(), context.allGather))
         makers: dict[str | None, Client] = {}
-        for f in frames:
-            said: list[tuple[str | None, str | None]] = []
-            models = f[model] if model else [None] * len(f)
-            for at, (text, which) in enumerate(zip(f[prompt], models, strict=True)):
-                if text is None:
-                    said.append((None, "no prompt"))
-                    continue
-                if which not in makers:
-                    makers[which] = _Heeding(client(which), turn)
-                turn.wants = len(f) - at
-                found = exchange(makers[which], text, TEMPERATURES[kind], turn, attempts, lambda s: None, limit_s)
-                said.append((found["reply"], found["error"]))
-            yield f[columns].assign(**{name: [r for r, _ in said], f"{name}_error": [e for _, e in said]})
+        for batch in batches:
+            for before, part in parts(batch):
+                said: list[tuple[str | None, str | None]] = []
+                for at, text in enumerate(part.column(prompt), before):
+                    if not text.is_valid:
+                        said.append((None, "no prompt"))
+                        continue
+                    which = part.column(model)[at - before].as_py() if model else None
+                    if which not in makers:
+                        makers[which] = _Heeding(client(which), turn)
+                    turn.wants = batch.num_rows - at
+                    found = exchange(makers[which], text.as_py(), TEMPERATURES[kind], turn, attempts, lambda s: None, limit_s)
+                    said.append((found["reply"], found["error"]))
+                yield with_texts(part, **{name: [r for r, _ in said], f"{name}_error": [e for _, e in said]})
         turn.finish()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.repartition(n).mapInPandas(run, f"{fields}, `{name}` string, `{name}_error` string", barrier=True)
+    return df.repartition(n).mapInArrow(run, f"{fields}, `{name}` string, `{name}_error` string", barrier=True)

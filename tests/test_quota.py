@@ -95,3 +95,48 @@ def test_barrier_stage_keeps_the_quota(spark, tmp_path):
     assert len(times) == 26 and len({x.split("-")[1] for x in os.listdir(folder) if "-" in x}) == 4
     assert max(sum(a <= t < a + 0.5 for t in times) for a in times) <= 2 * 600 // 122 + 1
     assert ask_within(df.limit(0), "p", lambda model: Noting(), per_minute=600, tasks=2).count() == 0
+
+
+def test_tasks_hold_a_part_of_a_batch_as_texts(spark):
+    import pyarrow as pa
+
+    from scoreloom.sources import models
+
+    class Frame:
+        schema = spark.range(0).selectExpr("id", "'' AS p").schema
+        columns = ["id", "p"]
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    calls = []
+
+    class Counting(EchoClient):
+        def complete(self, prompt, temperature, max_tokens):
+            calls.append(prompt)
+            return super().complete(prompt, temperature, max_tokens)
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1000)), "p": [f"p{k}" for k in range(1000)]})
+    out = models.ask(Frame(), "p", Counting)(iter([batch]))
+    first = next(out)
+    assert len(calls) == first.num_rows == models.ROWS_AT_HAND
+    rest = pa.Table.from_batches([first, *out])
+    assert rest.column("reply").to_pylist() == rest.column("p").to_pylist() == batch.column("p").to_pylist() and rest.column("reply_error").null_count == 1000
+
+
+def test_quota_over_many_parts(spark):
+    """More rows a task than a part has, of several models and with nulls."""
+
+    class Named:
+        def __init__(self, model):
+            self.model = model
+
+        def complete(self, prompt, temperature, max_tokens):
+            return {"content": f"{self.model}: {prompt}", "finish_reason": "stop"}
+
+    df = spark.range(1500).selectExpr("id", "CASE WHEN id % 7 > 0 THEN concat('p', id) END AS p", "CASE WHEN id % 3 > 0 THEN concat('m', id % 3) END AS m", "array(id) AS a", "timestamp_seconds(id) AS t")
+    got = ask_within(df, "p", lambda model: Named(model), per_minute=6_000_000, model="m", tasks=2, limit_s=None).collect()
+    assert sorted(r["id"] for r in got) == list(range(1500))
+    for r in got:
+        i = r["id"]
+        assert r["reply"] == (f"{f'm{i % 3}' if i % 3 else None}: p{i}" if i % 7 else None) and r["reply_error"] == (None if i % 7 else "no prompt") and r["a"] == [i]
